@@ -162,8 +162,9 @@ def canonical(text: str, model: Bigrams) -> str:
 
     def fix(m: regex.Match) -> str:
         word = m.group()
-        kinds = {s for s, p in _OF.items() if p.search(word)}
-        return read_word(word, model) if len(kinds) > 1 else word
+        if sum(bool(p.search(word)) for p in _OF.values()) < 2:
+            return word
+        return unicodedata.normalize("NFC", read_word(unicodedata.normalize("NFD", word), model))
 
     return text if text.isascii() else _RUN.sub(fix, text)
 
@@ -172,7 +173,7 @@ def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: Counter = Counter()
     for b in batches:
         for token, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            for word in _RUN.findall(unicodedata.normalize("NFC", token.lower())):
+            for word in _RUN.findall(unicodedata.normalize("NFD", token.lower())):
                 if len({script_of(c) for c in word} - {""}) == 1:
                     for pair in zip("^" + word, word + "$"):
                         sums["".join(pair)] += n
