@@ -111,7 +111,7 @@ def _tile(a: Block, b: Block, best_a: Best, best_b: Best | None, i0: int, i1: in
 
 
 def _pairs(k: int):
-    def run(key, frame: pa.Table) -> pa.Table:
+    def run(key: tuple[pa.Scalar, ...], frame: pa.Table) -> pa.Table:
         i, j = key[0].as_py(), key[1].as_py()
         blocks = {}
         which = np.array(frame.column("block").to_pylist())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.llm import chunks, ledger, lookalikes
+from sitelens.llm import chunks, leaks, ledger, lookalikes, neighbours, packing
 from sitelens.session import stored, table
 
 TEXTS = ["title", "meta_desc", "h1"]
@@ -52,6 +52,37 @@ def p5_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _page_ledger(spark, sf_dir)[1].rows().select(F.col("first_row").alias("row_no"), "copies")
 
 
+def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five most similar chunks of every chunk with a usable vector."""
+    return neighbours.nearest(table(spark, sf_dir, "kb_chunks", "chunk_no", "vector"), "chunk_no", "vector")
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of chunks of which one is among the five most similar of the other."""
+    return neighbours.unordered_pairs(p6_neighbours(spark, sf_dir), "chunk_no").select(F.col("a").alias("chunk_a"), F.col("b").alias("chunk_b"))
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text, or part of an oversized one, with its container."""
+    return packing.fill_containers(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers, tokens and the share of the space that is used."""
+    return p7_containers(spark, sf_dir).agg(F.countDistinct("container").alias("containers"), F.sum("tokens").alias("tokens")).withColumn("used", F.round(F.col("tokens") / (F.col("containers") * packing.CAPACITY), 4))
+
+
+def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that carry test passages, with the share of the passage that the tiles cover."""
+    items = table(spark, sf_dir, "eval_items", "item_id", "lang", "passage")
+    return leaks.find_leaks(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text", items, "item_id", "lang", "passage")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents and the items of which they hold a passage."""
+    return p8_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
 _P2_SQL = """SELECT chunk_no FROM kb_chunks WHERE length(coalesce(content, '')) + CASE WHEN coalesce(heading, '') <> '' THEN length(heading) + 1 ELSE 0 END > 1200"""
 _P5_SQL = r"""
 WITH w AS (SELECT row_no, trim(regexp_replace(lower(title), '[^\p{L}\p{N}]+', ' ', 'g')) AS a, trim(regexp_replace(lower(meta_desc), '[^\p{L}\p{N}]+', ' ', 'g')) AS b FROM crawl),
@@ -59,7 +90,7 @@ g AS (SELECT least(a, b) AS x, greatest(a, b) AS y, row_no FROM w WHERE a <> ''
 m AS (SELECT row_no, min(row_no) OVER (PARTITION BY x, y) AS first_row, count(*) OVER (PARTITION BY x, y) AS copies FROM g)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_canonical": p3_canonical, "p5_found": p5_found, "p5_copies": p5_copies}
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_canonical": p3_canonical, "p5_found": p5_found, "p5_copies": p5_copies, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_leaks": p8_leaks}
 SQL = {
     "p2_found": _P2_SQL,
     "p5_found": _P5_SQL + "SELECT first_row AS row_a, row_no AS row_b FROM m WHERE row_no <> first_row",
