@@ -150,6 +150,8 @@ def _probe(key: str, words: int, letters: int, bits: bytes):
                 hit = (table[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 h, owner = h[hit].astype(np.int64), owner[hit]
                 if len(h):
+                    order = np.argsort(owner, kind="stable")  # word runs and letter runs come one after the other
+                    h, owner = h[order], owner[order]
                     rows, first = np.unique(owner, return_index=True)
                     cut = np.split(h, first[1:])
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows)), pa.array([np.unique(x) for x in cut], pa.list_(pa.int64()))], names=[key, "text", "hashes"])
