@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.llm import chunks, leaks, ledger, lookalikes, neighbours, packing
+from sitelens.llm import chunks, leaks, ledger, lookalikes, neighbours, packing, sentences
 from sitelens.session import stored, table
 
 TEXTS = ["title", "meta_desc", "h1"]
@@ -83,6 +83,16 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
+def p9_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as its sequence of sentences."""
+    return sentences.split_sentences(table(spark, sf_dir, "documents", "doc_id", "text"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The end of each sentence."""
+    return p9_sentences(spark, sf_dir).select("doc_id", "end_off")
+
+
 _P2_SQL = """SELECT chunk_no FROM kb_chunks WHERE length(coalesce(content, '')) + CASE WHEN coalesce(heading, '') <> '' THEN length(heading) + 1 ELSE 0 END > 1200"""
 _P5_SQL = r"""
 WITH w AS (SELECT row_no, trim(regexp_replace(lower(title), '[^\p{L}\p{N}]+', ' ', 'g')) AS a, trim(regexp_replace(lower(meta_desc), '[^\p{L}\p{N}]+', ' ', 'g')) AS b FROM crawl),
@@ -90,7 +100,7 @@ g AS (SELECT least(a, b) AS x, greatest(a, b) AS y, row_no FROM w WHERE a <> ''
 m AS (SELECT row_no, min(row_no) OVER (PARTITION BY x, y) AS first_row, count(*) OVER (PARTITION BY x, y) AS copies FROM g)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_canonical": p3_canonical, "p5_found": p5_found, "p5_copies": p5_copies, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_leaks": p8_leaks}
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_canonical": p3_canonical, "p5_found": p5_found, "p5_copies": p5_copies, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_sentences": p9_sentences}
 SQL = {
     "p2_found": _P2_SQL,
     "p5_found": _P5_SQL + "SELECT first_row AS row_a, row_no AS row_b FROM m WHERE row_no <> first_row",
