@@ -69,7 +69,7 @@ _TOKENS = [
     ("number", r"\d+(?:[.,:/]\d+)*"),
     ("lower", rf"(?<!{_L})(?:[cdjlmnst]|qu)['’](?=\p{{L}})"),
     ("upper", rf"(?<!{_L})(?:[CDJLMNST]|Qu)['’](?=\p{{L}})"),
-    ("abbr", rf"(?<!{_L})(?=\P{{Lu}})(?:{_words(_NEVER)})\.(?!\S*\.\S)|(?<!{_L})(?=\P{{Lu}})(?:{_words(_NUMBERED)})\.(?=\s*\d)"),
+    ("abbr", rf"(?<!{_L})(?=\p{{Ll}})(?:{_words(_NEVER)})\.|(?<!{_L})(?=\p{{Ll}})(?:{_words(_NUMBERED)})\.(?=\s*\d)"),
     ("Abbr", rf"(?<!{_L})(?:{_words(_NEVER)})\.|(?<!{_L})(?:{_words(_NUMBERED)})\.(?=\s*\d)|(?<!{_L})\p{{Lu}}\.(?=\s*\p{{Lu}})"),
     ("maybe", rf"(?<!{_L})(?=\P{{Lu}})(?:{_words(_MAYBE)})\.(?<!(?<=\d\s?)[a-zг]\.)"),
     ("Maybe", rf"(?<!{_L})(?:{_words(_MAYBE)})\."),
