@@ -64,17 +64,17 @@ def rules_for(parsed: list, agent: str) -> list[tuple[str, str]] | None:
     return [r for rules in own for r in rules] if own else None
 
 
-def parse(text: str | None) -> dict:
+def parse(text: str | None, agent: str = "*") -> dict:
+    """The rules that hold for ``agent``, and what the file closes to AI crawlers that it names."""
     parsed, sitemaps, delay = groups(text or "")
-    everyone = rules_for(parsed, "*") or []
+    mine = rules_for(parsed, agent) or []
     bots = []
     for use, names in AI_BOTS.items():
         for name in names:
-            mine = rules_for(parsed, name)
-            closed = [v for f, v in mine or [] if f == "disallow" and v]
-            if mine is not None and closed:
-                bots.append({"agent": name, "use": use, "disallow_all": "/" in closed and not any(f == "allow" and v == "/" for f, v in mine), "paths": closed})
-    return {"disallow": [v for f, v in everyone if f == "disallow" and v], "allow": [v for f, v in everyone if f == "allow" and v], "sitemaps": sitemaps, "crawl_delay": delay, "bots": bots}
+            closed = [v for agents, rules in parsed if name.lower() in agents for f, v in rules if f == "disallow" and v]
+            if any(name.lower() in agents for agents, _ in parsed):
+                bots.append({"agent": name, "use": use, "disallow_all": "/" in closed, "paths": closed})
+    return {"disallow": [v for f, v in mine if f == "disallow" and v], "allow": [v for f, v in mine if f == "allow" and v], "sitemaps": sitemaps, "crawl_delay": delay, "bots": bots}
 
 
 PARSED = "disallow array<string>, allow array<string>, sitemaps array<string>, crawl_delay double, bots array<struct<agent string, use string, disallow_all boolean, paths array<string>>>"
@@ -100,7 +100,7 @@ def patterns_of(parsed: DataFrame, site: str) -> DataFrame:
 def allowed(targets: DataFrame, patterns: DataFrame, keys: list[str], path: str = "path") -> DataFrame:
     """Adds ``allowed``: the longest allow pattern that matches is at least as long as the longest
     disallow pattern. Patterns are joined by site; targets of sites without any are allowed."""
-    hit = lambda kind: F.coalesce(F.max(F.when((F.col("kind") == kind) & F.col(path).rlike(F.col("re")), F.length("pattern"))), F.lit(-1))
+    hit = lambda kind: F.coalesce(F.max(F.when((F.col("kind") == kind) & F.rlike(path, "re"), F.length("pattern"))), F.lit(-1))
     joined = targets.join(patterns, "site", "left").groupBy("site", *keys, path).agg(hit("disallow").alias("d"), hit("allow").alias("a"))
     return joined.select("site", *keys, path, (F.col("d") <= F.col("a")).alias("allowed"))
 
