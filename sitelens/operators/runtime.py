@@ -70,7 +70,7 @@ def is_private_address(addresses: pd.Series) -> pd.Series:
 def retry_after_seconds(value: Column, now: Column) -> Column:
     """Seconds of a Retry-After header: a number, or an HTTP date seen from ``now``; null if neither."""
     at = F.try_to_timestamp(F.regexp_extract(value, r"^\s*\w{3}, (\d{2} \w{3} \d{4} \d{2}:\d{2}:\d{2}) GMT\s*$", 1), F.lit("dd MMM yyyy HH:mm:ss"))
-    return F.coalesce(F.when(value.rlike(r"^\s*\d+\s*$"), F.trim(value).try_cast("double")), F.greatest(F.lit(0.0), (at.cast("double") - now.cast("double"))))
+    return F.coalesce(F.when(value.rlike(r"^\s*\d+\s*$"), F.trim(value).try_cast("double")), F.when(at.isNotNull(), F.greatest(F.lit(0.0), at.cast("double") - now.cast("double"))))
 
 
 def cookie_insecure(set_cookies: Column) -> Column:
