@@ -32,7 +32,8 @@ HOT_SHARE = 1000
 
 def words_of(c: str | Column) -> Column:
     """The sequence of words of a text: runs of letters and digits, whatever their case."""
-    return F.trim(F.regexp_replace(F.lower(F.upper(c)), r"[^\p{L}\p{N}]+", " "))
+    lower = F.replace(F.replace(F.lower(c), F.lit("ß"), F.lit("ss")), F.lit("ς"), F.lit("σ"))  # letters with two lower-case forms
+    return F.trim(F.regexp_replace(lower, r"[^\p{L}\p{N}]+", " "))
 
 
 def canonical_key(*texts: str) -> Column:

@@ -95,7 +95,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _P2_SQL = """SELECT chunk_no FROM kb_chunks WHERE length(coalesce(content, '')) + CASE WHEN coalesce(heading, '') <> '' THEN length(heading) + 1 ELSE 0 END > 1200"""
 _P5_SQL = r"""
-WITH w AS (SELECT row_no, trim(regexp_replace(lower(title), '[^\p{L}\p{N}]+', ' ', 'g')) AS a, trim(regexp_replace(lower(meta_desc), '[^\p{L}\p{N}]+', ' ', 'g')) AS b FROM crawl),
+WITH w AS (SELECT row_no, trim(regexp_replace(replace(replace(lower(title), 'ß', 'ss'), 'ς', 'σ'), '[^\p{L}\p{N}]+', ' ', 'g')) AS a, trim(regexp_replace(replace(replace(lower(meta_desc), 'ß', 'ss'), 'ς', 'σ'), '[^\p{L}\p{N}]+', ' ', 'g')) AS b FROM crawl),
 g AS (SELECT least(a, b) AS x, greatest(a, b) AS y, row_no FROM w WHERE a <> '' AND b <> ''),
 m AS (SELECT row_no, min(row_no) OVER (PARTITION BY x, y) AS first_row, count(*) OVER (PARTITION BY x, y) AS copies FROM g)
 """
