@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
 from urllib.parse import quote, urlsplit
 
 _DEFAULT = {"http": "80", "https": "443"}
+_BAD = frozenset(" <>^|%")
 
 
+@lru_cache(maxsize=50_000)
 def parse(url: str, base: str | None = None) -> tuple[str, str, str, str] | None:
     """(scheme, host with port, path, query) of an absolute address; null if it has none.
 
@@ -31,13 +34,13 @@ def parse(url: str, base: str | None = None) -> tuple[str, str, str, str] | None
             text = f"{scheme}://{host}{path.rpartition('/')[0]}/{text}"
     try:
         parts = urlsplit(text)
-        port = parts.port
+        port, name = parts.port, parts.hostname
     except ValueError:
         return None
     scheme = parts.scheme.lower()
-    if scheme not in _DEFAULT or not parts.hostname or any(c in parts.hostname for c in " <>^|%"):
+    if scheme not in _DEFAULT or not name or _BAD.intersection(name):
         return None
-    host = parts.hostname + (f":{port}" if port is not None and str(port) != _DEFAULT[scheme] else "")
+    host = name + (f":{port}" if port is not None and str(port) != _DEFAULT[scheme] else "")
     steps: list[str] = []
     pieces = (parts.path or "/").replace("\\", "/").split("/")[1:]
     for i, p in enumerate(pieces):

@@ -15,6 +15,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from sitelens.functions import urls
+from sitelens.session import spread
 
 # Link texts that say nothing, in lower case.
 GENERIC = frozenset(
@@ -32,6 +33,10 @@ _TAG = regex.compile(r"<(/?)([A-Za-z][A-Za-z0-9-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*
 _ATTR = regex.compile(r"([^\s=\"'<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>]+)))?")
 _CJK = regex.compile(r"[぀-ヿ㐀-䶿一-鿿가-힣豈-﫿]")
 _RAW = ("script", "style")
+_END = {n: regex.compile(rf"</{n}\s*>", regex.I) for n in _RAW}
+_EXT = {e: regex.compile(rf"\.{e}(?:[?#]|$)", regex.I) for e in ("jpe?g", "webp", "avif")}
+_NO_PAGE = regex.compile(r"(?:javascript|mailto|tel):", regex.I)
+_LEVEL = frozenset(f"h{i}" for i in range(1, 7))
 
 
 def decode(text: str) -> str:
@@ -45,18 +50,18 @@ def words(text: str) -> int:
 
 
 class Tag:
-    __slots__ = ("name", "closing", "attrs", "quoted", "start", "end", "where")
+    __slots__ = ("name", "closing", "attrs", "quoted", "start", "end")
 
     def __init__(self, name: str, closing: bool, raw: str, start: int, end: int):
-        self.name, self.closing, self.start, self.end, self.where = name, closing, start, end, ""
+        self.name, self.closing, self.start, self.end = name, closing, start, end
         self.attrs: dict[str, str] = {}
         self.quoted: set[str] = set()
-        if not closing:
-            for m in _ATTR.finditer(raw):
-                k = m.group(1).lower()
+        if raw and not closing:
+            for k, a, b, c in _ATTR.findall(raw):
+                k = k.lower()
                 if k not in self.attrs:
-                    self.attrs[k] = next((g for g in m.groups()[1:] if g is not None), "")
-                    if m.group(2) is not None or m.group(3) is not None:
+                    self.attrs[k] = a or b or c
+                    if not c:
                         self.quoted.add(k)
 
     def get(self, k: str) -> str:
@@ -72,7 +77,7 @@ def _events(text: str) -> tuple[list[Tag], list[tuple[str, str, int, int]]]:
         tags.append(tag)
         at = m.end()
         if tag.name in _RAW and not closing:
-            end = regex.compile(rf"</{tag.name}\s*>", regex.I).search(text, at)
+            end = _END[tag.name].search(text, at)
             stop = end.start() if end else len(text)
             blocks.append((tag.name, text[at:stop], tag.start, end.end() if end else len(text)))
             at = end.end() if end else len(text)
@@ -190,7 +195,7 @@ def extract(page: str | None, url: str) -> dict[str, object]:
     h1 = [x[0] for i, t in enumerate(tags) if t.name == "h1" and not t.closing and body0 <= t.start < body1 and (x := _inner(text, tags, i))]
     images = [t for t in in_body if t.name == "img"]
     sources = [t for t in in_body if t.name == "source"]
-    ends = lambda ext: (lambda t: regex.search(rf"\.{ext}(?:[?#]|$)", t.attrs.get("src", ""), regex.I) is not None)
+    ends = lambda ext: (lambda t: _EXT[ext].search(t.attrs.get("src", "")) is not None)
     modern = lambda ext: n(t for t in images if ends(ext)(t) or f".{ext}" in t.attrs.get("srcset", "").lower())
     from_source = lambda ext: sum(1 for t in sources if f"image/{ext}" in t.attrs.get("type", "").lower() or f".{ext}" in t.attrs.get("srcset", "").lower())
     visible, raw = text[body0:body1], text[body0:body1]
@@ -217,7 +222,7 @@ def extract(page: str | None, url: str) -> dict[str, object]:
     inner_links, outward, trusted = [], 0, 0
     for t in in_body:
         href = t.get("href").strip()
-        if t.name != "a" or "href" not in t.quoted or not href or href.startswith("#") or regex.match(r"(?:javascript|mailto|tel):", href, regex.I):
+        if t.name != "a" or "href" not in t.quoted or not href or href.startswith("#") or _NO_PAGE.match(href):
             continue
         u = urls.parse(href, url)
         if u is None:
@@ -241,7 +246,7 @@ def extract(page: str | None, url: str) -> dict[str, object]:
         "title": title, "title_len": str(utf16(title)), "meta_desc": meta.get("description", ""), "meta_desc_len": str(utf16(meta.get("description", ""))), "meta_missing": flag("description" not in meta),
         "canonical": canonicals[0] if canonicals else "", "canon_self": "" if not canonicals else flag(target and own and bare(target) == bare(own)), "canonical_count": str(len(canonicals)), "robots_meta": meta.get("robots", ""),
         "html_lang": next((t.get("lang") for t in opening if t.name == "html"), ""), "hreflang_count": str(len(alternates)), "hreflang": ",".join(a for a, _ in alternates), "hreflang_links": "|".join(f"{a}={h}" for a, h in alternates),
-        "h1": h1[0] if h1 else "", "h1_count": str(len(h1)), "heading_outline": ",".join(t.name for t in in_body if regex.fullmatch("h[1-6]", t.name)),
+        "h1": h1[0] if h1 else "", "h1_count": str(len(h1)), "heading_outline": ",".join(t.name for t in in_body if t.name in _LEVEL),
         "img_total": str(len(images)), "img_no_alt": n(t for t in images if not t.attrs.get("alt", "").strip()), "img_jpg": n(t for t in images if ends("jpe?g")(t)), "img_webp": str(int(modern("webp")) + from_source("webp")),
         "img_avif": str(int(modern("avif")) + from_source("avif")), "img_no_dimensions": n(t for t in images if "width" not in t.attrs or "height" not in t.attrs), "first_img_lazy": flag(images and images[0].attrs.get("loading", "").lower() == "lazy"),
         "outlinks_internal": str(len(inner_links)), "outlinks_external": str(outward), "outlinks_authoritative": str(trusted), "word_count": str(words(shown)), "raw_word_count": str(raw_words),
@@ -280,7 +285,7 @@ def features(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
                 rows.append([k, u, *(got.get(c, "") for c in COLUMNS), got.get("internal_links", [])])
             yield pd.DataFrame(rows, columns=[key, url, *COLUMNS, "internal_links"])
 
-    return pages.select(key, url, html).mapInPandas(run, schema)
+    return spread(pages.select(key, url, html)).mapInPandas(run, schema)
 
 
 def link_edges(extracted: DataFrame, url: str) -> DataFrame:
