@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitelens.session import spread
+
 #: Where the public tokenizer's ranks lie on every machine, and the pattern that goes with them (fixed value).
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -115,7 +117,7 @@ def fill_containers(df: DataFrame, key: str, text: str, capacity: int = CAPACITY
     pieces of a text that alone exceeds the capacity, from 0."""
     most_loss = most_loss or capacity
     kind = df.select(key).schema[0].dataType.simpleString()
-    sized = df.select(key, text).mapInArrow(_sizes(key, vocabulary), f"{key} {kind}, tokens int, loss int")
+    sized = spread(df.select(key, text)).mapInArrow(_sizes(key, vocabulary), f"{key} {kind}, tokens int, loss int")
     over = F.col("tokens") > capacity
     parts = sized.select(key, "loss", F.col("tokens").alias("all"), F.explode(F.sequence(F.lit(0), F.when(over, F.floor((F.col("tokens") - 1) / capacity)).otherwise(F.lit(0)).cast("int"))).alias("part"))
     items = parts.select(key, "part", (F.col("part") * capacity).alias("from_token"), F.least(F.col("all") - F.col("part") * capacity, F.lit(capacity)).alias("tokens"), "loss", "all")

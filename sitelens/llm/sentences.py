@@ -30,6 +30,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from sitelens.session import spread
+
 CHUNK = 512
 
 # Abbreviations that a name, number or phrase always follows ...
@@ -48,8 +50,15 @@ _ORDINAL_BEFORE = r"[Aa]m|[Ii]m|[Dd]em|[Dd]er|[Dd]en|[Dd]es|[Dd]as|[Dd]ie|[Vv]om
 _ORDINAL_AFTER = r"Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Quartal|Halbjahr|Jahrhundert|Jahrestag|Stock|Platz|Auflage"
 
 _L = r"[\p{L}\p{M}\p{N}\p{Cf}]"
-_words = lambda s: "|".join(regex.escape(w) for w in sorted(set(s.split()), key=len, reverse=True))
 _TOKENS = [
+    # the frequent and unambiguous forms first; each leaves what needs a closer look to those below
+    ("blank", r"[ ]++(?![\s\p{Thai}])"),
+    ("lower", rf"(?:(?<!{_L})\p{{Ll}}(?:(?!\p{{Lu}}){_L}|['’-](?={_L}))*+(?![.!?'’\p{{Lu}}:@/])[ ]*+)+"),
+    ("other_script", r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}ー]+|(?=\p{Lo})[\p{Lo}\p{M}]++(?!\.)"),
+    ("upper", rf"(?<!{_L})\p{{Lu}}(?:(?!\p{{Lo}}){_L}|-(?={_L}))*+(?![.!?'’:@/])"),
+    ("number", r"(?<![\w.,-])\d+(?:[.,]\d+)*+(?![\w.,:/@)-])"),
+    ("period", r"\.(?![.!?]|[ ]\.)"),
+    ("punct", r"[,;](?=\s)"),
     ("para", r"[^\S\n]*\n[^\S\n]*\n\s*"),
     ("heading", r"(?=\#)(?<=(?:\A|\n)[ \t]*)\#{1,6}[ \t]+(?=\S)"),
     ("number", rf"(?=\d)(?:(?<=\b(?:{_ORDINAL_BEFORE})\s+)\d{{1,3}}\.(?=\s+\p{{Lu}})|(?<!\w)\d{{1,3}}\.(?=\s+(?:{_ORDINAL_AFTER})\b))"),
@@ -59,7 +68,6 @@ _TOKENS = [
     ("thai_gap", r"(?=\s)(?<=\p{Thai})\s+(?=\p{Thai})"),
     ("line", r"[^\S\n]*\n\s*"),
     ("blank", r"\s+"),
-    ("lower", rf"(?:(?<!{_L})\p{{Ll}}(?:(?!\p{{Lu}}){_L}|['’-](?={_L}))*+(?![.!?'’\p{{Lu}}:@/])[ ]*+){{2,}}"),
     ("file", r"https?://[!-~]*[A-Za-z0-9/=&\#%+~_-]"),
     ("abbr", rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Ll}})(?:{_DOTTED_NEVER})|(?<![\p{{L}}\p{{N}}])Co\.(?=\s*(?:KG|OHG)\b)"),
     ("Abbr", rf"(?<![\p{{L}}\p{{N}}])(?:{_DOTTED_NEVER})"),
@@ -69,10 +77,10 @@ _TOKENS = [
     ("number", r"\d+(?:[.,:/]\d+)*"),
     ("lower", rf"(?<!{_L})(?:[cdjlmnst]|qu)['’](?=\p{{L}})"),
     ("upper", rf"(?<!{_L})(?:[CDJLMNST]|Qu)['’](?=\p{{L}})"),
-    ("abbr", rf"(?<!{_L})(?=\p{{Ll}})(?:{_words(_NEVER)})\.|(?<!{_L})(?=\p{{Ll}})(?:{_words(_NUMBERED)})\.(?=\s*\d)"),
-    ("Abbr", rf"(?<!{_L})(?:{_words(_NEVER)})\.|(?<!{_L})(?:{_words(_NUMBERED)})\.(?=\s*\d)|(?<!{_L})\p{{Lu}}\.(?=\s*\p{{Lu}})"),
-    ("maybe", rf"(?<!{_L})(?=\P{{Lu}})(?:{_words(_MAYBE)})\.(?<!(?<=\d\s?)[a-zг]\.)"),
-    ("Maybe", rf"(?<!{_L})(?:{_words(_MAYBE)})\."),
+    ("abbr", rf"(?<!{_L})(?=\p{{Ll}})\L<never>\.|(?<!{_L})(?=\p{{Ll}})\L<numbered>\.(?=\s*\d)"),
+    ("Abbr", rf"(?<!{_L})\L<never>\.|(?<!{_L})\L<numbered>\.(?=\s*\d)|(?<!{_L})\p{{Lu}}\.(?=\s*\p{{Lu}})"),
+    ("maybe", rf"(?<!{_L})(?=\P{{Lu}})\L<maybe>\.(?<!(?<=\d\s?)[a-zг]\.)"),
+    ("Maybe", rf"(?<!{_L})\L<maybe>\."),
     ("camel", rf"(?<!{_L})\p{{Ll}}+\p{{Lu}}(?:{_L}|['’-](?={_L}))*"),
     ("lower", rf"\p{{Ll}}(?:(?!\p{{Lo}}){_L}|['’-](?={_L}))*"),
     ("upper", rf"[\p{{Lu}}\p{{Lt}}](?:(?!\p{{Lo}}){_L}|['’-](?={_L}))*"),
@@ -105,7 +113,7 @@ _TOKENS = [
 ]
 _NAMES = sorted({n for n, _ in _TOKENS})
 SYMBOL = {n: i for i, n in enumerate(_NAMES)}
-_SCANNER = regex.compile("|".join(f"({p})" for _, p in _TOKENS), regex.V0)
+_SCANNER = regex.compile("|".join(f"({p})" for _, p in _TOKENS), regex.V0, never=_NEVER.split(), numbered=_NUMBERED.split(), maybe=_MAYBE.split())
 _OF_GROUP = np.array([-1, *(SYMBOL[n] for n, _ in _TOKENS)], np.int16)
 _KINDS = {"open_german": "g", "open_angle": "a", "open_corner": "c", "open_single": "s", "open_bracket": "b", "left_curly": "l", "double": "d"}
 _CLOSES = {"close_angle": "a", "right_curly": "lg", "go_on_zh": "lg", "left_curly": "g", "close_corner": "c", "go_on": "c", "double": "dg", "close_single": "s", "close_bracket": "b"}
@@ -302,4 +310,4 @@ def split_sentences(df: DataFrame, key: str, text: str) -> DataFrame:
                         p = e
                 yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), *(pa.array(x, pa.int32()) for x in (orders, starts, stops))], names=[key, "ord", "start_off", "end_off"])
 
-    return df.select(key, text).mapInArrow(run, f"{key} {kind}, ord int, start_off int, end_off int")
+    return spread(df.select(key, text)).mapInArrow(run, f"{key} {kind}, ord int, start_off int, end_off int")
