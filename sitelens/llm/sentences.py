@@ -49,6 +49,8 @@ _DOTTED_MAYBE = r"EE\.\s?UU\.|т\.\s?[дп]\.|[ap]\.m\.|(?:\p{Lu}\.){2,}|(?:\p{L
 _ORDINAL_BEFORE = r"[Aa]m|[Ii]m|[Dd]em|[Dd]er|[Dd]en|[Dd]es|[Dd]as|[Dd]ie|[Vv]om|[Zz]um|[Zz]ur|[Bb]eim|[Ss]eit|[Bb]is|[Aa]b|und|ein|eine|einem|einen|einer|jeder|jedem"
 _ORDINAL_AFTER = r"Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Quartal|Halbjahr|Jahrhundert|Jahrestag|Stock|Platz|Auflage"
 
+#: a number after one of these, carried over to the next line, begins no list item
+_NO_COUNT = r"(?<!\b(?:[Tt]el|S|Nrn?|Abs|Abb|Kap|Bd|[Ff]ig|[Nn]os?|[Ss]ect|[Aa]rt|págs?|рис|стр|vgl|cf|approx|ca|[Ee]nv|[Aa]prox|pp?)\.\s+)"
 _L = r"[\p{L}\p{M}\p{N}\p{Cf}]"
 _TOKENS = [
     # the frequent and unambiguous forms first; each leaves what needs a closer look to those below
@@ -61,9 +63,10 @@ _TOKENS = [
     ("punct", r"[,;](?=\s)"),
     ("para", r"[^\S\n]*\n[^\S\n]*\n\s*"),
     ("heading", r"(?=\#)(?<=(?:\A|\n)[ \t]*)\#{1,6}[ \t]+(?=\S)"),
+    ("ordinal_line", rf"(?=\d)(?<=\n[ \t]*)(?:(?<=\b(?:{_ORDINAL_BEFORE})\s+)\d{{1,3}}\.(?=\s+\p{{Lu}})|(?<!\w)\d{{1,3}}\.(?=\s+(?:{_ORDINAL_AFTER})\b))"),
     ("number", rf"(?=\d)(?:(?<=\b(?:{_ORDINAL_BEFORE})\s+)\d{{1,3}}\.(?=\s+\p{{Lu}})|(?<!\w)\d{{1,3}}\.(?=\s+(?:{_ORDINAL_AFTER})\b))"),
-    ("item", r"(?=[-*+•‣1])(?<=(?:\A|\n)[ \t]*)(?:[-*+•‣][ \t]+|1[.)][ \t]+)(?=\S)"),
-    ("item_n", r"(?=\d)(?<=(?:\A|\n)[ \t]*)\d{1,3}[.)][ \t]+(?=\S)"),
+    ("item", rf"(?=[-*+•‣1])(?<=(?:\A|\n)[ \t]*){_NO_COUNT}(?:[-*+•‣]|1\.|(?<!\([^()]{{0,300}})1\))[ \t]+(?=\S)"),
+    ("item_n", rf"(?=\d)(?<=(?:\A|\n)[ \t]*){_NO_COUNT}(?:\d{{1,3}}\.|(?<!\([^()]{{0,300}})\d{{1,3}}\))[ \t]+(?=\S)"),
     ("margin", r"(?=>)(?<=(?:\A|\n)[ \t]*)>+[ \t]?"),
     ("thai_gap", r"(?=\s)(?<=\p{Thai})\s+(?=\p{Thai})"),
     ("line", r"[^\S\n]*\n\s*"),
@@ -133,12 +136,18 @@ def step(state: tuple, sym: str) -> tuple[tuple, bool]:
         return HEADING, True
     if sym == "invisible":
         return state, False
+    if sym == "ordinal_line":  # in a list a number at the line's beginning is the next item's
+        if kind == "item":
+            return ITEM, True
+        sym = "number"
     if kind == "heading":
         return (START, False) if sym == "line" else (state, False)
     if sym == "item" or (sym == "item_n" and kind in ("start", "item", "pending")):
         return ITEM, True
     if kind == "item":
         return state, False
+    if sym == "item_n" and kind == "mid":  # no item here, but a number and the period behind it
+        return ("pending", ".", True), False
     if kind == "start":
         if sym == "margin":
             return ("mid", False), True
