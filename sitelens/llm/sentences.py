@@ -50,7 +50,7 @@ _ORDINAL_BEFORE = r"[Aa]m|[Ii]m|[Dd]em|[Dd]er|[Dd]en|[Dd]es|[Dd]as|[Dd]ie|[Vv]om
 _ORDINAL_AFTER = r"Januar|Jänner|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember|Quartal|Halbjahr|Jahrhundert|Jahrestag|Stock|Platz|Auflage"
 
 #: a number after one of these, carried over to the next line, begins no list item
-_NO_COUNT = r"(?<!\b(?:[Tt]el|S|Nrn?|Abs|Abb|Kap|Bd|[Ff]ig|[Nn]os?|[Ss]ect|[Aa]rt|págs?|рис|стр|vgl|cf|approx|ca|[Ee]nv|[Aa]prox|pp?)\.\s+)"
+_NO_COUNT = r"(?<!(?<![\w.])(?:[Tt]el|S|Nrn?|Abs|Abb|Kap|Bd|[Ff]ig|[Nn]os?|[Ss]ect|[Aa]rt|págs?|рис|стр|vgl|cf|approx|ca|[Ee]nv|[Aa]prox|pp?)\.\s+)"
 _L = r"[\p{L}\p{M}\p{N}\p{Cf}]"
 _TOKENS = [
     # the frequent and unambiguous forms first; each leaves what needs a closer look to those below

@@ -49,6 +49,9 @@ def test_unspaced(sentences):
 def test_structure():
     assert split("# Kopf. Zwei\n\nText eins. Text\nzwei.\n\n1. Eins. Zwei\nweiter\n2. Drei\n- Vier") == ["# Kopf. Zwei", "Text eins.", "Text\nzwei.", "1. Eins. Zwei\nweiter", "2. Drei", "- Vier"]
     assert split("กฎนี้ทำงาน 9 ครั้ง ไฟล์ llms.txt มี 9 เส้นทาง ทีมงาน") == ["กฎนี้ทำงาน 9 ครั้ง", "ไฟล์ llms.txt มี 9 เส้นทาง", "ทีมงาน"]
+    assert split("- It ships to the U.S.\n- Really?!\n\n1. To the U.S.\n2. Zwei") == ["- It ships to the U.S.", "- Really?!", "1. To the U.S.", "2. Zwei"]
+    assert split("Tel.\n23. Siehe Nr.\n4 der Liste (see Fig.\n15) hier. Gut.") == ["Tel.\n23.", "Siehe Nr.\n4 der Liste (see Fig.\n15) hier.", "Gut."]
+    assert split("1. Es weicht\nab\n3. Am 9. Mai") == ["1. Es weicht\nab", "3. Am 9. Mai"]
     assert split("Das ist am\n9. Mai so.Wir zählten.") == ["Das ist am\n9. Mai so.", "Wir zählten."]
     assert S.ends_of([None, "", " \n", "no end"]) == [[], [], [], [6]]
 
