@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.session import spread
+from sitelens.session import spread, stored
 
 WORDS, LETTERS = 12, 24
 FILTER_BITS = 1 << 23
@@ -248,7 +248,7 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item: str
     table = bytearray(FILTER_BITS // 8)
     for part, bits in slots.groupBy("part").agg(F.bitmap_construct_agg("bit")).collect():  # at most FILTER_BITS / 32,768 rows
         table[part * 4096 : (part + 1) * 4096] = bits
-    near = spread(docs.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(key, text)).mapInArrow(_probe(key, words, letters, bytes(table)), f"{key} {k_type}, text string, hashes array<bigint>").persist()
+    near = stored(spread(docs.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(key, text)).mapInArrow(_probe(key, words, letters, bytes(table)), f"{key} {k_type}, text string, hashes array<bigint>"), "near")
     seed_side = F.broadcast(seeds) if seeds.count() <= BROADCAST_SEEDS else seeds
     pairs = near.select(key, F.explode("hashes").alias("hash")).join(seed_side, "hash").select(key, F.col("item").alias(item)).distinct()
     full = pairs.join(near.select(key, "text"), key).join(items.select(item, lang, passage), item).select(key, "text", item, lang, passage)

@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.session import spread
+from sitelens.session import spread, stored
 
 #: Where the public tokenizer's ranks lie on every machine, and the pattern that goes with them (fixed value).
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -121,7 +121,8 @@ def fill_containers(df: DataFrame, key: str, text: str, capacity: int = CAPACITY
     over = F.col("tokens") > capacity
     parts = sized.select(key, "loss", F.col("tokens").alias("all"), F.explode(F.sequence(F.lit(0), F.when(over, F.floor((F.col("tokens") - 1) / capacity)).otherwise(F.lit(0)).cast("int"))).alias("part"))
     items = parts.select(key, "part", (F.col("part") * capacity).alias("from_token"), F.least(F.col("all") - F.col("part") * capacity, F.lit(capacity)).alias("tokens"), "loss", "all")
-    items = items.withColumn("loss", F.when(F.col("all") > capacity, F.col("tokens")).otherwise(F.col("loss"))).drop("all").persist()
+    items = items.withColumn("loss", F.when(F.col("all") > capacity, F.col("tokens")).otherwise(F.col("loss"))).drop("all")
+    items = stored(items, "items")
     groups = max(1, -(-items.count() // group_items))
     full = items.where(F.col("tokens") == capacity).withColumn("container", F.expr(f"-1 - (xxhash64({key}, part) & 4611686018427387903)"))
     rest = items.where(F.col("tokens") < capacity).withColumn("grp", F.pmod(F.xxhash64(key, "part"), F.lit(groups)))
