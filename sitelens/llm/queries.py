@@ -100,8 +100,16 @@ g AS (SELECT least(a, b) AS x, greatest(a, b) AS y, row_no FROM w WHERE a <> ''
 m AS (SELECT row_no, min(row_no) OVER (PARTITION BY x, y) AS first_row, count(*) OVER (PARTITION BY x, y) AS copies FROM g)
 """
 
+_P6_SQL = """
+WITH v AS (SELECT chunk_no, CAST(vector AS DOUBLE[]) AS v FROM kb_chunks WHERE len(vector) = 256 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+p AS (SELECT a.chunk_no AS q, b.chunk_no AS r, round(list_cosine_similarity(a.v, b.v), 6) AS s FROM v a, v b WHERE a.chunk_no <> b.chunk_no),
+k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, r) AS n FROM p)
+"""
+
 QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_canonical": p3_canonical, "p5_found": p5_found, "p5_copies": p5_copies, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_sentences": p9_sentences}
 SQL = {
+    "p6_found": _P6_SQL + "SELECT DISTINCT least(q, r) AS chunk_a, greatest(q, r) AS chunk_b FROM k WHERE n <= 5",
+    "p6_neighbours": _P6_SQL + "SELECT q AS chunk_no, r AS neighbour, s AS similarity, CAST(n AS INT) AS rank FROM k WHERE n <= 5",
     "p2_found": _P2_SQL,
     "p5_found": _P5_SQL + "SELECT first_row AS row_a, row_no AS row_b FROM m WHERE row_no <> first_row",
     "p5_copies": _P5_SQL + "SELECT row_no, copies FROM m WHERE row_no = first_row",
