@@ -91,22 +91,26 @@ class Best:
 
 
 def _tile(a: Block, b: Block, best_a: Best, best_b: Best | None, i0: int, i1: int, j0: int, j1: int) -> None:
-    qa, qb = a.codes[i0:i1].astype(np.float32), b.codes[j0:j1].astype(np.float32)
-    about = (qa @ qb.T).astype(np.float64) * a.scale[i0:i1, None] * b.scale[None, j0:j1]
-    slack = a.error[i0:i1, None] * b.image_norm[None, j0:j1] + b.error[None, j0:j1] + 2e-6
-    for best, low, rows, cols, flip in ((best_a, about - slack, slice(i0, i1), slice(j0, j1), False), (best_b, None, slice(j0, j1), slice(i0, i1), True)):
+    """One product of int8 rows: drops what the error bound excludes, recomputes and merges the rest."""
+    upper = a.codes[i0:i1].astype(np.float32) @ b.codes[j0:j1].astype(np.float32).T  # exact integers
+    upper *= a.scale[i0:i1, None].astype(np.float32)
+    upper *= b.scale[None, j0:j1].astype(np.float32)
+    slack = np.multiply.outer(a.error[i0:i1].astype(np.float32), b.image_norm[j0:j1].astype(np.float32))
+    slack += (b.error[None, j0:j1] + 4e-6).astype(np.float32)  # with what single precision and the rounding may add
+    upper += slack
+    for best, own, other, rows, cols, flip in ((best_a, a, b, i0, j0, False), (best_b, b, a, j0, i0, True)):
         if best is None:
             continue
-        grid, gap = (about.T, slack.T) if flip else (about, slack)
-        lower = grid - gap if low is None else low
-        k = min(best.keep, lower.shape[1])
-        kth = -np.partition(-lower, k - 1, axis=1)[:, k - 1] if lower.shape[1] >= best.keep else np.full(lower.shape[0], -2.0)
-        best.floor[rows] = np.maximum(best.floor[rows], kth)
-        r, c = np.nonzero(grid + gap >= best.floor[rows][:, None])
-        own, other = (b, a) if flip else (a, b)
-        r, c = r + rows.start, c + cols.start
+        grid, gap = (upper.T, slack.T) if flip else (upper, slack)
+        floor = best.floor[rows : rows + grid.shape[0]]
+        fresh = np.flatnonzero(floor < -1.5)  # later the heaps' own floors are tighter
+        if len(fresh) and grid.shape[1] >= best.keep:
+            lower = grid[fresh] - 2 * gap[fresh]
+            floor[fresh] = np.partition(lower, -best.keep, axis=1)[:, -best.keep]
+        r, c = np.nonzero(grid >= floor[:, None].astype(np.float32))
+        r, c = r + rows, c + cols
         sims = own.exact(r, other, c)
-        good = sims >= best.floor[r] - 2e-6
+        good = sims >= best.floor[r] - 1e-5
         best.push(r[good], sims[good], other, c[good])
 
 

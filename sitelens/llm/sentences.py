@@ -55,6 +55,7 @@ _L = r"[\p{L}\p{M}\p{N}\p{Cf}]"
 _TOKENS = [
     # the frequent and unambiguous forms first; each leaves what needs a closer look to those below
     ("blank", r"[ ]++(?![\s\p{Thai}])"),
+    ("lower", r"(?<=\s)[a-z]+(?: [a-z]+)*(?=\s)"),
     ("lower", rf"(?:(?<!{_L})\p{{Ll}}(?:(?!\p{{Lu}}){_L}|['’-](?={_L}))*+(?![.!?'’\p{{Lu}}:@/])[ ]*+)+"),
     ("other_script", r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}ー]+|(?=\p{Lo})[\p{Lo}\p{M}]++(?!\.)"),
     ("upper", rf"(?<!{_L})\p{{Lu}}(?:(?!\p{{Lo}}){_L}|-(?={_L}))*+(?![.!?'’:@/])"),
