@@ -35,6 +35,7 @@ from sitelens.session import stored
 
 BLOCK_ROWS = 4096
 _TILE = 1024
+MOST_TASKS = 20_000
 _DECIMALS = 6
 
 
@@ -155,7 +156,8 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, dims: int = 256, b
     tiles = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")).select(
         "vec_id", "members", "vec", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j")
     )
-    found = tiles.groupBy("i", "j").applyInArrow(_pairs(k), "vec_id bigint, near array<struct<sim double, id bigint>>")
+    spots = min(MOST_TASKS, blocks * (blocks + 1))  # twice the tiles: few of them share a task
+    found = tiles.repartition(spots, "i", "j").groupBy("i", "j").applyInArrow(_pairs(k), "vec_id bigint, near array<struct<sim double, id bigint>>")
     best = _merge(found, k + 1)
     members = coded.join(vectors.select("h", "vec", "vec_id"), ["h", "vec"]).select("id", "vec_id")
     out = members.join(best, "vec_id").select("id", F.posexplode(F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k)).alias("rank", "n"))
