@@ -196,7 +196,7 @@ def extract(page: str | None, url: str) -> dict[str, object]:
     images = [t for t in in_body if t.name == "img"]
     sources = [t for t in in_body if t.name == "source"]
     ends = lambda ext: (lambda t: _EXT[ext].search(t.attrs.get("src", "")) is not None)
-    modern = lambda ext: n(t for t in images if ends(ext)(t) or f".{ext}" in t.attrs.get("srcset", "").lower())
+    from_image = lambda ext: sum(1 for t in images if ends(ext)(t) or f".{ext}" in t.attrs.get("srcset", "").lower())
     from_source = lambda ext: sum(1 for t in sources if f"image/{ext}" in t.attrs.get("type", "").lower() or f".{ext}" in t.attrs.get("srcset", "").lower())
     visible, raw = text[body0:body1], text[body0:body1]
     for _, _, a, b in reversed(blocks):
@@ -247,8 +247,8 @@ def extract(page: str | None, url: str) -> dict[str, object]:
         "canonical": canonicals[0] if canonicals else "", "canon_self": "" if not canonicals else flag(target and own and bare(target) == bare(own)), "canonical_count": str(len(canonicals)), "robots_meta": meta.get("robots", ""),
         "html_lang": next((t.get("lang") for t in opening if t.name == "html"), ""), "hreflang_count": str(len(alternates)), "hreflang": ",".join(a for a, _ in alternates), "hreflang_links": "|".join(f"{a}={h}" for a, h in alternates),
         "h1": h1[0] if h1 else "", "h1_count": str(len(h1)), "heading_outline": ",".join(t.name for t in in_body if t.name in _LEVEL),
-        "img_total": str(len(images)), "img_no_alt": n(t for t in images if not t.attrs.get("alt", "").strip()), "img_jpg": n(t for t in images if ends("jpe?g")(t)), "img_webp": str(int(modern("webp")) + from_source("webp")),
-        "img_avif": str(int(modern("avif")) + from_source("avif")), "img_no_dimensions": n(t for t in images if "width" not in t.attrs or "height" not in t.attrs), "first_img_lazy": flag(images and images[0].attrs.get("loading", "").lower() == "lazy"),
+        "img_total": str(len(images)), "img_no_alt": n(t for t in images if not t.attrs.get("alt", "").strip()), "img_jpg": n(t for t in images if ends("jpe?g")(t)), "img_webp": str(from_image("webp") + from_source("webp")),
+        "img_avif": str(from_image("avif") + from_source("avif")), "img_no_dimensions": n(t for t in images if "width" not in t.attrs or "height" not in t.attrs), "first_img_lazy": flag(images and images[0].attrs.get("loading", "").lower() == "lazy"),
         "outlinks_internal": str(len(inner_links)), "outlinks_external": str(outward), "outlinks_authoritative": str(trusted), "word_count": str(words(shown)), "raw_word_count": str(raw_words),
         "https_ok": flag(secure), "mixed_content": flag(secure and insecure), "error_code": "js-guard:empty-body" if raw_words < SHELL_WORDS else "", "viewport_content": meta.get("viewport", ""),
         "charset_ok": flag(regex.search(r"<meta[^>]+charset\s*=\s*[\"']?\s*utf-8", page[:1024], regex.I)), "og_title": meta.get("og:title", ""), "og_image": meta.get("og:image", ""), "og_url": meta.get("og:url", ""),
