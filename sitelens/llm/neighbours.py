@@ -59,6 +59,7 @@ class Block:
         image = codes * scale[:, None]
         self.error = np.sqrt(((unit - image) ** 2).sum(axis=1))
         self.image_norm = np.sqrt((image**2).sum(axis=1))
+        self.unit = unit.astype(np.float32)
 
     def exact(self, a: np.ndarray, other: Block, b: np.ndarray) -> np.ndarray:
         out = np.empty(len(a))
@@ -110,6 +111,9 @@ def _tile(a: Block, b: Block, best_a: Best, best_b: Best | None, i0: int, i1: in
             floor[fresh] = np.partition(lower, -best.keep, axis=1)[:, -best.keep]
         r, c = np.nonzero(grid >= floor[:, None].astype(np.float32))
         r, c = r + rows, c + cols
+        near = np.concatenate([np.einsum("ij,ij->i", own.unit[r[s : s + 8192]], other.unit[c[s : s + 8192]]) for s in range(0, max(1, len(r)), 8192)])
+        kept = near >= best.floor[r] - 2e-5  # 256 products in single precision are off by less
+        r, c = r[kept], c[kept]
         sims = own.exact(r, other, c)
         good = sims >= best.floor[r] - 1e-5
         best.push(r[good], sims[good], other, c[good])
