@@ -15,6 +15,7 @@ from sitelens.session import table
 from sitelens.sources import artifacts
 
 D, Q = Spark(), DuckDb()
+CHILD_LOCS = robots.MAX_LOCS // robots.MAX_CHILDREN  # pages in each child sitemap
 
 
 def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,15 +98,22 @@ def llms_check(spark, sf_dir):
 
 
 def sitemap_expanded(spark, sf_dir):
-    """A sitemap index per site whose children list the site's pages."""
-    c = table(spark, sf_dir, "crawl", "host", "row_no", "url")
-    loc = lambda x: F.concat(F.lit("<url><loc> "), F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))
-    kids = c.withColumn("part", F.col("row_no") % 3).groupBy("host", "part").agg(F.concat_ws("", F.array_sort(F.collect_list(F.when(F.col("row_no") % 50 == 0, loc("url"))))).alias("body"))
+    """A sitemap index per site whose children list all pages of the site, in crawl order.
+
+    A child lists ``CHILD_LOCS`` pages, so no cell grows with the site, and the reference's caps on
+    children and addresses are reached together.
+    """
+    c = table(spark, sf_dir, "crawl", "host", "row_no", "url").groupBy("host", "url").agg(F.min("row_no").alias("row_no"))
+    placed = audit.ranked(c, ["host"]).withColumn("part", F.floor(F.col("rank") / CHILD_LOCS))
+    loc = F.concat(F.lit("<url><loc> "), F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))
+    listed = F.array_sort(F.collect_list(F.struct("rank", loc.alias("loc"))))
+    kids = placed.groupBy("host", "part").agg(F.concat_ws("", F.transform(listed, lambda x: x["loc"])).alias("body"))
     child = lambda p: F.concat(F.lit("https://"), F.col("host"), F.lit("/sitemap-"), p.cast("string"), F.lit(".xml"))
     files = kids.select(F.col("host").alias("site"), child(F.col("part")).alias("url"), "body", F.lit(False).alias("is_root"))
-    index = c.select("host").distinct().select(
+    parts = F.transform(F.sequence(F.lit(0), F.col("last")), lambda p: F.concat(F.lit("<sitemap><loc>"), child(p), F.lit("</loc></sitemap>")))
+    index = placed.groupBy("host").agg(F.max("part").cast("int").alias("last")).select(
         F.col("host").alias("site"), F.concat(F.lit("https://"), "host", F.lit("/sitemap.xml")).alias("url"),
-        F.concat(F.lit("<sitemapindex>"), *[F.concat(F.lit("<sitemap><loc>"), child(F.lit(p)), F.lit("</loc></sitemap>")) for p in (0, 1, 2)], F.lit("<sitemap><loc>https://other.example/s.xml</loc></sitemap></sitemapindex>")).alias("body"), F.lit(True).alias("is_root"),
+        F.concat(F.lit("<sitemapindex>"), F.concat_ws("", parts), F.lit("<sitemap><loc>https://other.example/s.xml</loc></sitemap></sitemapindex>")).alias("body"), F.lit(True).alias("is_root"),
     )
     return robots.expand_index(files.unionByName(index)).select("site", "loc")
 
