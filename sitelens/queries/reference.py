@@ -148,8 +148,8 @@ def _page(c: dict[str, Column]) -> Column:
 def html_features_q(spark, sf_dir):
     c = table(spark, sf_dir, "crawl")
     s = lambda x: F.coalesce(F.trim(F.regexp_replace(x, r"[\s\p{Z}\x{FEFF}]+", " ")), F.lit(""))
-    small = lambda x: F.least(F.expr(D.int(x)), F.lit(40)).cast("int")
-    cells = {x: s(x) for x in ("title", "meta_desc", "h1", "robots_meta", "html_lang", "viewport_content", "canonical")} | {"jpg": small("img_jpg"), "webp": small("img_webp"), "links": small("outlinks_internal")}
+    count = lambda x: F.expr(D.int(x)).cast("int")
+    cells = {x: s(x) for x in ("title", "meta_desc", "h1", "robots_meta", "html_lang", "viewport_content", "canonical")} | {"jpg": count("img_jpg"), "webp": count("img_webp"), "links": count("outlinks_internal")}
     got = html_features.features(c.select("row_no", "url", _page(cells).alias("html")), "row_no", "url", "html")
     return got.select("row_no", "title", "title_len", "meta_desc", "meta_missing", "robots_meta", "html_lang", "viewport_content", "canonical", "h1", "h1_count", "img_total", "img_jpg", "img_webp", "outlinks_internal", "charset_ok", "https_ok")
 

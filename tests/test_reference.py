@@ -9,3 +9,10 @@ def test_sitemap_lists_every_page(spark, tmp_path):
     spark.createDataFrame(rows, "host string, row_no bigint, url string").write.parquet(f"{tmp_path}/crawl.parquet")
     got = [(r.site, r.loc) for r in reference.sitemap_expanded(spark, str(tmp_path)).collect()]
     assert len(got) == len(pages) and set(got) == pages
+
+
+def test_html_pages_carry_their_true_counts(spark, tmp_path):
+    cells = {"url": "https://a.example/", "title": "T", "meta_desc": "", "h1": "H", "robots_meta": "", "html_lang": "de", "viewport_content": "", "canonical": "", "img_jpg": "41", "img_webp": "55", "outlinks_internal": "196"}
+    spark.createDataFrame([(1, *cells.values())], "row_no bigint, " + ", ".join(f"{c} string" for c in cells)).write.parquet(f"{tmp_path}/crawl.parquet")
+    (r,) = reference.html_features_q(spark, str(tmp_path)).collect()
+    assert (r.img_jpg, r.img_webp, r.img_total, r.outlinks_internal) == ("41", "55", "96", "196")
