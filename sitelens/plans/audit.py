@@ -25,25 +25,31 @@ def rule_table(spark) -> DataFrame:
     return spark.createDataFrame([(r.rule_id, r.category, r.severity, r.scope, {k: float(v) for k, v in r.params.items()}) for r in CATALOGUE.values()], "rule_id string, category string, severity string, scope string, params map<string,double>")
 
 
-def findings(hits: DataFrame, crawl: DataFrame) -> DataFrame:
+def findings(hits: DataFrame, crawl: DataFrame, site_status: DataFrame | None = None) -> DataFrame:
     """(host, rule_id, severity, category, hits, pct_of_pages, small_sample): one finding per site and
-    rule that fires. Shares refer to all pages of the site and are left out for small sites."""
+    rule that fires. Shares refer to all pages of the site and are left out for small sites and for
+    rules about the whole site (``site_status``: host, rule_id, status, hits), which name no pages."""
     pages = crawl.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    per_rule = hits.groupBy("host", "rule_id").agg(F.count(F.lit(1)).alias("hits"))
+    per_rule = hits.groupBy("host", "rule_id").agg(F.count(F.lit(1)).alias("hits")).withColumn("of_pages", F.lit(True))
+    if site_status is not None:
+        whole = site_status.where("status = 'finding'").select("host", "rule_id", F.col("hits").cast("bigint").alias("hits"), F.lit(False).alias("of_pages"))
+        per_rule = per_rule.unionByName(whole)
     rules = rule_table(hits.sparkSession).select("rule_id", "severity", "category")
     small = F.col("pages") < SMALL
     return (
         per_rule.join(pages, "host")
         .join(F.broadcast(rules), "rule_id")
-        .select("host", "rule_id", "severity", "category", "hits", F.when(~small, F.round(F.col("hits") / F.col("pages") * 100, 1)).alias("pct_of_pages"), small.alias("small_sample"))
+        .select("host", "rule_id", "severity", "category", "hits", F.when(~small & F.col("of_pages"), F.round(F.col("hits") / F.col("pages") * 100, 1)).alias("pct_of_pages"), small.alias("small_sample"))
     )
 
 
-def statuses(hits: DataFrame, crawl: DataFrame, rule_ids: list[str]) -> DataFrame:
-    """(host, rule_id, status): finding or positive for every site and evaluated rule."""
+def statuses(hits: DataFrame, crawl: DataFrame, rule_ids: list[str], site_status: DataFrame | None = None) -> DataFrame:
+    """(host, rule_id, status): finding or positive for every site and evaluated rule; the rules
+    of ``site_status`` can also be skipped."""
     wanted = crawl.select("host").distinct().withColumn("rule_id", F.explode(F.array(*map(F.lit, rule_ids))))
     fired = hits.select("host", "rule_id").distinct().withColumn("status", F.lit("finding"))
-    return wanted.join(fired, ["host", "rule_id"], "left").withColumn("status", F.coalesce("status", F.lit("positive")))
+    out = wanted.join(fired, ["host", "rule_id"], "left").withColumn("status", F.coalesce("status", F.lit("positive")))
+    return out if site_status is None else out.unionByName(site_status.select("host", "rule_id", "status"))
 
 
 def ranked(hits: DataFrame, keys: list[str], order: str = "row_no") -> DataFrame:
@@ -61,8 +67,8 @@ def ranked(hits: DataFrame, keys: list[str], order: str = "row_no") -> DataFrame
 
 
 def samples(hits: DataFrame) -> DataFrame:
-    """At most ten evenly spaced hits per site and rule, in crawl order: (host, rule_id, ord, url)."""
-    r = ranked(hits, ["host", "rule_id"])
+    """At most ten evenly spaced hits per site and rule, in crawl order or that of ``ord``: (host, rule_id, ord, url)."""
+    r = ranked(hits, ["host", "rule_id"], "ord" if "ord" in hits.columns else "row_no")
     picks = F.when(F.col("total") <= SAMPLE, F.col("rank") < SAMPLE).otherwise(
         reduce(Column.__or__, [F.col("rank") == F.floor(F.lit(i) * (F.col("total") - 1) / (SAMPLE - 1) + 0.5) for i in range(SAMPLE)])
     )

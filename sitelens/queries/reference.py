@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from sitelens.functions.exprs import DuckDb, Spark, host, normalized, path, query
 from sitelens.operators import evaluation as ev
-from sitelens.operators import html_features, knowledge, linkgraph, relations, robots, rules, runtime
+from sitelens.operators import html_features, knowledge, linkgraph, relations, robots, rules, runtime, sites
 from sitelens.plans import audit
-from sitelens.queries.rules import depths, graph
+from sitelens.queries.rules import all_hits, depths, graph, site_status
 from sitelens.queries.signals import ROBOTS, patterns
 from sitelens.session import table
 from sitelens.sources import artifacts
@@ -18,31 +18,29 @@ D, Q = Spark(), DuckDb()
 CHILD_LOCS = robots.MAX_LOCS // robots.MAX_CHILDREN  # pages in each child sitemap
 
 
-def _hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.page_hits(table(spark, sf_dir, "crawl"))
-
-
 def audit_hits(spark, sf_dir):
-    """Every page rule over every page, in one scan."""
-    return _hits(spark, sf_dir).select("rule_id", "host", "row_no")
+    """Every rule over every page and site; a rule about a whole site has no ``row_no``."""
+    whole = site_status(spark, sf_dir).where("status = 'finding'").select("rule_id", "host", F.lit(None).cast("bigint").alias("row_no"))
+    return all_hits(spark, sf_dir).select("rule_id", "host", "row_no").unionByName(whole)
 
 
 def audit_findings(spark, sf_dir):
     crawl = table(spark, sf_dir, "crawl")
-    return audit.findings(audit.page_hits(crawl), crawl).select("host", "rule_id", "severity", "hits", "pct_of_pages")
+    return audit.findings(all_hits(spark, sf_dir), crawl, site_status(spark, sf_dir)).select("host", "rule_id", "severity", "hits", "pct_of_pages")
 
 
 def audit_status(spark, sf_dir):
     crawl = table(spark, sf_dir, "crawl")
-    return audit.statuses(audit.page_hits(crawl), crawl, list(rules.PAGE_RULES))
+    of_pages = [r for r in rules.CATALOGUE if r not in sites.CONDITIONS]
+    return audit.statuses(all_hits(spark, sf_dir), crawl, of_pages, site_status(spark, sf_dir))
 
 
 def audit_samples(spark, sf_dir):
-    return audit.samples(_hits(spark, sf_dir))
+    return audit.samples(all_hits(spark, sf_dir))
 
 
 def audit_clusters(spark, sf_dir):
-    return audit.clusters(_hits(spark, sf_dir))
+    return audit.clusters(all_hits(spark, sf_dir))
 
 
 def audit_meta(spark, sf_dir):

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from sitelens.functions.exprs import DuckDb, Spark, normalized
 from sitelens.operators import linkgraph, relations, rules, sites
+from sitelens.plans import audit
 from sitelens.queries import signals
-from sitelens.session import table
+from sitelens.session import scratch_path, stored, table
 
 SPARK, DUCK = Spark(), DuckDb()
+HREFLANG = "i18n:hreflang-invalid-code"
 # The language and region codes that the check's SQL knows; the library takes the full ISO lists.
 CHECK_LANGUAGES, CHECK_REGIONS = ["de", "en", "es", "fr", "it", "pt", "zh", "ja", "ru", "el", "fa"], ["AT", "BR", "CA", "CH", "DE", "GB", "MX", "TW", "US"]
 
@@ -50,6 +52,42 @@ def relation_rule(rule_id: str):
     return run
 
 
+def relation_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(host, row_no, url, rule_id, ord) of every cross-page rule; the pages are prepared once for all of
+    them, and each rule is a job of its own, so the driver never holds the plans of all.
+
+    ``ord`` is the place in the crawl, for sitemap addresses that in the sitemap. An address that
+    is no page has the number of the first page that declares it.
+    """
+    crawl = table(spark, sf_dir, "crawl")
+    ready = stored(spark.sql(escape(f"WITH {relations.pages(SPARK)} SELECT * FROM pages", {"crawl": crawl}), crawl=crawl), "pages")
+    more = {"patterns": stored(signals.patterns(crawl), "patterns"), "depths": depths(spark, sf_dir)}
+    path = scratch_path(spark, "hits")
+    for rule_id in relations.RELATIONAL:
+        text = relations.build(rule_id, SPARK, patterns="robots_patterns AS (SELECT * FROM {patterns})", ready="{pages}")
+        given = {"pages": ready} | {k: v for k, v in more.items() if "{" + k + "}" in text}
+        hits = spark.sql(escape(text, given), **given)
+        if rule_id == "hygiene:url-inconsistency":  # distinct addresses: each counts with its first live page in a site
+            live = ready.where(F.expr(f"redirected <> '1' AND {SPARK.int('status')} BETWEEN 200 AND 299"))
+            hits = live.join(hits, "url", "left_semi").groupBy(F.col("site").alias("host"), "url").agg(F.min("row_no").alias("row_no"))
+        at = "ord" if "ord" in hits.columns else "row_no"
+        out = hits.select("host", F.col("row_no" if "row_no" in hits.columns else at).alias("row_no"), "url", F.lit(rule_id).alias("rule_id"), F.col(at).alias("ord"))
+        out.write.mode("append").parquet(path)
+    return spark.read.schema("host string, row_no bigint, url string, rule_id string, ord bigint").parquet(path)
+
+
+def all_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(host, row_no, url, rule_id, ord) of every rule that names pages: 64 in one scan, hreflang codes, 17 across pages."""
+    pages = audit.page_hits(table(spark, sf_dir, "crawl"))
+    codes = hreflang_rule(spark, sf_dir).withColumn("rule_id", F.lit(HREFLANG))
+    return pages.unionByName(codes).withColumn("ord", F.col("row_no")).unionByName(relation_hits(spark, sf_dir))
+
+
+def site_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(host, rule_id, status, hits) of the 14 rules about a whole site."""
+    return sites.evaluate(signals.facts(table(spark, sf_dir, "crawl")))
+
+
 def escape(text: str, given: dict) -> str:
     """Doubles the braces of regular expressions, which ``spark.sql`` would take for arguments."""
     text = text.replace("{", "{{").replace("}", "}}")

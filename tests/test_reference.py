@@ -1,4 +1,6 @@
+from sitelens.operators import relations, rules, sites
 from sitelens.queries import reference
+from tests.test_rules import CELLS, _columns
 
 
 def test_sitemap_lists_every_page(spark, tmp_path):
@@ -16,3 +18,25 @@ def test_html_pages_carry_their_true_counts(spark, tmp_path):
     spark.createDataFrame([(1, *cells.values())], "row_no bigint, " + ", ".join(f"{c} string" for c in cells)).write.parquet(f"{tmp_path}/crawl.parquet")
     (r,) = reference.html_features_q(spark, str(tmp_path)).collect()
     assert (r.img_jpg, r.img_webp, r.img_total, r.outlinks_internal) == ("41", "55", "96", "196")
+
+
+def _crawl(spark, path, rows):
+    cols = sorted({"host", "url", "heading_outline", "hreflang", "hreflang_links", "resource_paths", "has_org", "has_microdata", "has_rdfa", *_columns(), *relations._FIELDS, *CELLS, "error_code", "ld_types", "robots_meta", "viewport_content"})
+    made = [(i, *[({c: "" for c in cols} | CELLS | r)[c] for c in cols]) for i, r in enumerate(rows)]
+    spark.createDataFrame(made, "row_no bigint, " + ", ".join(f"{c} string" for c in cols)).write.parquet(f"{path}/crawl.parquet")
+    return str(path)
+
+
+def test_audit_covers_the_whole_catalogue(spark, tmp_path):
+    host = "abcd.example.x"  # 14 letters: its robots.txt closes the whole site
+    pages = [{"host": host, "url": f"https://{host}/{i}", "title": f"A fine title that is long enough {i // 2}", "hreflang": "zz" if i == 1 else ""} for i in range(6)]
+    at = _crawl(spark, tmp_path, pages)
+    status = {r.rule_id: r.status for r in reference.audit_status(spark, at).collect()}
+    assert set(status) == set(rules.CATALOGUE) and set(status.values()) == {"finding", "positive", "skipped"}
+    assert status["onpage:title-dup"] == status["tech:robots-site-blocked"] == status["i18n:hreflang-invalid-code"] == "finding" and status["tech:safe-browsing-flagged"] == "skipped"
+    found = {r.rule_id: (r.hits, r.pct_of_pages) for r in reference.audit_findings(spark, at).collect()}
+    assert set(found) == {r for r, s in status.items() if s == "finding"}
+    assert found["onpage:title-dup"] == (6, 100.0) and found["i18n:hreflang-invalid-code"] == (1, 16.7) and found["tech:robots-site-blocked"] == (1, None)
+    assert {r.row_no for r in reference.audit_hits(spark, at).collect() if r.rule_id == "onpage:title-dup"} == set(range(6))
+    named = {r for r in found if r not in sites.CONDITIONS}
+    assert {r.rule_id for r in reference.audit_samples(spark, at).collect()} == {r.rule_id for r in reference.audit_clusters(spark, at).collect()} == named
