@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +15,9 @@ def inlinks(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").distinct().groupBy("dst").agg(F.count(F.lit(1)).alias("inlinks"))
 
 
-def click_depth(edges: DataFrame, roots: DataFrame, crawled: DataFrame | None = None, max_depth: int = 64) -> DataFrame:
+def click_depth(edges: DataFrame, roots: DataFrame, crawled: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
     """(url, depth): fewest clicks from a root. Links of pages that were not crawled are not followed.
+    Runs until no new page is reached (pages seen before end every cycle), or to ``max_depth`` if given.
 
     One shuffle join per level; the frontier and the visited set are written to the shared
     folder each level, so the plan stays short and a lost executor costs one level.
@@ -25,12 +28,14 @@ def click_depth(edges: DataFrame, roots: DataFrame, crawled: DataFrame | None =
     links = stored(links, "links")
     seen = stored(roots.select("url").distinct().withColumn("depth", F.lit(0)), "depth-0")
     frontier = seen
-    for level in range(1, max_depth + 1):
+    for level in count(1) if max_depth is None else range(1, max_depth + 1):
         reached = frontier.join(links, frontier.url == links.src).select(F.col("dst").alias("url")).distinct()
         fresh = stored(reached.join(seen, "url", "left_anti").withColumn("depth", F.lit(level)), f"depth-{level}")
         if fresh.isEmpty():
             break
         seen, frontier = seen.unionByName(fresh), fresh
+        if level % 32 == 0:  # a long chain would make the union long
+            seen = stored(seen, "depths")
     return seen
 
 

@@ -1,4 +1,4 @@
-from sitelens.operators import relations, rules, sites
+from sitelens.operators import linkgraph, relations, rules, sites
 from sitelens.queries import reference
 from tests.test_rules import CELLS, _columns
 
@@ -40,3 +40,11 @@ def test_audit_covers_the_whole_catalogue(spark, tmp_path):
     assert {r.row_no for r in reference.audit_hits(spark, at).collect() if r.rule_id == "onpage:title-dup"} == set(range(6))
     named = {r for r in found if r not in sites.CONDITIONS}
     assert {r.rule_id for r in reference.audit_samples(spark, at).collect()} == {r.rule_id for r in reference.audit_clusters(spark, at).collect()} == named
+
+
+def test_depth_has_no_bound(spark):
+    n = 70
+    edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(n)], "src string, dst string").coalesce(1)
+    roots = spark.createDataFrame([("0",)], "url string").coalesce(1)
+    assert {r.url: r.depth for r in linkgraph.click_depth(edges, roots).collect()} == {str(i): i for i in range(n + 1)}
+    assert linkgraph.click_depth(edges, roots, max_depth=2).count() == 3
