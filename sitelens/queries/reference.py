@@ -119,7 +119,7 @@ def sitemap_expanded(spark, sf_dir):
 def crawl_frontier(spark, sf_dir):
     c = table(spark, sf_dir, "crawl", "host", "row_no", "url", "canonical", "page_type")
     seeds = c.where("canonical <> ''").select(F.col("host").alias("site"), F.col("row_no").alias("ord"), F.col("canonical").alias("url"))
-    return artifacts.frontier(c.select(F.col("host").alias("site"), "url", "page_type"), seeds, 40).select("site", "no", "url")
+    return artifacts.frontier(c.select(F.col("host").alias("site"), "url", "page_type"), seeds, artifacts.PROFILES["full"]["max_urls"]).select("site", "no", "url")
 
 
 def url_types(spark, sf_dir):

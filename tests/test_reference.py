@@ -48,3 +48,9 @@ def test_depth_has_no_bound(spark):
     roots = spark.createDataFrame([("0",)], "url string").coalesce(1)
     assert {r.url: r.depth for r in linkgraph.click_depth(edges, roots).collect()} == {str(i): i for i in range(n + 1)}
     assert linkgraph.click_depth(edges, roots, max_depth=2).count() == 3
+
+
+def test_frontier_goes_on_to_the_profile_limit(spark, tmp_path):
+    rows = [(i, "a.example", f"https://a.example/{i}", f"https://a.example/{i}", "page") for i in range(100)]
+    spark.createDataFrame(rows, "row_no bigint, host string, url string, canonical string, page_type string").write.parquet(f"{tmp_path}/crawl.parquet")
+    assert sorted(r.no for r in reference.crawl_frontier(spark, str(tmp_path)).collect()) == list(range(1, 101))
