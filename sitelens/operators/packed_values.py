@@ -42,8 +42,6 @@ from pyspark.sql import functions as F
 from sitelens.session import spread
 
 KEY_SLOTS = 1 << 14
-#: Longest value, in atoms that could each begin a value.
-MAX_SPAN = 64
 ROUNDS = 4
 
 _SEP = r"(?:[\s,;|]|→|»|=>|->|>(?=\s|$))"
@@ -138,8 +136,10 @@ class Model:
         return zlib.crc32(key.encode()) % KEY_SLOTS
 
     def value(self, key: str, span: int) -> float:
-        base = 1e-3**span
-        return math.log((self.counts.get(self.slot(key), 0.0) + base) / (self.total + 1.0))
+        seen, base = self.counts.get(self.slot(key), 0.0), 1e-3**span
+        if not seen + base:  # the power of a long value is 0
+            return span * math.log(1e-3) - math.log(self.total + 1.0)
+        return math.log((seen + base) / (self.total + 1.0))
 
     def sep(self, cls: str) -> tuple[float, float]:
         """log P(ends a value), log P(belongs to one)"""
@@ -153,7 +153,7 @@ def _edges(form: tuple, model: Model) -> list[list[tuple[int, float, str]]]:
     n, out = len(form), []
     for i in range(n):
         key, score, own = "", 0.0, []
-        for j in range(i, min(n, i + MAX_SPAN)):
+        for j in range(i, n):
             cls, shape, quoted = form[j]
             if j > i:
                 if quoted or form[i][2]:

@@ -1,4 +1,4 @@
-from sitelens.operators import linkgraph, relations, rules, sites
+from sitelens.operators import linkgraph, packed_values, relations, rules, sites
 from sitelens.queries import reference
 from tests.test_rules import CELLS, _columns
 
@@ -54,3 +54,10 @@ def test_frontier_goes_on_to_the_profile_limit(spark, tmp_path):
     rows = [(i, "a.example", f"https://a.example/{i}", f"https://a.example/{i}", "page") for i in range(100)]
     spark.createDataFrame(rows, "row_no bigint, host string, url string, canonical string, page_type string").write.parquet(f"{tmp_path}/crawl.parquet")
     assert sorted(r.no for r in reference.crawl_frontier(spark, str(tmp_path)).collect()) == list(range(1, 101))
+
+
+def test_value_of_any_number_of_paths():
+    form = tuple(("," + ("?" if i else ""), "p", False) for i in range(150))
+    model = packed_values.Model({packed_values.Model.slot("x"): 1.0}, inside={",?": 1e6})
+    assert packed_values._edges(form, model)[0][-1][0] == 150
+    assert packed_values.best_cuts(form, model)[-1] == 150
