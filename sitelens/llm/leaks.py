@@ -2,23 +2,27 @@
 
 Method
 ------
-1. Every run of ``WORDS`` words of a passage (``LETTERS`` letters and digits in Chinese and
+1. Every run of ``SEED[0]`` words of a passage (``SEED[1]`` letters and digits in Chinese and
    Japanese, which have no blanks) is a *seed*, known by its Karp-Rabin hash.
 2. The rolling hashes of a document's runs are tested against a bit table of the seeds; runs
-   that pass are joined with the seeds by hash, which gives the pairs to compare.
-3. Each pair is tiled greedily: the longest match not yet covered is marked in both texts,
-   again and again, with Karp-Rabin hashes at falling lengths down to the seed length. So
-   reordered and repeated passages are found, and tiles never overlap.
-4. A pair is a leak if its tiles cover at least one seed; the share of the item's words that
-   they cover tells a full leak from a partial one.
-
-Scale: a document is read once and only its passing hashes are shuffled. The bit table has a
-fixed size, whatever the number of items; it only thins out, the join decides. Seeds are
-broadcast only below ``BROADCAST_SEEDS`` rows. Repeated texts are each reported.
+   that pass are joined with the seeds by hash. A pair of document and item is compared if it
+   shares as many different seeds as one run of ``FULL`` units or the least coverage must hold.
+3. Each pair is tiled greedily by running Karp-Rabin: the search length starts at the longest
+   run that both texts still have unmarked and falls to the seed length; at each length all
+   runs that do not overlap are marked in both texts. So reordered and repeated passages are
+   found, and tiles never overlap.
+4. A pair is a leak if one tile has ``FULL`` units (a passage in a piece), or if the tiles
+   cover ``COVERAGE`` of the passage (a passage in reordered pieces, each below that length).
+
+Scale: a document is read once and only its passing hashes are shuffled. The bit table grows
+with the number of seeds up to ``MOST_BITS`` (16 MB); beyond that it only thins out, the join
+decides. Documents are salted against the seeds and the items, so that a seed or an item that
+a third of all documents hold is spread over tasks. Repeated texts are each reported.
 
 Defined cases: null and empty texts and passages give nothing; passages shorter than a seed
 give nothing; case, punctuation, markup, spacing, line breaks and invisible characters do
-not count; very long texts are hashed in linear time.
+not count; very long and repetitive texts are hashed and tiled in linear time for each
+search length; other columns are not read.
 """
 
 from __future__ import annotations
@@ -34,12 +38,16 @@ from pyspark.sql import functions as F
 
 from sitelens.session import spread, stored
 
-WORDS, LETTERS = 12, 24
-FILTER_BITS = 1 << 23
-BROADCAST_SEEDS = 1_000_000
+#: Units (words; letters in Chinese and Japanese) of a seed, and of a piece that is a leak by itself.
+SEED, FULL = (6, 12), (12, 24)
+#: Share of a passage that its tiles must cover where no tile is as long as that.
+COVERAGE = 0.5
+LEAST_BITS, MOST_BITS, BITS_PER_SEED = 1 << 18, 1 << 27, 32
+SALTS = 16
 _UNSPACED = ("ja", "zh")
 _CF = regex.compile(r"\p{Cf}+")
 _BASE = np.uint64(0x100000001B3)
+_INVERSE = np.uint64(pow(0x100000001B3, -1, 1 << 64))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -79,15 +87,26 @@ def _powers(n: int) -> np.ndarray:
     return out
 
 
+def _inverse_powers(n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    np.multiply.accumulate(np.full(n - 1, _INVERSE), out=out[1:]) if n > 1 else None
+    return out
+
+
+def prefix_sums(units: np.ndarray) -> np.ndarray:
+    """Sums of ``unit * base**position``: two of them give the hash of any run between."""
+    return np.concatenate((np.zeros(1, np.uint64), np.cumsum(units * _powers(len(units)), dtype=np.uint64)))
+
+
+def run_hashes(sums: np.ndarray, inverse: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Karp-Rabin hashes of the runs of ``size`` units at ``starts``."""
+    return _mix((sums[starts + size] - sums[starts]) * inverse[starts])
+
+
 def rolling(units: np.ndarray, size: int) -> np.ndarray:
     """Hash of each run of ``size`` units."""
     n = len(units) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for k in range(size):
-        out = out * _BASE + units[k : k + n]
-    return _mix(out)
+    return run_hashes(prefix_sums(units), _inverse_powers(n), np.arange(n), size) if n > 0 else np.zeros(0, np.uint64)
 
 
 def units_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -128,27 +147,40 @@ def runs_of(texts: list[str], words: int, letters: int, unspaced: bool | None =
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
-def _seeds(words: int, letters: int):
+def _unspaced(lang: str | None) -> bool:
+    return (lang or "").strip().lower()[:2] in _UNSPACED
+
+
+def needed(units: int, seed: int, full: int, coverage: float) -> int:
+    """How many different seeds a pair must share to be compared: a run of ``full`` units has
+    ``full - seed + 1``; tiles of ``coverage`` of the passage have at least one each ``2 * seed - 1`` units."""
+    return max(1, min(full - seed + 1, int(np.ceil(coverage * units / (2 * seed - 1)))))
+
+
+def _seeds(seed: tuple[int, int], full: tuple[int, int], coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for item, lang, passage in zip(*(c.to_pylist() for c in b.columns)):
-                h, _ = runs_of([plain(passage or "")], words, letters, (lang or "").strip().lower()[:2] in _UNSPACED)
+                east = _unspaced(lang)
+                h, _ = runs_of([plain(passage or "")], *seed, east)
+                least = needed(len(h) + seed[east] - 1, seed[east], full[east], coverage)
                 h = np.unique(h).astype(np.int64)
                 if len(h):
-                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([item] * len(h), b.schema.field(0).type)], names=["hash", "item"])
+                    least = min(least, len(h))  # a passage that repeats itself has fewer different seeds
+                    yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([item] * len(h), b.schema.field(0).type), pa.array([least] * len(h), pa.int32())], names=["hash", "item", "least"])
 
     return run
 
 
-def _probe(key: str, words: int, letters: int, bits: bytes):
+def _probe(key: str, seed: tuple[int, int], bits: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.frombuffer(bits, np.uint8)
+        table, mask = np.frombuffer(bits, np.uint8), np.uint64(8 * len(bits) - 1)
         for b in batches:
             for s in range(0, b.num_rows, 2000):
                 part = b.slice(s, 2000)
                 texts = part.column(1).to_pylist()
-                h, owner = runs_of([plain(t or "") for t in texts], words, letters)
-                slot = h & np.uint64(FILTER_BITS - 1)
+                h, owner = runs_of([plain(t or "") for t in texts], *seed)
+                slot = h & mask
                 hit = (table[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
                 h, owner = h[hit].astype(np.int64), owner[hit]
                 if len(h):
@@ -161,95 +193,123 @@ def _probe(key: str, words: int, letters: int, bits: bytes):
     return run
 
 
+class _Side:
+    """One text of a pair: its units as numbers, prefix sums for hashes, marks."""
+
+    def __init__(self, units: np.ndarray):
+        self.units, self.n = units, len(units)
+        hashed = _mix(units.astype(np.uint64) + np.uint64(1))
+        self.sums, self.inverse = prefix_sums(hashed), _inverse_powers(max(1, self.n))
+        self.taken = np.zeros(self.n, bool)
+
+    def free(self, size: int, among: np.ndarray | None = None) -> np.ndarray:
+        """Starts of the runs of ``size`` units without a mark."""
+        if self.n < size:
+            return np.zeros(0, np.int64)
+        marks = np.concatenate(([0], np.cumsum(self.taken)))
+        starts = np.arange(self.n - size + 1) if among is None else among[among <= self.n - size]
+        return starts[marks[starts + size] == marks[starts]]
+
+    def hashes(self, starts: np.ndarray, size: int) -> np.ndarray:
+        return run_hashes(self.sums, self.inverse, starts, size)
+
+
 def tiles(a: list, b: list, least: int) -> list[tuple[int, int, int]]:
     """Greedy string tiling of ``a`` and ``b``: (start in a, start in b, length), longest first.
 
-    Running Karp-Rabin: at each search length the runs of unmarked units of ``b`` are hashed and
-    those of ``a`` looked up; equal runs are grown, the longest are marked; the length falls.
+    Running Karp-Rabin with a falling search length: the longest run that is unmarked in both is
+    searched by halving, all such runs are marked from left to right, and so on down to ``least``.
     """
-    free_a, free_b, out = [True] * len(a), [True] * len(b), []
-
-    def matches(size: int) -> list[tuple[int, int, int]]:
-        index: dict = {}
-        for j in _starts(free_b, size):
-            index.setdefault(hash(tuple(b[j : j + size])), []).append(j)
-        found = []
-        for i in _starts(free_a, size):
-            for j in index.get(hash(tuple(a[i : i + size])), ()):
-                if a[i : i + size] == b[j : j + size]:
-                    if i and j and free_a[i - 1] and free_b[j - 1] and a[i - 1] == b[j - 1]:
-                        continue  # part of a match found already
-                    n = size
-                    while i + n < len(a) and j + n < len(b) and free_a[i + n] and free_b[j + n] and a[i + n] == b[j + n]:
-                        n += 1
-                    found.append((n, i, j))
-        return [(i, j, n) for n, i, j in sorted(found, key=lambda m: (-m[0], m[1], m[2]))]
-
-    while True:
-        best = matches(least)
-        if not best:
-            return out
-        longest = best[0][2]
-        for i, j, n in best:
-            if n < longest:
-                break  # shorter ones may have been cut by the tiles just marked: search again
-            if all(free_a[i : i + n]) and all(free_b[j : j + n]):
-                free_a[i : i + n] = [False] * n
-                free_b[j : j + n] = [False] * n
-                out.append((i, j, n))
-
-
-def _starts(free: list[bool], size: int) -> Iterator[int]:
-    run = 0
-    for k, f in enumerate(free):
-        run = run + 1 if f else 0
-        if run >= size:
-            yield k - size + 1
+    number: dict = {}
+    one, two = (_Side(np.fromiter((number.setdefault(u, len(number)) for u in x), np.int64, len(x))) for x in (a, b))
+    out: list[tuple[int, int, int]] = []
+    # every match begins where a run of the least length matches
+    i0, j0 = one.free(least), two.free(least)
+    hi, hj = one.hashes(i0, least), two.hashes(j0, least)
+    i0, j0 = i0[np.isin(hi, hj)], j0[np.isin(hj, hi)]
+
+    def matching(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        i, j = one.free(size, i0), two.free(size, j0)
+        x, y = one.hashes(i, size), two.hashes(j, size)
+        keep = np.isin(x, y)
+        return i[keep], x[keep], j, y
+
+    top = min(one.n, two.n)
+    while top >= least:
+        low, high = least - 1, top  # the longest common run has at least low and at most high units
+        while low < high:
+            mid = (low + high + 1) // 2
+            low, high = (mid, high) if len(matching(mid)[0]) else (low, mid - 1)
+        if low < least:
+            break
+        i, x, j, y = matching(low)
+        where: dict[int, list[int]] = {}
+        for h, k in zip(y.tolist()[::-1], j.tolist()[::-1]):
+            where.setdefault(h, []).append(k)
+        for h, k in zip(x.tolist(), i.tolist()):
+            if one.taken[k] or one.taken[k + low - 1]:
+                continue
+            spots = where[h]
+            while spots and (two.taken[spots[-1]] or two.taken[spots[-1] + low - 1]):
+                spots.pop()  # a run once marked stays marked
+            if spots and (one.units[k : k + low] == two.units[spots[-1] : spots[-1] + low]).all():
+                m = spots.pop()
+                one.taken[k : k + low] = two.taken[m : m + low] = True
+                out.append((k, m, low))
+        top = low - 1
+    return out
 
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
-def compare(text: str, passage: str, unspaced: bool, words: int, letters: int) -> tuple[float, int, int]:
+def compare(text: str, passage: str, unspaced: bool, seed: tuple[int, int] = SEED) -> tuple[float, int, int]:
     """(share of the passage covered, longest tile, tiles)"""
     a, b = (_WORD.findall(plain(x)) for x in (text, passage))
     if unspaced:
         a, b = list("".join(a)), list("".join(b))
-    least = letters if unspaced else words
-    shared = set(b)
-    edges = [k for k, u in enumerate(a) if u in shared]  # units far from any shared one can't be in a tile
-    if not edges:
-        return 0.0, 0, 0
-    found = tiles(a[edges[0] : edges[-1] + 1], b, least)
-    covered = sum(n for _, _, n in found)
-    return covered / max(1, len(b)), max((n for _, _, n in found), default=0), len(found)
+    found = tiles(a, b, seed[unspaced])
+    return sum(n for _, _, n in found) / max(1, len(b)), max((n for _, _, n in found), default=0), len(found)
 
 
-def _verify(key: str, item: str, words: int, letters: int):
+def _verify(key: str, item: str, seed: tuple[int, int], full: tuple[int, int], coverage: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for k, text, i, lang, passage in zip(*(c.to_pylist() for c in b.columns)):
-                share, longest, n = compare(text, passage, (lang or "").strip().lower()[:2] in _UNSPACED, words, letters)
-                if n:
-                    rows.append((k, i, share, longest, n))
+                east = _unspaced(lang)
+                share, longest, n = compare(text, passage, east, seed)
+                if longest >= full[east] or share >= coverage:
+                    rows.append((k, i, share, longest, n, longest >= full[east]))
             if rows:
-                types = (b.schema.field(0).type, b.schema.field(2).type, pa.float64(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[key, item, "coverage", "longest", "tiles"])
+                types = (b.schema.field(0).type, b.schema.field(2).type, pa.float64(), pa.int32(), pa.int32(), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=[key, item, "coverage", "longest", "tiles", "in_one_piece"])
 
     return run
 
 
-def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, lang: str, passage: str, words: int = WORDS, letters: int = LETTERS) -> DataFrame:
-    """(``key``, ``item``, coverage, longest, tiles) for each document and item that it leaks."""
-    k_type, i_type = (d.select(c).schema[0].dataType.simpleString() for d, c in ((docs, key), (items, item)))
-    seeds = items.select(item, lang, passage).mapInArrow(_seeds(words, letters), f"hash bigint, item {i_type}").persist()
-    slots = seeds.select((F.col("hash").bitwiseAND(F.lit(FILTER_BITS - 1))).alias("s")).select(F.floor(F.col("s") / 32768).alias("part"), (F.col("s") % 32768).alias("bit"))
-    table = bytearray(FILTER_BITS // 8)
-    for part, bits in slots.groupBy("part").agg(F.bitmap_construct_agg("bit")).collect():  # at most FILTER_BITS / 32,768 rows
+def _bit_table(seeds: DataFrame) -> bytes:
+    """Bits of the seeds' hashes: a power of two, at least ``BITS_PER_SEED`` for each, ``MOST_BITS`` at most."""
+    size = LEAST_BITS
+    while size < MOST_BITS and size < BITS_PER_SEED * seeds.count():
+        size *= 2
+    slots = seeds.select((F.col("hash").bitwiseAND(F.lit(size - 1))).alias("s")).select(F.floor(F.col("s") / 32768).alias("part"), (F.col("s") % 32768).alias("bit"))
+    table = bytearray(size // 8)
+    for part, bits in slots.groupBy("part").agg(F.bitmap_construct_agg("bit")).collect():  # at most MOST_BITS / 32,768 rows
         table[part * 4096 : (part + 1) * 4096] = bits
-    near = stored(spread(docs.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(key, text)).mapInArrow(_probe(key, words, letters, bytes(table)), f"{key} {k_type}, text string, hashes array<bigint>"), "near")
-    seed_side = F.broadcast(seeds) if seeds.count() <= BROADCAST_SEEDS else seeds
-    pairs = near.select(key, F.explode("hashes").alias("hash")).join(seed_side, "hash").select(key, F.col("item").alias(item)).distinct()
-    full = pairs.join(near.select(key, "text"), key).join(items.select(item, lang, passage), item).select(key, "text", item, lang, passage)
-    return full.mapInArrow(_verify(key, item, words, letters), f"{key} {k_type}, {item} {i_type}, coverage double, longest int, tiles int").distinct()
+    return bytes(table)
+
+
+def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item: str, lang: str, passage: str, seed: tuple[int, int] = SEED, full: tuple[int, int] = FULL, coverage: float = COVERAGE) -> DataFrame:
+    """(``key``, ``item``, coverage, longest, tiles, in_one_piece) for each document and item that it leaks."""
+    k_type, i_type = (d.select(c).schema[0].dataType.simpleString() for d, c in ((docs, key), (items, item)))
+    seeds = stored(items.select(item, lang, passage).mapInArrow(_seeds(seed, full, coverage), f"hash bigint, item {i_type}, least int"), "seeds")
+    probe = _probe(key, seed, _bit_table(seeds))
+    near = stored(spread(docs.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(key, text)).mapInArrow(probe, f"{key} {k_type}, text string, hashes array<bigint>"), "near")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salted = F.pmod(F.hash(key), F.lit(SALTS)).alias("salt")
+    shared = near.select(key, salted, F.explode("hashes").alias("hash")).distinct().join(seeds.select("hash", "item", "least", salts), ["hash", "salt"])
+    pairs = shared.groupBy(key, "item", "salt").agg(F.count(F.lit(1)).alias("n"), F.first("least").alias("least")).where("n >= least").select(key, "salt", F.col("item").alias(item))
+    full_texts = pairs.join(items.select(item, F.col(lang).alias("lang"), F.col(passage).alias("passage"), salts), [item, "salt"]).join(near.select(key, "text"), key)
+    verify = _verify(key, item, seed, full, coverage)
+    return full_texts.select(key, "text", item, "lang", "passage").mapInArrow(verify, f"{key} {k_type}, {item} {i_type}, coverage double, longest int, tiles int, in_one_piece boolean").distinct()

@@ -79,8 +79,8 @@ def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents and the items of which they hold a passage."""
-    return p8_leaks(spark, sf_dir).select("doc_id", "item_id")
+    """Documents and the items of which they hold a piece of twelve words (24 letters in ja and zh)."""
+    return p8_leaks(spark, sf_dir).where("in_one_piece").select("doc_id", "item_id")
 
 
 def p9_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -106,11 +106,24 @@ p AS (SELECT a.chunk_no AS q, b.chunk_no AS r, round(list_cosine_similarity(a.v,
 k AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY s DESC, r) AS n FROM p)
 """
 
+# whole words and letters by position; runs compared as texts
+_P8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(regexp_replace(nfc_normalize(text), '\p{Cf}+', '', 'g')), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, lang IN ('ja', 'zh') AS east, regexp_extract_all(lower(regexp_replace(nfc_normalize(passage), '\p{Cf}+', '', 'g')), '[\p{L}\p{N}]+') AS w FROM eval_items),
+dc AS (SELECT doc_id, array_to_string(w, '') AS c FROM d), ic AS (SELECT item_id, array_to_string(w, '') AS c FROM i WHERE east),
+words AS (SELECT doc_id, array_to_string(w[k:k+11], ' ') AS run FROM d, range(1, len(w) - 10) t(k)),
+letters AS (SELECT doc_id, substr(c, k, 24) AS run FROM dc, range(1, length(c) - 22) t(k)),
+word_seeds AS (SELECT DISTINCT item_id, array_to_string(w[k:k+11], ' ') AS run FROM i, range(1, len(w) - 10) t(k) WHERE NOT east),
+letter_seeds AS (SELECT DISTINCT item_id, substr(c, k, 24) AS run FROM ic, range(1, length(c) - 22) t(k))
+SELECT DISTINCT doc_id, item_id FROM words JOIN word_seeds USING (run) UNION SELECT DISTINCT doc_id, item_id FROM letters JOIN letter_seeds USING (run)
+"""
+
 QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_canonical": p3_canonical, "p5_found": p5_found, "p5_copies": p5_copies, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_sentences": p9_sentences}
 SQL = {
     "p6_found": _P6_SQL + "SELECT DISTINCT least(q, r) AS chunk_a, greatest(q, r) AS chunk_b FROM k WHERE n <= 5",
     "p6_neighbours": _P6_SQL + "SELECT q AS chunk_no, r AS neighbour, s AS similarity, CAST(n AS INT) AS rank FROM k WHERE n <= 5",
     "p2_found": _P2_SQL,
+    "p8_found": _P8_SQL,
     "p5_found": _P5_SQL + "SELECT first_row AS row_a, row_no AS row_b FROM m WHERE row_no <> first_row",
     "p5_copies": _P5_SQL + "SELECT row_no, copies FROM m WHERE row_no = first_row",
 }
