@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.operators.orphans import audit_references, orphans
-from sitelens.operators.packed_values import split_packed
+from sitelens.operators.packed_values import lattice_report, split_packed
 from sitelens.session import table
 
 PACKED = ["redirect_chain", "ld_types", "hreflang", "resource_paths"]
@@ -17,6 +17,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_packed(table(spark, sf_dir, "crawl", "row_no", *PACKED), "row_no", PACKED)
 
 
+def p1_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per field: cells, atoms, values, and cells in which the lattice had a choice."""
+    return lattice_report(table(spark, sf_dir, "crawl", *PACKED), PACKED)
+
+
 def _orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphans(*audit_references(*(table(spark, sf_dir, t) for t in ("judge", "findings", "affected_urls", "rule_registry"))))
 
@@ -51,7 +56,7 @@ o AS (
       AND f.produced_at <= j.t AND (f.f.deleted_at IS NULL OR j.t < f.f.deleted_at)))
 """
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_report": p4_report}
+QUERIES = {"p1_found": p1_found, "p1_lattice": p1_lattice, "p4_found": p4_found, "p4_report": p4_report}
 SQL = {
     "p4_found": _P4_SQL + "SELECT DISTINCT src_table, src_key, src_item, ref_key FROM o",
     "p4_report": _P4_SQL + "SELECT src_table, strftime(t, '%Y-%m') AS month, count(*) AS orphans, count(DISTINCT ref_key) AS missing_keys FROM o GROUP BY 1, 2",

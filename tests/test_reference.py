@@ -57,7 +57,7 @@ def test_frontier_goes_on_to_the_profile_limit(spark, tmp_path):
 
 
 def test_value_of_any_number_of_paths():
-    form = tuple(("," + ("?" if i else ""), "p", False) for i in range(150))
-    model = packed_values.Model({packed_values.Model.slot("x"): 1.0}, inside={",?": 1e6})
-    assert packed_values._edges(form, model)[0][-1][0] == 150
-    assert packed_values.best_cuts(form, model)[-1] == 150
+    cell = "/combo?" + ",".join(f"/p{i}" for i in range(150))
+    atoms, model = packed_values.atoms_of(cell, "resource_paths"), packed_values.Model({"I,?": 1e6})
+    assert packed_values.edges_of(atoms)[0][-1].end == 150
+    assert packed_values.best_cuts(atoms, model) == [150]
