@@ -8,7 +8,10 @@ Method
    exploring all states that can be reached, into a table ``state x symbol -> state, starts a
    sentence here``. A pending end is settled by the symbols after it, so no look-back is
    needed; quotations and brackets are states of their own.
-3. A long document's symbols are cut into chunks. Each chunk is evaluated as a function from
+3. Whether a quotation or bracket that opens is closed before its paragraph ends is what a
+   second machine knows that reads from the right, with one bit for each kind of pair; an
+   opener without its partner becomes plain punctuation. Distance does not count.
+4. A long document's symbols are cut into chunks. Each chunk is evaluated as a function from
    every entry state to its exit state; the functions are composed by a parallel prefix scan,
    which gives each chunk's entry state; then all chunks of all documents run side by side,
    one column of symbols at a time.
@@ -66,8 +69,10 @@ _TOKENS = [
     ("heading", r"(?=\#)(?<=(?:\A|\n)[ \t]*)\#{1,6}[ \t]+(?=\S)"),
     ("ordinal_line", rf"(?=\d)(?<=\n[ \t]*)(?:(?<=\b(?:{_ORDINAL_BEFORE})\s+)\d{{1,3}}\.(?=\s+\p{{Lu}})|(?<!\w)\d{{1,3}}\.(?=\s+(?:{_ORDINAL_AFTER})\b))"),
     ("number", rf"(?=\d)(?:(?<=\b(?:{_ORDINAL_BEFORE})\s+)\d{{1,3}}\.(?=\s+\p{{Lu}})|(?<!\w)\d{{1,3}}\.(?=\s+(?:{_ORDINAL_AFTER})\b))"),
-    ("item", rf"(?=[-*+•‣1])(?<=(?:\A|\n)[ \t]*){_NO_COUNT}(?:[-*+•‣]|1\.|(?<!\([^()]{{0,300}})1\))[ \t]+(?=\S)"),
-    ("item_n", rf"(?=\d)(?<=(?:\A|\n)[ \t]*){_NO_COUNT}(?:\d{{1,3}}\.|(?<!\([^()]{{0,300}})\d{{1,3}}\))[ \t]+(?=\S)"),
+    ("item", rf"(?=[-*+•‣1])(?<=(?:\A|\n)[ \t]*){_NO_COUNT}(?:[-*+•‣]|1\.)[ \t]+(?=\S)"),
+    ("item_n", rf"(?=\d)(?<=(?:\A|\n)[ \t]*){_NO_COUNT}\d{{1,3}}\.[ \t]+(?=\S)"),
+    ("item_bracket", rf"(?=1)(?<=(?:\A|\n)[ \t]*){_NO_COUNT}1\)[ \t]+(?=\S)"),
+    ("item_n_bracket", rf"(?=\d)(?<=(?:\A|\n)[ \t]*){_NO_COUNT}\d{{1,3}}\)[ \t]+(?=\S)"),
     ("margin", r"(?=>)(?<=(?:\A|\n)[ \t]*)>+[ \t]?"),
     ("thai_gap", r"(?=\s)(?<=\p{Thai})\s+(?=\p{Thai})"),
     ("line", r"[^\S\n]*\n\s*"),
@@ -94,19 +99,19 @@ _TOKENS = [
     ("exclaim", r"[!?‼⁇⁈⁉][.!?‼⁇⁈⁉]*|\.(?=[!?])[.!?]*"),
     ("period", r"\."),
     ("colon", r"[:：]"),
-    ("open_german", r"[„‚](?=[^“”\"]{1,2000}[“”\"])"),
-    ("open_angle", r"[«‹](?=[^»›]{1,2000}[»›])"),
+    ("open_german", r"[„‚]"),
+    ("open_angle", r"[«‹]"),
     ("close_angle", r"[»›]"),
     ("left_curly", r"“"),
-    ("go_on_zh", r"”(?=[^。！？，；：“”\n]{0,16}(?:问道|说道|答道|喊道|写道|问|说|答|表示|补充)[。，！])"),
+    ("go_on_zh", r"”(?=[^。！？，；：“”\n]*+(?<=问道|说道|答道|喊道|写道|问|说|答|表示|补充)[。，！])"),
     ("right_curly", r"”"),
-    ("open_corner", r"[「『](?=[^」』]{1,2000}[」』])"),
+    ("open_corner", r"[「『]"),
     ("go_on", r"[」』](?=と|って|など|は|が|を|に|も|の|で|や|だ)"),
     ("close_corner", r"[」』]"),
-    ("double", r"\"(?=[^\"]{0,2000}\")|(?<=\"[^\"]{0,2000})\""),
-    ("open_single", r"(?<![\p{L}\p{N}])['‘](?=[\p{L}\p{N}][^'’\n]{0,300}['’](?!\p{L}))"),
+    ("double", r"\""),
+    ("open_single", r"(?<![\p{L}\p{N}])['‘](?=[\p{L}\p{N}][^'‘’\n]*+['’](?!\p{L}))"),
     ("close_single", r"(?<=[^\s])['’](?![\p{L}\p{N}])"),
-    ("open_bracket", r"[(\[（【{](?=[^)\]）】}]{0,2000}[)\]）】}])"),
+    ("open_bracket", r"[(\[（【{]"),
     ("close_bracket", r"[)\]）】}]"),
     ("starter", r"[¿¡]"),
     ("emphasis", r"[*_`~]+"),
@@ -115,12 +120,13 @@ _TOKENS = [
     ("punct", r"[\p{P}\p{Sm}\p{Sc}\p{Sk}%°]"),
     ("symbol", r"\S"),
 ]
-_NAMES = sorted({n for n, _ in _TOKENS})
+#: double_end: no other straight quote follows in the paragraph, so that it can only close
+_NAMES = sorted({n for n, _ in _TOKENS} | {"double_end"})
 SYMBOL = {n: i for i, n in enumerate(_NAMES)}
 _SCANNER = regex.compile("|".join(f"({p})" for _, p in _TOKENS), regex.V0, never=_NEVER.split(), numbered=_NUMBERED.split(), maybe=_MAYBE.split())
 _OF_GROUP = np.array([-1, *(SYMBOL[n] for n, _ in _TOKENS)], np.int16)
 _KINDS = {"open_german": "g", "open_angle": "a", "open_corner": "c", "open_single": "s", "open_bracket": "b", "left_curly": "l", "double": "d"}
-_CLOSES = {"close_angle": "a", "right_curly": "lg", "go_on_zh": "lg", "left_curly": "g", "close_corner": "c", "go_on": "c", "double": "dg", "close_single": "s", "close_bracket": "b"}
+_CLOSES = {"close_angle": "a", "right_curly": "lg", "go_on_zh": "lg", "left_curly": "g", "close_corner": "c", "go_on": "c", "double": "dg", "double_end": "dg", "close_single": "s", "close_bracket": "b"}
 _BLANKS = ("blank", "line", "thai_gap", "margin")
 _TERMINATORS = {"period": ".", "exclaim": "!", "strong": "T", "maybe": "m", "Maybe": "m"}
 #: Symbols that can begin a sentence after a pending end and a blank.
@@ -141,6 +147,10 @@ def step(state: tuple, sym: str) -> tuple[tuple, bool]:
         if kind == "item":
             return ITEM, True
         sym = "number"
+    if sym in ("item_bracket", "item_n_bracket"):
+        if kind == "open" and state[1] == "b":  # no item: its bracket closes the one that is open
+            return step(_quoted((*state[:3], False, state[4]), "close_bracket"), "blank")
+        sym = sym.removesuffix("_bracket")
     if kind == "heading":
         return (START, False) if sym == "line" else (state, False)
     if sym == "item" or (sym == "item_n" and kind in ("start", "item", "pending")):
@@ -238,6 +248,32 @@ def scan(text: str) -> tuple[np.ndarray, np.ndarray]:
     return _OF_GROUP[np.array(groups, np.int16)] if groups else np.zeros(0, np.int16), np.array(at, np.int64)
 
 
+#: kinds of pairs: (symbols that open, symbols that close, what an opener without partner becomes)
+_PAIRS = [
+    (("open_german",), ("left_curly", "right_curly", "go_on_zh", "double"), "punct"), (("open_angle",), ("close_angle",), "punct"), (("open_corner",), ("close_corner", "go_on"), "punct"),
+    (("open_bracket",), ("close_bracket", "item_bracket", "item_n_bracket"), "punct"), (("double",), ("double",), "double_end"),
+]
+
+
+def pair(streams: list[np.ndarray]) -> list[np.ndarray]:
+    """The reading from the right, for all streams at once: openers that no partner follows in
+    their paragraph are plain."""
+    if not streams:
+        return streams
+    lengths = np.array([len(s) for s in streams])
+    flat = np.concatenate(streams)
+    paragraph = np.cumsum(flat == SYMBOL["para"]) + np.repeat(np.arange(len(streams)), lengths) * (len(flat) + 1)
+    out = flat.copy()
+    for opens, closes, lone in _PAIRS:
+        at = np.flatnonzero(np.isin(flat, [SYMBOL[n] for n in opens]))
+        if len(at):
+            ends = np.append(np.flatnonzero(np.isin(flat, [SYMBOL[n] for n in closes])), len(flat))
+            nearest = ends[np.searchsorted(ends, at, "right")]
+            open_ended = (nearest == len(flat)) | (paragraph[np.minimum(nearest, len(flat) - 1)] != paragraph[at])
+            out[at[open_ended]] = SYMBOL[lone]
+    return np.split(out, np.cumsum(lengths)[:-1])
+
+
 def chunk_functions(chunks: np.ndarray) -> np.ndarray:
     """For each row of symbols (-1: none) the exit state of every entry state."""
     states = np.tile(np.arange(len(NEXT), dtype=np.int16), (len(chunks), 1))
@@ -291,7 +327,7 @@ def ends_of(texts: list[str | None]) -> list[list[int]]:
     """For each text the offsets behind the last character of its sentences."""
     scanned = [scan(t or "") for t in texts]
     out = []
-    for text, (_, at), begins in zip(texts, scanned, starts_of([s for s, _ in scanned])):
+    for text, (_, at), begins in zip(texts, scanned, starts_of(pair([s for s, _ in scanned]))):
         ends = []
         for p in [*at[begins[1:]].tolist(), len(text or "")] if text else []:
             while p and text[p - 1].isspace():

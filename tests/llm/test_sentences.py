@@ -56,11 +56,32 @@ def test_structure():
     assert S.ends_of([None, "", " \n", "no end"]) == [[], [], [], [6]]
 
 
+def test_distance_does_not_count():
+    inner = "Der Abruf ist fehlgeschlagen. Bitte später noch einmal. " * 200
+    for a, z in ("„“", "„”", "«»", "‹›", '""', "()", "[]"):
+        text = f"Im Protokoll steht {a}{inner.strip()}{z} und danach nichts."
+        assert len(text) > 5000 and split(f"{text} Mehr nicht.") == [text, "Mehr nicht."]
+    ja = "記録には「" + "取得に失敗した。後で試す。" * 500 + "」と残っている。"
+    assert split(ja + "次の文だ。") == [ja, "次の文だ。"]
+    zh = "“为什么？”Zipi在" + "复查缓存和镜像环境" * 20 + "以后问道。"
+    assert split(zh + "下一句。") == [zh, "下一句。"]
+    listed = "Siehe (Kap. 3" + " und weiter" * 100 + "\n15) hier. Gut."
+    assert split(listed) == [listed[: -len(" Gut.")], "Gut."]
+
+
+def test_lone_marks_are_plain():
+    for mark in ("„", "«", "(", "[", '"'):
+        assert split(f"Das {mark}fehlt. Es folgt mehr. Und Schluss.") == [f"Das {mark}fehlt.", "Es folgt mehr.", "Und Schluss."]
+    assert split("Das (fehlt. Es folgt mehr.\n\nUnd) Schluss.") == ["Das (fehlt.", "Es folgt mehr.", "Und) Schluss."]  # its partner is in another paragraph
+    assert split('Er sagte "ja. Gut" und "das. Es folgt mehr.') == ['Er sagte "ja. Gut" und "das.', "Es folgt mehr."]
+
+
 def test_prefix_scan_equals_a_plain_run():
     rnd = random.Random(7)
     parts = ['He asked "why? now." and left. ', "„Das fehlt.“ ", "Dr. X. ", "\n\n", "- a. b\n", "（不明。）", "x ", "... ", "U.S. ", "(open ", "“", "y! "]
     texts = ["".join(rnd.choice(parts) for _ in range(n)) for n in (1, 50, 3000, 0, 900)]
-    streams = [S.scan(t)[0] for t in texts]
+    streams = S.pair([S.scan(t)[0] for t in texts])
+    assert all((a == b).all() for a, b in zip(streams, [S.pair([S.scan(t)[0]])[0] for t in texts]))
     plain = []
     for s in streams:
         state, flags = 0, []
