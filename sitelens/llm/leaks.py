@@ -16,7 +16,7 @@ Method
 
 Scale: a document is read once and only its passing hashes are shuffled. The bit table grows
 with the number of seeds up to ``MOST_BITS`` (16 MB); beyond that it only thins out, the join
-decides. Documents are salted against the seeds and the items, so that a seed or an item that
+decides. Nothing is broadcast but that table. Documents are salted against the seeds and the items, so that a seed or an item that
 a third of all documents hold is spread over tasks. Repeated texts are each reported.
 
 Defined cases: null and empty texts and passages give nothing; passages shorter than a seed
@@ -152,9 +152,9 @@ def _unspaced(lang: str | None) -> bool:
 
 
 def needed(units: int, seed: int, full: int, coverage: float) -> int:
-    """How many different seeds a pair must share to be compared: a run of ``full`` units has
-    ``full - seed + 1``; tiles of ``coverage`` of the passage have at least one each ``2 * seed - 1`` units."""
-    return max(1, min(full - seed + 1, int(np.ceil(coverage * units / (2 * seed - 1)))))
+    """How many seeds a pair must share to be compared: a run of ``full`` units has ``full - seed + 1``;
+    tiles of ``coverage`` of the passage have at least one for each ``seed`` units that they cover."""
+    return max(1, min(full - seed + 1, int(np.ceil(coverage * units / seed))))
 
 
 def _seeds(seed: tuple[int, int], full: tuple[int, int], coverage: float):
@@ -163,10 +163,10 @@ def _seeds(seed: tuple[int, int], full: tuple[int, int], coverage: float):
             for item, lang, passage in zip(*(c.to_pylist() for c in b.columns)):
                 east = _unspaced(lang)
                 h, _ = runs_of([plain(passage or "")], *seed, east)
-                least = needed(len(h) + seed[east] - 1, seed[east], full[east], coverage)
+                least, runs = needed(len(h) + seed[east] - 1, seed[east], full[east], coverage), len(h)
                 h = np.unique(h).astype(np.int64)
                 if len(h):
-                    least = min(least, len(h))  # a passage that repeats itself has fewer different seeds
+                    least = least if len(h) == runs else 1  # a passage that repeats itself has fewer different seeds
                     yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([item] * len(h), b.schema.field(0).type), pa.array([least] * len(h), pa.int32())], names=["hash", "item", "least"])
 
     return run
@@ -308,8 +308,8 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item: str
     near = stored(spread(docs.where(F.col(text).isNotNull() & (F.length(text) > 0)).select(key, text)).mapInArrow(probe, f"{key} {k_type}, text string, hashes array<bigint>"), "near")
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
     salted = F.pmod(F.hash(key), F.lit(SALTS)).alias("salt")
-    shared = near.select(key, salted, F.explode("hashes").alias("hash")).distinct().join(seeds.select("hash", "item", "least", salts), ["hash", "salt"])
+    shared = near.select(key, salted, F.explode("hashes").alias("hash")).distinct().join(seeds.select("hash", "item", "least", salts).hint("merge"), ["hash", "salt"])
     pairs = shared.groupBy(key, "item", "salt").agg(F.count(F.lit(1)).alias("n"), F.first("least").alias("least")).where("n >= least").select(key, "salt", F.col("item").alias(item))
-    full_texts = pairs.join(items.select(item, F.col(lang).alias("lang"), F.col(passage).alias("passage"), salts), [item, "salt"]).join(near.select(key, "text"), key)
+    full_texts = pairs.join(items.select(item, F.col(lang).alias("lang"), F.col(passage).alias("passage"), salts).hint("merge"), [item, "salt"]).join(near.select(key, "text"), key)
     verify = _verify(key, item, seed, full, coverage)
     return full_texts.select(key, "text", item, "lang", "passage").mapInArrow(verify, f"{key} {k_type}, {item} {i_type}, coverage double, longest int, tiles int, in_one_piece boolean").distinct()
