@@ -94,12 +94,12 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _P2_SQL = """SELECT chunk_no FROM kb_chunks WHERE length(coalesce(content, '')) + CASE WHEN coalesce(heading, '') <> '' THEN length(heading) + 1 ELSE 0 END > 1200"""
-_P5_SQL = r"""
-WITH w AS (SELECT row_no, trim(regexp_replace(replace(replace(lower(title), 'ß', 'ss'), 'ς', 'σ'), '[^\p{L}\p{N}]+', ' ', 'g')) AS a, trim(regexp_replace(replace(replace(lower(meta_desc), 'ß', 'ss'), 'ς', 'σ'), '[^\p{L}\p{N}]+', ' ', 'g')) AS b FROM crawl),
-g AS (SELECT least(a, b) AS x, greatest(a, b) AS y, row_no FROM w WHERE a <> '' AND b <> ''),
-m AS (SELECT row_no, min(row_no) OVER (PARTITION BY x, y) AS first_row, count(*) OVER (PARTITION BY x, y) AS copies FROM g)
+_WORDS = lambda c: rf"array_to_string(regexp_extract_all(regexp_replace(translate(replace(lower(nfc_normalize({c})), 'ß', 'ss'), 'ς', 'σ'), '[\x{{FE00}}-\x{{FE0F}}\x{{E0100}}-\x{{E01EF}}\x{{034F}}]', ' ', 'g'), '[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}\p{{M}}]*'), ' ')"
+_P5_SQL = f"""
+WITH w AS (SELECT row_no, {_WORDS('title')} AS a, {_WORDS('meta_desc')} AS b FROM crawl),
+g AS (SELECT list_sort([a, b]) AS pair, row_no FROM w WHERE a <> '' AND b <> ''),
+m AS (SELECT row_no, min(row_no) OVER (PARTITION BY pair) AS first_row, count(*) OVER (PARTITION BY pair) AS copies FROM g)
 """
-
 _P6_SQL = """
 WITH v AS (SELECT chunk_no, CAST(vector AS DOUBLE[]) AS v FROM kb_chunks WHERE len(vector) = 256 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
 p AS (SELECT a.chunk_no AS q, b.chunk_no AS r, round(list_cosine_similarity(a.v, b.v), 6) AS s FROM v a, v b WHERE a.chunk_no <> b.chunk_no),
