@@ -2,19 +2,23 @@
 
 Method
 ------
-* Every key that a reference or a parent uses is *dictionary-encoded*: keys are spread over
-  hash ranges and numbered inside their range, so no global sort or counter is needed.
-* References and parents become one bitmap per key range of 32,768 keys and period (month).
-  Parents have two: keys that live through the whole month and keys that live through a part
-  of it. Bitmaps are stored in the smaller of three containers (positions, runs, bits).
-* ``references AND NOT parents`` is computed bitmap by bitmap; the bits that survive are
-  decoded to keys. Bits that survive only the whole-month bitmap are border cases: their
-  references are checked against the exact life spans.
-* The surviving keys are joined back to the references. The hot-key side is salted.
-
-Scale: references are reduced to distinct (key, month) pairs with map-side aggregation
-before anything is joined with the dictionary; a key that holds a third of all references
-is one bit per month. Nothing is collected but the first and last month and a key estimate.
+* Every key that a reference uses is *dictionary-encoded*: keys are spread over hash ranges
+  and numbered inside their range, so no global sort or counter is needed.
+* References become one bitmap per key range of 32,768 keys, period (month) and table. A
+  parent's life becomes the span of months that it fills wholly; keys of one range with the
+  same span share a bitmap, so a life costs one bit however long it lasts. Bitmaps are stored
+  in the smallest of three containers (positions, runs, bits).
+* ``references AND NOT parents`` is computed range by range: the bitmaps of the spans that hold
+  a month are united and taken off the references of that month. The bits that survive are
+  decoded to keys.
+* The surviving keys are joined back to the references and checked against the exact life
+  spans, which settles the months in which a parent begins or ends.
+
+Scale: references are reduced to distinct (key, month) pairs and lives to one row per key and
+first month, with map-side aggregation, before anything is joined with the dictionary; a key
+that holds a third of all references is one bit per month. A range has at most one bitmap
+for each table and month and for each pair of months. Both joins of surviving references
+are salted against hot keys. Nothing is collected but the first and last month and a count.
 
 Defined cases: null and blank references are no references; a parent without a start never
 lives; a parent or reference whose key parts are null matches nothing; a reference without
@@ -29,17 +33,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from sitelens.session import stored
 
 RANGE_BITS = 32_768
 SALTS = 8
+#: Last month of a life without end.
+EVER = 1 << 30
 #: Period of references without a time: no parent is ever live in it.
 NO_PERIOD = -1
 
 
 def normal_key(c: str | Column) -> Column:
     """A reference as it is compared: no surrounding white space, lower case."""
-    return F.lower(F.regexp_replace(c, r"(?U)^[\s﻿​]+|[\s﻿​]+$", ""))
+    return F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
 
 
 def compound(*parts: str | Column) -> Column:
@@ -84,22 +91,35 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bitmaps(df: DataFrame, *by: str) -> DataFrame:
-    """Compressed bitmaps of ``pos`` per key range, period and ``by``."""
-    out = df.groupBy(*by, "rng", "period").agg(F.bitmap_construct_agg("pos").alias("bits"))
+    """Compressed bitmaps of ``pos`` per key range and ``by``."""
+    out = df.groupBy(*by, "rng").agg(F.bitmap_construct_agg("pos").alias("bits"))
     return out.mapInArrow(_packed, out.schema)
 
 
-_SURVIVOR = T.StructType([T.StructField(n, t) for n, t in (("src_table", T.StringType()), ("rng", T.LongType()), ("period", T.IntegerType()), ("pos", T.LongType()), ("border", T.BooleanType()))])
+_SURVIVOR = pa.schema([("src_table", pa.string()), ("rng", pa.int64()), ("period", pa.int32()), ("pos", pa.int64())])
 
 
-def _and_not(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for table, rng, period, refs, whole, part in zip(*(c.to_pylist() for c in b.columns)):
-            left = unpack(refs) & ~unpack(whole)
-            pos = np.flatnonzero(left)
-            if len(pos):
-                n = len(pos)
-                yield pa.RecordBatch.from_arrays([pa.array([table] * n), pa.array([rng] * n, pa.int64()), pa.array([period] * n, pa.int32()), pa.array(pos, pa.int64()), pa.array(unpack(part)[pos])], names=_SURVIVOR.names)
+def _and_not(key: tuple[pa.Scalar, ...], refs: pa.Table, spans: pa.Table) -> pa.Table:
+    """The bits of one key range that no life covers for the whole of their month."""
+    lives = [(a, z, unpack(bits)) for a, z, bits in zip(*(spans.column(c).to_pylist() for c in ("first", "last", "bits")))]
+    covered: dict[int, np.ndarray] = {}
+    out = []
+    for table, period, bits in zip(*(refs.column(c).to_pylist() for c in ("src_table", "period", "bits"))):
+        if period not in covered:
+            covered[period] = np.logical_or.reduce([flags for a, z, flags in lives if a <= period <= z] or [np.zeros(RANGE_BITS, bool)])
+        pos = np.flatnonzero(unpack(bits) & ~covered[period])
+        out.append(pa.Table.from_arrays([pa.array([table] * len(pos), pa.string()), pa.array([key[0].as_py()] * len(pos), pa.int64()), pa.array([period] * len(pos), pa.int32()), pa.array(pos, pa.int64())], schema=_SURVIVOR))
+    return pa.concat_tables(out) if out else _SURVIVOR.empty_table()
+
+
+def whole_months(parents: DataFrame, first: int, last: int) -> DataFrame:
+    """(key, first, last): spans of whole months that a life fills, cut to the months in use; of the
+    spans of a key that begin in one month the longest."""
+    start = F.col("live_from") == F.date_trunc("month", "live_from")
+    begins = F.greatest(month_no("live_from") + F.when(start, 0).otherwise(1), F.lit(first))
+    ends = F.least(F.when(F.col("live_to").isNull(), F.lit(EVER)).otherwise(month_no("live_to") - 1), F.lit(last))
+    spans = parents.select("key", begins.cast("int").alias("first"), ends.cast("int").alias("last")).where("first <= last")
+    return spans.groupBy("key", "first").agg(F.max("last").alias("last"))
 
 
 def orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
@@ -111,37 +131,28 @@ def orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
     """
     refs = refs.where(F.col("ref_key").isNotNull() & (F.col("ref_key") != "")).withColumn("period", month_no("t")).withColumn("key", F.coalesce("key", F.lit("?")))
     parents = parents.where(F.col("key").isNotNull() & F.col("live_from").isNotNull() & (F.col("live_to").isNull() | (F.col("live_to") > F.col("live_from"))))
-    first, last, keys = refs.where(F.col("period") != NO_PERIOD).agg(F.min("period"), F.max("period"), F.approx_count_distinct("key")).first()
+
+    used = stored(refs.select("src_table", "key", "period").distinct(), "used")
+    first, last, keys = used.agg(F.min(F.when(F.col("period") != NO_PERIOD, F.col("period"))), F.max("period"), F.approx_count_distinct("key")).first()
     first, last = (first, last) if first is not None else (0, 0)
     ranges = max(8, int((keys or 0) // (RANGE_BITS // 2)) + 1)
-
-    used = refs.groupBy("src_table", "key", "period").agg(F.count(F.lit(1)).alias("n")).select("src_table", "key", "period")
-    start = lambda m: F.make_timestamp_ntz((m / 12).cast("int"), (m % 12 + 1).cast("int"), F.lit(1), F.lit(0), F.lit(0), F.lit(0)).cast("timestamp")
-    # a life span that lies outside the months seen gives a descending pair of bounds: drop it before the sequence is built
-    parents_in = parents.where((month_no("live_from") <= last) & (F.col("live_to").isNull() | (month_no("live_to") >= first)))
-    months = parents_in.select("key", "live_from", "live_to", F.explode(F.expr(f"sequence(greatest(year(live_from) * 12 + month(live_from) - 1, {first}), least(coalesce(year(live_to) * 12 + month(live_to) - 1, {last}), {last}))")).alias("period"))
-    alive = (
-        months.withColumn("whole", (F.col("live_from") <= start(F.col("period"))) & (F.col("live_to").isNull() | (F.col("live_to") >= start(F.col("period") + 1))))
-        .groupBy("key", "period")
-        .agg(F.max("whole").alias("whole"))
-    )
-
-    coded = used.select("key").union(parents.select("key")).distinct().withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(ranges)))
-    dictionary = coded.withColumn("no", F.expr("row_number() over (partition by bucket order by key) - 1")).select(
-        "key", (F.col("bucket") + ranges * F.floor(F.col("no") / RANGE_BITS)).cast("long").alias("rng"), (F.col("no") % RANGE_BITS).cast("long").alias("pos")
+    coded = used.select("key").distinct().withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(ranges)))
+    dictionary = stored(
+        coded.withColumn("no", F.expr("row_number() over (partition by bucket order by key) - 1")).select(
+            "key", (F.col("bucket") + ranges * F.floor(F.col("no") / RANGE_BITS)).cast("long").alias("rng"), (F.col("no") % RANGE_BITS).cast("long").alias("pos")
+        ),
+        "dictionary",
     )
-    ref_bits = _bitmaps(used.join(dictionary, "key"), "src_table").withColumnRenamed("bits", "refs")
-    alive = alive.join(dictionary, "key")
-    whole = _bitmaps(alive.where("whole").select("rng", "period", "pos")).withColumnRenamed("bits", "whole")
-    part = _bitmaps(alive.where("not whole").select("rng", "period", "pos")).withColumnRenamed("bits", "part")
-    paired = ref_bits.join(whole, ["rng", "period"], "left").join(part, ["rng", "period"], "left").select("src_table", "rng", "period", "refs", "whole", "part")
-    survivors = paired.mapInArrow(_and_not, _SURVIVOR).join(dictionary, ["rng", "pos"]).select("src_table", "key", "period", "border", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-
-    hit = refs.withColumn("salt", F.pmod(F.hash("src_key", "src_item"), F.lit(SALTS))).join(survivors, ["src_table", "key", "period", "salt"])
-    lives = parents.select("key", "live_from", "live_to").distinct()
-    checked = hit.where("border").join(lives, (hit.key == lives.key) & (lives.live_from <= hit.t) & (lives.live_to.isNull() | (hit.t < lives.live_to)), "left_anti")
-    cols = ["src_table", "src_key", "src_item", "ref_key", "period"]
-    return hit.where("not border").select(*cols).unionByName(checked.select(*cols)).distinct()
+    ref_bits = _bitmaps(used.join(dictionary, "key"), "src_table", "period")
+    span_bits = _bitmaps(whole_months(parents, first, last).join(dictionary, "key"), "first", "last")
+    left = ref_bits.groupBy("rng").cogroup(span_bits.groupBy("rng")).applyInArrow(_and_not, "src_table string, rng bigint, period int, pos bigint")
+    survivors = stored(left.join(dictionary, ["rng", "pos"]).select("src_table", "key", "period"), "survivors")
+
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    hit = refs.withColumn("salt", F.pmod(F.hash("src_key", "src_item"), F.lit(SALTS))).join(survivors.select("*", salts), ["src_table", "key", "period", "salt"])
+    lives = parents.join(survivors.select("key").distinct(), "key", "left_semi").select("key", "live_from", "live_to").distinct().select(F.col("key").alias("k"), "live_from", "live_to", salts.alias("s"))
+    live = (F.col("key") == F.col("k")) & (F.col("salt") == F.col("s")) & (F.col("live_from") <= F.col("t")) & (F.col("live_to").isNull() | (F.col("t") < F.col("live_to")))
+    return hit.join(lives, live, "left_anti").select("src_table", "src_key", "src_item", "ref_key", "period").distinct()
 
 
 def audit_references(judge: DataFrame, findings: DataFrame, affected: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -40,19 +40,19 @@ def p4_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 _P4_SQL = """
 WITH f AS (SELECT run_key, fixture, run_no, produced_at, unnest(s.findings) AS f
            FROM (SELECT run_key, fixture, run_no, produced_at, unnest(sections) AS s FROM findings)),
-rules AS (SELECT lower(trim(rule_id, E' \\t\\r\\n')) AS rk, introduced_at AS a, retired_at AS b FROM rule_registry),
+rules AS (SELECT lower(regexp_replace(rule_id, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) AS rk, introduced_at AS a, retired_at AS b FROM rule_registry),
 rr AS (
   SELECT 'findings' AS src_table, run_key AS src_key, coalesce(f.id, '') AS src_item, unnest(f.rule_ids) AS r, produced_at AS t FROM f
   UNION ALL SELECT 'affected_urls', hit_no, '', rule_id, logged_at FROM affected_urls),
-r AS (SELECT src_table, src_key, src_item, lower(trim(r, E' \\t\\r\\n')) AS ref_key, t FROM rr),
-j AS (SELECT verdict_key, fixture, run_no, lower(trim(finding_id, E' \\t\\r\\n')) AS ref_key, judged_at AS t FROM judge),
+r AS (SELECT src_table, src_key, src_item, lower(regexp_replace(r, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) AS ref_key, t FROM rr),
+j AS (SELECT verdict_key, fixture, run_no, lower(regexp_replace(finding_id, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) AS ref_key, judged_at AS t FROM judge),
 o AS (
   SELECT DISTINCT src_table, src_key, src_item, ref_key, t FROM r
   WHERE ref_key <> '' AND NOT EXISTS (SELECT 1 FROM rules WHERE rk = ref_key AND a <= t AND (b IS NULL OR t < b))
   UNION
   SELECT DISTINCT 'judge', verdict_key, '', ref_key, t FROM j
   WHERE ref_key <> '' AND NOT EXISTS (
-    SELECT 1 FROM f WHERE f.fixture = j.fixture AND f.run_no = j.run_no AND lower(trim(f.f.id, E' \\t\\r\\n')) = j.ref_key
+    SELECT 1 FROM f WHERE f.fixture = j.fixture AND f.run_no = j.run_no AND lower(regexp_replace(f.f.id, '^[\\s\\p{Z}]+|[\\s\\p{Z}]+$', '', 'g')) = j.ref_key
       AND f.produced_at <= j.t AND (f.f.deleted_at IS NULL OR j.t < f.f.deleted_at)))
 """
 

@@ -55,3 +55,15 @@ def test_keys(spark):
     df = spark.createDataFrame([(" \tGeo:X ", "a"), (None, None)], "x string, y string")
     rows = df.select(O.normal_key("x").alias("x"), O.compound("x", "y").alias("c")).collect()
     assert rows[0].x == "geo:x" and rows[1].c is None
+
+
+def test_a_long_life_is_one_span(spark):
+    parents = spark.createDataFrame([("a", dt.datetime(1990, 1, 1), None), ("a", dt.datetime(1990, 1, 9), dt.datetime(2020, 1, 1)), ("b", dt.datetime(2020, 1, 2), dt.datetime(2020, 2, 20)), ("c", dt.datetime(2019, 6, 1), dt.datetime(2020, 3, 1))], PARENTS)
+    month = lambda y, m: y * 12 + m - 1
+    got = {tuple(r) for r in O.whole_months(parents, month(2020, 1), month(2020, 12)).collect()}
+    assert got == {("a", month(2020, 1), month(2020, 12)), ("c", month(2020, 1), month(2020, 2))}
+
+
+def test_hot_border_key(spark):
+    refs = [("t", n, "", "k", "k", DAY(45) + dt.timedelta(seconds=n - 500)) for n in range(1000)]
+    assert run(spark, refs, [("k", DAY(45), None)]) == {("t", n, "", "k") for n in range(500)}
