@@ -2,20 +2,26 @@
 
 Method
 ------
-Each text is an item with three demands: tokens, one segment, loss-bearing tokens (tokens
-outside heading lines). A text longer than the capacity is cut into full containers, and
-its rest is an item; no other text is split. A container is filled step by step with the
-item whose demand has the largest dot product with the room that is left, among the items
-that fit in all three dimensions. Items of equal demands form one class, so a step looks at
-classes, not items.
+Each text is an item with three demands: tokens, one segment, loss-bearing tokens. As in
+instruction data the opening of a text (its heading, or else its first sentence) is the
+prompt, which bears no loss; the rest is the answer, which does. A text longer than the
+capacity is cut into full containers, and its rest is an item; no other text is split. A
+container is filled step by step with the item whose demand has the largest dot product with
+the room that is left, among the items that fit in all three dimensions. Items of equal
+demands form one class, so a step looks at classes, not items.
+
+The limits: ``CAPACITY`` tokens, ``SEGMENTS`` texts, and ``MOST_LOSS`` loss-bearing tokens, two
+below the capacity for each segment (its beginning and its end). An item that exceeds the limit
+of loss by itself, which mustn't be split for that, has a container of its own.
 
 Scale: texts are tokenised where they are read and never shuffled; items (a few numbers)
 are spread by hash over groups of a bounded size, and each group is packed by one task. A
 group leaves at most a few containers underfull.
 
 Defined cases: null and blank texts are no items; a text of exactly the capacity fills one
-container; repeated texts are items of their own; an empty table gives no rows; long texts
-are cut at token borders, given as token offsets.
+container; repeated texts and repeated rows are items of their own; an empty table gives no
+rows; long texts are cut at token borders, given as token offsets; the number of a container
+is unique whatever their number (group and place, or row and part).
 """
 
 from __future__ import annotations
@@ -34,9 +40,10 @@ from sitelens.session import spread, stored
 #: Where the public tokenizer's ranks lie on every machine, and the pattern that goes with them (fixed value).
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CAPACITY, SEGMENTS = 512, 64
+CAPACITY, SEGMENTS = 512, 8
+MOST_LOSS = CAPACITY - 2 * SEGMENTS
 GROUP_ITEMS = 20_000
-_HEADING = regex.compile(r"(?m)^#{1,6} .*$")
+_PROMPT = regex.compile(r"\s*+[^\n.!?。！？।؟]*+[\n.!?。！？।؟]?")
 _BLANK = regex.compile(r"[\s\p{Z}\p{Cf}\p{Cc}]*")
 _encoders: dict[str, object] = {}
 
@@ -62,9 +69,9 @@ def _sizes(key: str, vocabulary: str):
         for b in batches:
             rows = [(k, t) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if not is_blank(t)]
             tokens = [len(x) for x in enc.encode_ordinary_batch([t for _, t in rows], num_threads=1)]
-            context = [sum(len(enc.encode_ordinary(h)) for h in _HEADING.findall(t)) if "#" in t else 0 for _, t in rows]
+            prompt = [len(x) for x in enc.encode_ordinary_batch([_PROMPT.match(t).group() for _, t in rows], num_threads=1)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k for k, _ in rows], b.schema.field(0).type), pa.array(tokens, pa.int32()), pa.array([max(0, n - c) for n, c in zip(tokens, context)], pa.int32())], names=[key, "tokens", "loss"]
+                [pa.array([k for k, _ in rows], b.schema.field(0).type), pa.array(tokens, pa.int32()), pa.array([min(n, p) for n, p in zip(tokens, prompt)], pa.int32())], names=[key, "all", "prompt"]
             )
 
     return run
@@ -104,10 +111,10 @@ def pack(tokens: np.ndarray, loss: np.ndarray, capacity: int, segments: int, mos
 
 def _packer(key: str, capacity: int, segments: int, most_loss: int):
     def run(group: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        order = np.lexsort((t.column("part").to_numpy(), t.column(key).to_numpy()))  # the same result in every run
+        order = np.lexsort((t.column("row").to_numpy(), t.column("part").to_numpy(), t.column(key).to_numpy()))  # the same result in every run
         t = t.take(pa.array(order))
         no = pack(t.column("tokens").to_numpy(), t.column("loss").to_numpy(), capacity, segments, most_loss)
-        return t.drop_columns(["grp"]).append_column("container", pa.array(no + (group[0].as_py() << 32), pa.int64()))
+        return t.drop_columns(["grp", "row"]).append_column("container", pa.array([f"g{group[0].as_py()}.{n}" for n in no], pa.string()))
 
     return run
 
@@ -115,16 +122,17 @@ def _packer(key: str, capacity: int, segments: int, most_loss: int):
 def fill_containers(df: DataFrame, key: str, text: str, capacity: int = CAPACITY, segments: int = SEGMENTS, most_loss: int | None = None, vocabulary: str = VOCABULARY, group_items: int = GROUP_ITEMS) -> DataFrame:
     """(``key``, part, from_token, tokens, loss, container) for each item; ``part`` counts the
     pieces of a text that alone exceeds the capacity, from 0."""
-    most_loss = most_loss or capacity
+    most_loss = most_loss or max(1, capacity - 2 * segments)
     kind = df.select(key).schema[0].dataType.simpleString()
-    sized = spread(df.select(key, text)).mapInArrow(_sizes(key, vocabulary), f"{key} {kind}, tokens int, loss int")
-    over = F.col("tokens") > capacity
-    parts = sized.select(key, "loss", F.col("tokens").alias("all"), F.explode(F.sequence(F.lit(0), F.when(over, F.floor((F.col("tokens") - 1) / capacity)).otherwise(F.lit(0)).cast("int"))).alias("part"))
-    items = parts.select(key, "part", (F.col("part") * capacity).alias("from_token"), F.least(F.col("all") - F.col("part") * capacity, F.lit(capacity)).alias("tokens"), "loss", "all")
-    items = items.withColumn("loss", F.when(F.col("all") > capacity, F.col("tokens")).otherwise(F.col("loss"))).drop("all")
-    items = stored(items, "items")
+    sized = spread(df.select(key, text)).mapInArrow(_sizes(key, vocabulary), f"{key} {kind}, all int, prompt int").withColumn("row", F.monotonically_increasing_id())
+    last = F.when(F.col("all") > capacity, F.floor((F.col("all") - 1) / capacity)).otherwise(F.lit(0)).cast("int")
+    parts = sized.select("*", F.explode(F.sequence(F.lit(0), last)).alias("part")).withColumn("from_token", F.col("part") * capacity)
+    items = parts.withColumn("tokens", F.least(F.col("all") - F.col("from_token"), F.lit(capacity)))
+    bare = F.greatest(F.lit(0), F.least(F.col("prompt") - F.col("from_token"), F.col("tokens")))
+    items = stored(items.select(key, "row", "part", "from_token", "tokens", (F.col("tokens") - bare).alias("loss")), "items")
     groups = max(1, -(-items.count() // group_items))
-    full = items.where(F.col("tokens") == capacity).withColumn("container", F.expr(f"-1 - (xxhash64({key}, part) & 4611686018427387903)"))
-    rest = items.where(F.col("tokens") < capacity).withColumn("grp", F.pmod(F.xxhash64(key, "part"), F.lit(groups)))
-    schema = f"{key} {kind}, part int, from_token int, tokens int, loss int, container bigint"
-    return rest.groupBy("grp").applyInArrow(_packer(key, capacity, segments, most_loss), schema).unionByName(full)
+    alone = (F.col("tokens") == capacity) | (F.col("loss") > most_loss)
+    single = items.where(alone).withColumn("container", F.concat(F.lit("r"), F.col("row").cast("string"), F.lit("."), F.col("part").cast("string"))).drop("row")
+    rest = items.where(~alone).withColumn("grp", F.pmod(F.xxhash64(key, "part", "row"), F.lit(groups)))
+    schema = f"{key} {kind}, part int, from_token int, tokens int, loss int, container string"
+    return rest.groupBy("grp").applyInArrow(_packer(key, capacity, segments, most_loss), schema).unionByName(single)

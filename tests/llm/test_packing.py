@@ -22,6 +22,31 @@ def test_pack_respects_all_limits():
     assert P.pack(tokens, loss, 100, 64, 100).max() + 1 <= math.ceil(tokens.sum() / 100) * 1.01
 
 
+@pytest.mark.parametrize("limits, bound", [((100, 9, 100), 0), ((100, 3, 100), 1), ((100, 9, 70), 2)])
+def test_each_limit_can_bind(limits, bound):
+    tokens = np.array([20] * 500)
+    no = P.pack(tokens, np.array([18] * 500), *limits)
+    for b in range(no.max()):
+        used = (tokens[no == b].sum() / limits[0], (no == b).sum() / limits[1], 18 * (no == b).sum() / limits[2])
+        assert max(used) <= 1 and used[bound] + (0.2, 0, 18 / 70)[bound] >= 1 and max(used) == used[bound]
+
+
+def test_numbers_are_unique_and_limits_hold(spark):
+    rnd = random.Random(6)
+    text = lambda n: "Start here. " + " ".join(rnd.choice(["page", "title", "crawl", "Seite"]) for _ in range(n))
+    twice = text(900)
+    rows = [(7, twice), (7, twice)] + [(i, text(rnd.choice([3, 30, 400, 505]))) for i in range(8, 200)]
+    got = P.fill_containers(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text", group_items=50).collect()
+    fill = {}
+    for r in got:
+        fill.setdefault(r.container, []).append(r)
+    assert sum(r.doc_id == 7 and r.tokens == 512 for r in got) == len({r.container for r in got if r.doc_id == 7 and r.tokens == 512}) == 2
+    for c in fill.values():
+        assert sum(r.tokens for r in c) <= P.CAPACITY and len(c) <= P.SEGMENTS and (len(c) == 1 or sum(r.loss for r in c) <= P.MOST_LOSS)
+    assert max(len(c) for c in fill.values()) == P.SEGMENTS and any(len(c) == 1 and c[0].loss > P.MOST_LOSS and c[0].tokens < P.CAPACITY for c in fill.values())
+    assert all(r.loss == r.tokens - 3 for r in got if r.part == 0) and all(r.loss == r.tokens for r in got if r.part)
+
+
 def test_table(spark):
     rnd = random.Random(1)
     text = lambda n: " ".join(rnd.choice(["page", "title", "crawl", "Seite"]) for _ in range(n))
