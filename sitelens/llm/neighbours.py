@@ -2,18 +2,28 @@
 
 Method
 ------
-* Equal vectors are one row of the matrix; of its members only the ``k + 1`` smallest ids can
-  ever be neighbours, so a group of copies, however large, costs one row.
-* Rows are normalised and quantised to int8 with one scale each. The matrix is cut into
-  blocks; a task multiplies one pair of blocks (each unordered pair once). Products of int8
-  values are summed exactly in single precision (256 x 127 x 127 < 2^24).
-* The product, scaled, is the cosine up to the error bound ``|e_a| |q_b| + |a| |e_b|`` made of the
-  rows' own quantisation residuals. Pairs whose upper bound lies below the lower bound of a
-  row's (k+1)-th best so far are dropped; the survivors are computed again in double
-  precision, rounded to 6 decimals, and merged by bounded heaps: per task, then per row.
-
-Scale: each block travels to the tasks of its stripe once as float32 and is quantised there;
-a task holds two blocks. The result is exact (recall 1.0), ties go to the smaller id.
+* Equal vectors are one row of the matrix, known by the digest of their values; of its members
+  only the ``k + 1`` smallest ids can ever be neighbours, so a group of copies, however large,
+  costs one row.
+* Rows are normalised, turned by a fixed orthogonal matrix (signs and Hadamard, which spreads
+  single large values and leaves all products as they are) and quantised once to int8 with
+  one scale each; what that leaves over is quantised to int8 again. Only these codes travel.
+* The matrix is cut into blocks; a task multiplies one pair of blocks (each unordered pair
+  once). Products of the first codes are sums of integers below 2^24, so single precision
+  holds them exactly. Scaled, they are the cosine up to the error bound
+  ``|e_a| |q_b| + |e_b|`` made of the rows' own quantisation residuals. Pairs whose upper
+  bound lies below the (k+1)-th best lower bound of their row so far are dropped; for the
+  others both codes together give bounds some two hundred times as narrow, which drop nearly
+  all that is left.
+* Per row the (k+1)-th best lower bound over all tiles drops what remains of the tiles' lists.
+  The surviving pairs, little more than ``k`` for each row, are recomputed in double precision
+  from the stored values, rounded to 6 decimals and ranked. The result is exact (recall 1.0);
+  ties go to the smaller id.
+
+Scale: a row travels to the tiles of its stripe as 2 bytes a dimension; the stored vectors are
+read again only for surviving pairs. The work grows with the square of the different vectors,
+in tiles of bounded size; lists are bounded sums of tiles and merged by sorting, not in memory.
+The joins that give copies back their answers and pairs their vectors are salted.
 
 Defined cases: a vector that is null, has another length, holds a null or NaN or infinite
 value or is all zero is not used and appears in no pair; fewer than k + 1 usable rows give
@@ -22,7 +32,8 @@ what there is; the scale of a vector does not matter; repeated ids count as they
 
 from __future__ import annotations
 
-import heapq
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,11 +42,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitelens.session import stored
+from sitelens.session import spread, stored
 
-BLOCK_ROWS = 4096
+#: Rows of a block at most; fewer where that leaves too few tiles for the cores.
+BLOCK_ROWS, LEAST_ROWS = 16_384, 1024
 _TILE = 1024
 MOST_TASKS = 20_000
+SALTS = 16
 _DECIMALS = 6
 
 
@@ -44,159 +57,213 @@ def usable(vector: str, dims: int):
     return F.coalesce((F.size(vector) == dims) & ~F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(column), -1)
+
+
+def unit_rows(raw: np.ndarray) -> np.ndarray:
+    rows = raw.astype(np.float64)
+    rows /= np.abs(rows).max(axis=1, keepdims=True)  # keeps the norm of tiny and huge vectors finite
+    return rows / np.sqrt((rows**2).sum(axis=1))[:, None]
+
+
+def turning(dims: int) -> np.ndarray:
+    """An orthogonal map from ``dims`` to the next power of two: fixed signs, then Hadamard."""
+    h = np.ones((1, 1))
+    while len(h) < dims:
+        h = np.block([[h, h], [h, -h]])
+    signs = np.where(np.random.default_rng(1).random(dims) < 0.5, -1.0, 1.0)
+    return signs[:, None] * h[:dims] / math.sqrt(len(h))
+
+
+def quantise(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, codes of the rest, scale, error of the first codes, error of both) of each row."""
+    unit = unit_rows(raw) @ turning(raw.shape[1])
+    scale = np.abs(unit).max(axis=1) / 127
+    first = np.rint(unit / scale[:, None])
+    rest = unit - first * scale[:, None]
+    second = np.clip(np.rint(rest / scale[:, None] * 254), -127, 127)
+    left = rest - second * scale[:, None] / 254
+    return first.astype(np.int8), second.astype(np.int8), scale, np.sqrt((rest**2).sum(axis=1)), np.sqrt((left**2).sum(axis=1))
+
+
 class Block:
-    """Rows of one block: exact doubles, their norms and the int8 image with its error bound."""
-
-    def __init__(self, ids: np.ndarray, members: list[list[int]], raw: np.ndarray):
-        self.ids, self.members = ids, members
-        self.rows = raw.astype(np.float64)
-        self.rows /= np.abs(self.rows).max(axis=1, keepdims=True)  # keeps the norm of tiny and huge vectors finite
-        self.norm = np.sqrt((self.rows**2).sum(axis=1))
-        unit = self.rows / self.norm[:, None]
-        scale = np.abs(unit).max(axis=1) / 127
-        codes = np.rint(unit / scale[:, None])
-        self.codes, self.scale = codes.astype(np.int8), scale
-        image = codes * scale[:, None]
-        self.error = np.sqrt(((unit - image) ** 2).sum(axis=1))
-        self.image_norm = np.sqrt((image**2).sum(axis=1))
-        self.unit = unit.astype(np.float32)
-
-    def exact(self, a: np.ndarray, other: Block, b: np.ndarray) -> np.ndarray:
-        out = np.empty(len(a))
-        for s in range(0, len(a), 8192):
-            x, y = a[s : s + 8192], b[s : s + 8192]
-            out[s : s + 8192] = np.einsum("ij,ij->i", self.rows[x], other.rows[y]) / (self.norm[x] * other.norm[y])
-        return np.round(out, _DECIMALS)
+    """Rows of one block as they came: codes, scale, errors."""
+
+    def __init__(self, ids: np.ndarray, first: np.ndarray, second: np.ndarray, scale: np.ndarray, error: np.ndarray, fine_error: np.ndarray):
+        self.ids = ids
+        self.codes = first.astype(np.float32)  # integers; the form in which they are multiplied
+        self.scale = scale.astype(np.float32)
+        self.error = error.astype(np.float32) * np.float32(1 + 1e-6)
+        self.norm = np.sqrt((self.codes**2).sum(axis=1)) * self.scale * np.float32(1 + 1e-6)
+        self.fine = (self.codes + second.astype(np.float32) / 254) * self.scale[:, None]
+        self.fine_error = fine_error.astype(np.float32)
 
 
 class Best:
-    """For each row of a block the keep-th best lower bound and exact pairs so far."""
+    """Candidates of each row of a block, and its ``keep``-th best lower bound so far."""
 
     def __init__(self, n: int, keep: int):
-        self.keep, self.floor = keep, np.full(n, -2.0)
-        self.heaps: list[list[tuple[float, int, int]]] = [[] for _ in range(n)]
-
-    def push(self, rows: np.ndarray, sims: np.ndarray, other: Block, cols: np.ndarray) -> None:
-        keep, heaps = self.keep, self.heaps
-        for r, s, c in zip(rows.tolist(), sims.tolist(), cols.tolist()):
-            heap = heaps[r]
-            for member in other.members[c]:
-                item = (s, -member)
-                if len(heap) < keep:
-                    heapq.heappush(heap, item)
-                elif item > heap[0]:
-                    heapq.heapreplace(heap, item)
-                else:
-                    break
-            if len(heap) == keep:
-                self.floor[r] = max(self.floor[r], heap[0][0] - 10.0**-_DECIMALS)
+        self.keep, self.top, self.floor = keep, np.full((n, keep), -2.0, np.float32), np.full(n, -2.0, np.float32)
+        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+
+    def add(self, rows: np.ndarray, ids: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        if not len(rows):
+            return
+        self.found.append((rows, ids, low, high))
+        order = np.lexsort((-low, rows))
+        own, first, count = np.unique(rows[order], return_index=True, return_counts=True)
+        place = np.arange(len(rows)) - np.repeat(first, count)
+        kept = place < self.keep
+        new = np.full((len(own), self.keep), -2.0, np.float32)
+        new[np.repeat(np.arange(len(own)), count)[kept], place[kept]] = low[order][kept]
+        merged = np.sort(np.concatenate((self.top[own], new), axis=1), axis=1)[:, -self.keep :]
+        self.top[own] = merged
+        self.floor[own] = np.maximum(self.floor[own], merged[:, 0])
+
+    def candidates(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        if not self.found:
+            return np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.float32)
+        rows, ids, low, high = (np.concatenate(x) for x in zip(*self.found))
+        kept = high >= self.floor[rows] - _EQUAL
+        return rows[kept], ids[kept], low[kept], high[kept]
+
+
+#: Cosines that may be equal after rounding, with what single precision may add; what it may add to a product of codes.
+_EQUAL, _SINGLE = np.float32(1.5 * 10.0**-_DECIMALS), np.float32(4e-6)
 
 
 def _tile(a: Block, b: Block, best_a: Best, best_b: Best | None, i0: int, i1: int, j0: int, j1: int) -> None:
-    """One product of int8 rows: drops what the error bound excludes, recomputes and merges the rest."""
-    upper = a.codes[i0:i1].astype(np.float32) @ b.codes[j0:j1].astype(np.float32).T  # exact integers
-    upper *= a.scale[i0:i1, None].astype(np.float32)
-    upper *= b.scale[None, j0:j1].astype(np.float32)
-    slack = np.multiply.outer(a.error[i0:i1].astype(np.float32), b.image_norm[j0:j1].astype(np.float32))
-    slack += (b.error[None, j0:j1] + 4e-6).astype(np.float32)  # with what single precision and the rounding may add
+    """One product of int8 rows: drops what the error bounds exclude, lists the rest."""
+    upper = a.codes[i0:i1] @ b.codes[j0:j1].T  # exact integers
+    upper *= a.scale[i0:i1, None]
+    upper *= b.scale[None, j0:j1]
+    slack = np.multiply.outer(a.error[i0:i1], b.norm[j0:j1])
+    slack += b.error[None, j0:j1] + _SINGLE
     upper += slack
     for best, own, other, rows, cols, flip in ((best_a, a, b, i0, j0, False), (best_b, b, a, j0, i0, True)):
         if best is None:
             continue
         grid, gap = (upper.T, slack.T) if flip else (upper, slack)
         floor = best.floor[rows : rows + grid.shape[0]]
-        fresh = np.flatnonzero(floor < -1.5)  # later the heaps' own floors are tighter
+        fresh = np.flatnonzero(floor < -1.5)  # later the narrower bounds are better
         if len(fresh) and grid.shape[1] >= best.keep:
             lower = grid[fresh] - 2 * gap[fresh]
             floor[fresh] = np.partition(lower, -best.keep, axis=1)[:, -best.keep]
-        r, c = np.nonzero(grid >= floor[:, None].astype(np.float32))
+        r, c = np.nonzero(grid >= (floor - _EQUAL)[:, None])
         r, c = r + rows, c + cols
-        near = np.concatenate([np.einsum("ij,ij->i", own.unit[r[s : s + 8192]], other.unit[c[s : s + 8192]]) for s in range(0, max(1, len(r)), 8192)])
-        kept = near >= best.floor[r] - 2e-5  # 256 products in single precision are off by less
-        r, c = r[kept], c[kept]
-        sims = own.exact(r, other, c)
-        good = sims >= best.floor[r] - 1e-5
-        best.push(r[good], sims[good], other, c[good])
+        near = np.concatenate([np.einsum("ij,ij->i", own.fine[r[s : s + 8192]], other.fine[c[s : s + 8192]]) for s in range(0, max(1, len(r)), 8192)])
+        width = own.fine_error[r] + other.fine_error[c] * np.float32(1.01) + _SINGLE
+        kept = near + width >= best.floor[r] - _EQUAL
+        r, c, near, width = r[kept], c[kept], near[kept], width[kept]
+        best.add(r, other.ids[c], near - width, near + width)
+
+
+_LISTED = pa.schema([("vec_id", pa.int64()), ("other", pa.int64()), ("low", pa.float32()), ("high", pa.float32())])
+_CODED = "vec_id bigint, first binary, second binary, scale double, error double, fine_error double"
+
+
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            first, second, *numbers = quantise(_matrix(b.column(1)))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), *(pa.array([r.tobytes() for r in m], pa.binary()) for m in (first, second)), *(pa.array(x) for x in numbers)], names=["vec_id", "first", "second", "scale", "error", "fine_error"]
+            )
 
 
 def _pairs(k: int):
     def run(key: tuple[pa.Scalar, ...], frame: pa.Table) -> pa.Table:
         i, j = key[0].as_py(), key[1].as_py()
+        which, ids = frame.column("block").to_numpy(), frame.column("vec_id").to_numpy()
+        codes = [np.frombuffer(b"".join(frame.column(c).to_pylist()), np.int8).reshape(len(which), -1) for c in ("first", "second")]
+        numbers = [frame.column(c).to_numpy() for c in ("scale", "error", "fine_error")]
         blocks = {}
-        which = np.array(frame.column("block").to_pylist())
-        ids, members = np.array(frame.column("vec_id").to_pylist()), frame.column("members").to_pylist()
-        flat = frame.column("vec").combine_chunks()
-        flat = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(which), -1)
         for n in {i, j}:
             at = np.flatnonzero(which == n)
             if len(at):
                 at = at[np.argsort(ids[at])]
-                blocks[n] = Block(ids[at], [members[x] for x in at], flat[at])
+                blocks[n] = Block(ids[at], *(c[at] for c in codes), *(x[at] for x in numbers))
         if i not in blocks or j not in blocks:
-            return _PART.empty_table()
+            return _LISTED.empty_table()
         a, b = blocks[i], blocks[j]
         best_a, best_b = Best(len(a.ids), k + 1), None if i == j else Best(len(b.ids), k + 1)
         for i0 in range(0, len(a.ids), _TILE):
             for j0 in range(0, len(b.ids), _TILE):
                 _tile(a, b, best_a, best_b, i0, min(i0 + _TILE, len(a.ids)), j0, min(j0 + _TILE, len(b.ids)))
-        rows = [(int(block.ids[r]), [{"sim": s, "id": -m} for s, m in heap]) for block, best in ((a, best_a), (b, best_b)) if best for r, heap in enumerate(best.heaps)]
-        return pa.Table.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], _PART.field("near").type)], schema=_PART)
+        out = [(block.ids[rows], *rest) for block, best in ((a, best_a), (b, best_b)) if best for rows, *rest in [best.candidates()]]
+        return pa.Table.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(zip(*out), _LISTED.types)], schema=_LISTED)
 
     return run
 
 
-_PART = pa.schema([("vec_id", pa.int64()), ("near", pa.list_(pa.struct([("sim", pa.float64()), ("id", pa.int64())])))])
+def _digest(key_type: pa.DataType):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                rows = np.ascontiguousarray(_matrix(b.column(1)))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in rows], pa.binary()), b.column(1)], names=["id", "digest", "vec"])
 
+    return run
 
-def nearest(df: DataFrame, key: str, vector: str, k: int = 5, dims: int = 256, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(``key``, neighbour, similarity, rank): the k most similar rows of every usable row."""
-    rows = df.where(usable(vector, dims)).select(F.col(key).alias("id"), F.col(vector).alias("vec"))
-    # copies become one row; members beyond the first k + 1 can't be neighbours but are answered all the same
-    coded = rows.withColumn("h", F.struct(F.xxhash64("vec"), F.hash("vec")))
-    vectors = stored(_smallest(coded, k + 1), "vectors")
-    n = vectors.count()
-    blocks = max(1, -(-n // block_rows))
-    placed = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    tiles = placed.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")).select(
-        "vec_id", "members", "vec", "block", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j")
-    )
-    spots = min(MOST_TASKS, blocks * (blocks + 1))  # twice the tiles: few of them share a task
-    found = tiles.repartition(spots, "i", "j").groupBy("i", "j").applyInArrow(_pairs(k), "vec_id bigint, near array<struct<sim double, id bigint>>")
-    best = _merge(found, k + 1)
-    members = coded.join(vectors.select("h", "vec", "vec_id"), ["h", "vec"]).select("id", "vec_id")
-    out = members.join(best, "vec_id").select("id", F.posexplode(F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k)).alias("rank", "n"))
-    return out.select(F.col("id").alias(key), F.col("n.id").alias("neighbour"), F.col("n.sim").alias("similarity"), (F.col("rank") + 1).alias("rank"))
 
+def _smallest(coded: DataFrame, keep: int) -> DataFrame:
+    """One row for each different vector, with its ``keep`` smallest ids: ranks inside salts first, so
+    that a group of copies never meets in one task."""
+    lists = coded.groupBy("digest", F.pmod(F.xxhash64("id"), F.lit(256)).alias("salt")).agg(F.slice(F.array_sort(F.collect_set("id")), 1, keep).alias("ids"), F.first("vec").alias("vec"))
+    out = lists.groupBy("digest").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, keep).alias("members"), F.first("vec").alias("vec"))
+    return out.withColumn("vec_id", F.col("members")[0])
 
-def _top(schema: pa.Schema, keep: int):
-    """Merges lists of (similarity, id) into the ``keep`` best, in heaps of bounded size."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heaps: dict[int, list] = {}
-        for b in batches:
-            for v, near in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                heap = heaps.setdefault(v, [])
-                heap.extend((-x["sim"], x["id"]) for x in near)
-                if len(heap) > 8 * keep:
-                    heap[:] = heapq.nsmallest(keep, heap)
-        ids = list(heaps)
-        for s in range(0, len(ids), 10_000):
-            part = ids[s : s + 10_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([[{"sim": -s, "id": i} for s, i in heapq.nsmallest(keep, heaps[v])] for v in part], schema.field("near").type)], schema=schema)
+_EXACT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float64())])
 
-    return run
 
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The cosine of the stored values in double precision."""
+    for b in batches:
+        if b.num_rows:
+            x, y = unit_rows(_matrix(b.column(2))), unit_rows(_matrix(b.column(3)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.round(np.einsum("ij,ij->i", x, y), _DECIMALS))], schema=_EXACT)
 
-def _merge(found: DataFrame, keep: int) -> DataFrame:
-    """The best lists of each row from those of its tiles."""
-    return found.repartition("vec_id").mapInArrow(_top(_PART, keep), found.schema)
 
+def blocks_for(n: int, cores: int, block_rows: int, least_rows: int) -> int:
+    """How many blocks: small enough for a task, and as many as give each core a few tiles."""
+    return max(1, -(-n // block_rows), min(math.isqrt(4 * cores) + 1, -(-n // least_rows)))
 
-def _smallest(coded: DataFrame, keep: int) -> DataFrame:
-    """One row for each different vector, with its ``keep`` smallest ids: pre-aggregated per
-    partition, so that a group of copies never meets in one task."""
-    salted = coded.groupBy("h", "vec", F.pmod(F.xxhash64("id"), F.lit(64)).alias("salt")).agg(F.slice(F.array_sort(F.collect_set("id")), 1, keep).alias("ids"))
-    return salted.groupBy("h", "vec").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, keep).alias("members")).withColumn("vec_id", F.col("members")[0])
+
+def nearest(df: DataFrame, key: str, vector: str, k: int = 5, dims: int = 256, block_rows: int = BLOCK_ROWS, least_rows: int = LEAST_ROWS) -> DataFrame:
+    """(``key``, neighbour, similarity, rank): the k most similar rows of every usable row."""
+    spark = df.sparkSession
+    rows = spread(df.where(usable(vector, dims)).select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("vec")))
+    coded = rows.mapInArrow(_digest(pa.int64()), f"id bigint, digest binary, vec {rows.schema['vec'].dataType.simpleString()}")
+    vectors = stored(_smallest(coded, k + 1), "vectors")
+    blocks = blocks_for(vectors.count(), spark.sparkContext.defaultParallelism, block_rows, least_rows)
+
+    codes = vectors.select("vec_id", "vec").mapInArrow(_codes, _CODED).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    tiles = codes.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")).withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")}).drop("o")
+    spots = min(MOST_TASKS, blocks * (blocks + 1))  # twice the tiles: few of them share a task
+    listed = tiles.repartition(spots, "i", "j").groupBy("i", "j").applyInArrow(_pairs(k), "vec_id bigint, other bigint, low float, high float")
+    floor = F.expr(f"nth_value(low, {k + 1}) over (partition by vec_id order by low desc rows between unbounded preceding and unbounded following)")
+    left = listed.withColumn("floor", F.coalesce(floor, F.lit(-2.0))).where(F.col("high") >= F.col("floor") - float(_EQUAL))
+    pairs = stored(left.where("vec_id <> other").select(F.least("vec_id", "other").alias("a"), F.greatest("vec_id", "other").alias("b")).distinct(), "pairs")
+
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    one = pairs.join(vectors.select(F.col("vec_id").alias("a"), F.col("vec").alias("vec_a")), "a")
+    both = one.join(vectors.select(F.col("vec_id").alias("b"), F.col("vec").alias("vec_b")), "b").select("a", "b", "vec_a", "vec_b")
+    exact = both.mapInArrow(_exact, "a bigint, b bigint, sim double")
+    turned = exact.unionByName(exact.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
+    own = vectors.select(F.col("vec_id").alias("a"), F.col("vec_id").alias("b"), F.lit(1.0).alias("sim"))  # copies of each other
+    near = turned.unionByName(own).join(vectors.select(F.col("vec_id").alias("b"), "members"), "b").select("a", "sim", F.explode("members").alias("n"))
+    ranked = near.withColumn("no", F.expr("row_number() over (partition by a order by sim desc, n)")).where(F.col("no") <= k + 1)
+    best = ranked.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("no", "n", "sim"))).alias("near"))  # k + 1 entries
+
+    # every copy gets the answer of its vector
+    answers = vectors.select("digest", F.col("vec_id").alias("a")).join(best, "a").select("digest", "near", salts)
+    members = coded.select("id", "digest", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    out = members.join(answers.hint("merge"), ["digest", "salt"]).select("id", F.posexplode(F.slice(F.filter("near", lambda x: x["n"] != F.col("id")), 1, k)).alias("rank", "x"))
+    kind = df.select(key).schema[0].dataType
+    return out.select(F.col("id").cast(kind).alias(key), F.col("x.n").cast(kind).alias("neighbour"), F.col("x.sim").alias("similarity"), (F.col("rank") + 1).alias("rank"))
 
 
 def unordered_pairs(near: DataFrame, key: str) -> DataFrame:

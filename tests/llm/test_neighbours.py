@@ -23,7 +23,7 @@ def test_against_brute_force(spark):
     rows = [(i, rnd.choice(base) if rnd.random() < 0.5 else [rnd.gauss(0, 1) for _ in range(8)], "x", 1) for i in range(300)]
     rows += [(900, [250 * x for x in base[0]], "x", 1), (901, [0.01 * x for x in base[0]], "x", 1)]
     rows += [(902, None, "x", 1), (903, [], "x", 1), (904, [0.0] * 8, "x", 1), (905, [math.nan] + [1.0] * 7, "x", 1), (906, [None] + [1.0] * 7, "x", 1), (907, [math.inf] + [1.0] * 7, "x", 1), (908, [1.0] * 7, "x", 1)]
-    assert run(spark, rows, block_rows=50) == want(rows[:-7]) == run(spark, rows, block_rows=10_000)
+    assert run(spark, rows, block_rows=50) == want(rows[:-7]) == run(spark, rows, block_rows=10_000, least_rows=10_000) == run(spark, rows)
 
 
 def test_copies_ties_and_few_rows(spark):
