@@ -149,10 +149,10 @@ def orphans(refs: DataFrame, parents: DataFrame) -> DataFrame:
     survivors = stored(left.join(dictionary, ["rng", "pos"]).select("src_table", "key", "period"), "survivors")
 
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    hit = refs.withColumn("salt", F.pmod(F.hash("src_key", "src_item"), F.lit(SALTS))).join(survivors.select("*", salts), ["src_table", "key", "period", "salt"])
+    hit = refs.withColumn("salt", F.pmod(F.hash("src_key", "src_item"), F.lit(SALTS))).join(survivors.select("*", salts).hint("merge"), ["src_table", "key", "period", "salt"])
     lives = parents.join(survivors.select("key").distinct(), "key", "left_semi").select("key", "live_from", "live_to").distinct().select(F.col("key").alias("k"), "live_from", "live_to", salts.alias("s"))
     live = (F.col("key") == F.col("k")) & (F.col("salt") == F.col("s")) & (F.col("live_from") <= F.col("t")) & (F.col("live_to").isNull() | (F.col("t") < F.col("live_to")))
-    return hit.join(lives, live, "left_anti").select("src_table", "src_key", "src_item", "ref_key", "period").distinct()
+    return hit.join(lives.hint("merge"), live, "left_anti").select("src_table", "src_key", "src_item", "ref_key", "period").distinct()
 
 
 def audit_references(judge: DataFrame, findings: DataFrame, affected: DataFrame, registry: DataFrame) -> tuple[DataFrame, DataFrame]:
