@@ -53,7 +53,10 @@ class Spark:
         return f"(octet_length(encode({e}, 'UTF-16BE')) / 2)"
 
     def ts(self, e: str) -> str:
-        return f"try_cast({e} AS TIMESTAMP)"
+        """A date as a script engine reads it: ISO forms, else month names and American order; null otherwise."""
+        plain = f"trim(regexp_replace(regexp_replace({e}, '^[A-Za-z]+, *', ''), '( GMT| UTC|Z)$', ''))"
+        forms = ["d MMM yyyy HH:mm:ss", "d MMM yyyy", "MMM d, yyyy", "MMMM d, yyyy", "d MMMM yyyy", "MMM d, yyyy HH:mm:ss", "yyyy/M/d", "M/d/yyyy", "M-d-yyyy", "M.d.yyyy"]
+        return f"coalesce(try_cast({e} AS TIMESTAMP), {', '.join(f"try_to_timestamp({plain}, '{f}')" for f in forms)})"
 
 
 class DuckDb(Spark):
@@ -110,12 +113,29 @@ def query(d: Spark, u: str) -> str:
 
 
 def resolve(d: Spark, ref: str, base: str) -> str:
-    """An href seen from a page: absolute, protocol-relative or root-relative ones; null for others."""
+    """An href seen from a page, as an absolute address: with a scheme of its own, from the protocol, the
+    root, the folder, the query or the fragment on; ``.`` and ``..`` are followed. Spark only."""
+    ref = f"trim({ref})"
     origin = f"concat({scheme(d, base)}, '://', {host(d, base)})"
-    return (
-        f"(CASE WHEN {d.re(ref, '^[Hh][Tt][Tt][Pp][Ss]?://')} THEN {ref} WHEN {d.re(ref, '^//')} THEN concat({scheme(d, base)}, ':', {ref}) "
-        f"WHEN {d.re(ref, '^/')} THEN concat({origin}, {ref}) WHEN {ref} = '' THEN {base} END)"
+    joined = (
+        f"(CASE WHEN {d.re(ref, '^[A-Za-z][A-Za-z0-9+.-]*:')} THEN {ref} WHEN {path(d, base)} = '' THEN NULL WHEN {d.re(ref, '^//')} THEN concat({scheme(d, base)}, ':', {ref}) "
+        f"WHEN {d.re(ref, '^/')} THEN concat({origin}, {ref}) WHEN {d.re(ref, '^([?]|$)')} THEN concat({origin}, {path(d, base)}, CASE WHEN {ref} = '' THEN {query(d, base)} ELSE {ref} END) "
+        f"WHEN {d.re(ref, '^#')} THEN concat({origin}, {path(d, base)}, {query(d, base)}, {ref}) ELSE concat({origin}, {d.sub(path(d, base), '[^/]*$')}, {ref}) END)"
     )
+    return f"transform(array({joined}), u -> CASE WHEN contains(u, '/.') THEN {_dotless(d, 'u')} ELSE u END)[0]"
+
+
+def _dotless(d: Spark, u: str) -> str:
+    """The address without ``.`` and ``..`` steps."""
+    steps = f"split(substring({path(d, u)}, 2), '/')"
+    walked = f"aggregate({steps}, cast(array() AS array<string>), (a, x) -> CASE WHEN x = '..' THEN slice(a, 1, greatest(size(a) - 1, 0)) WHEN x = '.' THEN a ELSE concat(a, array(x)) END)"
+    slash = f"CASE WHEN element_at({steps}, -1) IN ('.', '..') AND size({walked}) > 0 THEN '/' ELSE '' END"
+    return f"concat({scheme(d, u)}, '://', {host(d, u)}, '/', array_join({walked}, '/'), {slash}, {query(d, u)})"
+
+
+def address(d: Spark, u: str) -> str:
+    """An absolute http(s) address with lower-case host, without default port; null for anything else."""
+    return f"(CASE WHEN {path(d, u)} <> '' THEN concat({scheme(d, u)}, '://', {host(d, u)}, {path(d, u)}, {query(d, u)}, {d.grab(u, '(#.*)$')}) END)"
 
 
 def normalized(d: Spark, u: str) -> str:

@@ -15,6 +15,13 @@ def inlinks(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").distinct().groupBy("dst").agg(F.count(F.lit(1)).alias("inlinks"))
 
 
+def site_roots(pages: DataFrame) -> DataFrame:
+    """(site, url): where each site's crawl starts: the page at its root if there is one, else the first
+    page crawled. ``pages``: site, row_no, url (as the graph knows it)."""
+    at_root = F.when(F.col("url").rlike("^[a-z]+://[^/?#]+/?$"), 0).otherwise(1)
+    return pages.groupBy("site").agg(F.min_by("url", F.struct(at_root, "row_no")).alias("url"))
+
+
 def click_depth(edges: DataFrame, roots: DataFrame, crawled: DataFrame | None = None, max_depth: int | None = None) -> DataFrame:
     """(url, depth): fewest clicks from a root. Links of pages that were not crawled are not followed.
     Runs until no new page is reached (pages seen before end every cycle), or to ``max_depth`` if given.

@@ -99,10 +99,11 @@ def patterns_of(parsed: DataFrame, site: str) -> DataFrame:
 
 def allowed(targets: DataFrame, patterns: DataFrame, keys: list[str], path: str = "path") -> DataFrame:
     """Adds ``allowed``: the longest allow pattern that matches is at least as long as the longest
-    disallow pattern. Patterns are joined by site; targets of sites without any are allowed."""
-    hit = lambda kind: F.coalesce(F.max(F.when((F.col("kind") == kind) & F.rlike(path, "re"), F.length("pattern"))), F.lit(-1))
-    joined = targets.join(patterns, "site", "left").groupBy("site", *keys, path).agg(hit("disallow").alias("d"), hit("allow").alias("a"))
-    return joined.select("site", *keys, path, (F.col("d") <= F.col("a")).alias("allowed"))
+    disallow pattern. A site's patterns, few by nature, are one array and joined once by site; each target is
+    judged in its own row. Targets of sites without any are allowed."""
+    of_site = patterns.groupBy("site").agg(F.collect_list(F.struct("kind", F.length("pattern").alias("n"), "re")).alias("patterns"))
+    hit = lambda kind: F.coalesce(F.array_max(F.transform(F.filter("patterns", lambda x: (x["kind"] == kind) & F.rlike(path, x["re"])), lambda x: x["n"])), F.lit(-1))
+    return targets.join(of_site, "site", "left").select("site", *keys, path, (hit("disallow") <= hit("allow")).alias("allowed"))
 
 
 def llms_problems(text: str | Column) -> Column:

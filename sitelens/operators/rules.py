@@ -90,7 +90,7 @@ def at_least(c: str, limit: str):
 
 # accessibility, AI visibility
 rule("a11y:control-no-name", "mittel", minCount=1)(at_least("unlabeled_control_count", "minCount"))
-rule("geo:missing-citations", "mittel", minCitationWords=80)(lambda d, p: f"{d.int('word_count')} >= {p['minCitationWords']} AND {d.num('outlinks_external')} = 0")
+rule("geo:missing-citations", "mittel", minCitationWords=80)(lambda d, p: f"{d.int('word_count')} >= {p['minCitationWords']} AND {d.int('outlinks_external')} = 0")
 rule("geo:ai-snippet-suppressed", "hoch")(lambda d, p: d.re(f"lower({d.s('robots_meta')})", r"(^|[^a-z0-9_])(nosnippet($|[^a-z0-9_])|max-snippet\s*:\s*0($|[^0-9]))"))
 rule("geo:noimageindex", "niedrig")(lambda d, p: d.re(f"lower({d.s('robots_meta')})", r"(^|[^a-z0-9_])noimageindex($|[^a-z0-9_])"))
 rule("geo:content-stale", "niedrig")(lambda d, p: f"{article(d)} AND {blank('date_modified')(d, p)}")

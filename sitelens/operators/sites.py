@@ -7,17 +7,30 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.functions.exprs import Spark, path
+from sitelens.operators.rules import CATALOGUE
 
 _D = Spark()
-CONTACT = r"(contact|kontakt|about|ueber-uns|impressum|imprint|legal-notice|privacy|datenschutz)"
+# Beginnings of path steps that tell of contact, about, imprint and privacy pages.
+CONTACT = (
+    r"/(kontakt|contact|reach-us|get-in-touch|hilfe|ueber-uns|ueber|uber-uns|uber|about|wer-wir-sind|unternehmen|firma"
+    r"|impressum|imprint|legal-notice|legal|anbieterkennzeichnung|datenschutz|privacy|data-protection|dsgvo)"
+)
 # Bounds of good and needs-improvement for the 75th percentile.
 CWV_BOUNDS = {"lcp": (2500.0, 4000.0), "inp": (200.0, 500.0), "cls": (0.10, 0.25)}
 
 
+def plain_path(url: str):
+    """The path as it is searched for names: decoded where it can be, lower case, umlauts as two letters;
+    of something that is no address the whole."""
+    own = path(_D, url)
+    text = f"lower(CASE WHEN {own} = '' THEN coalesce({url}, '') ELSE coalesce(try_url_decode(replace({own}, '+', '%2B')), {own}) END)"
+    return F.expr(f"replace(replace(replace({text}, 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue')")
+
+
 def page_facts(crawl: DataFrame, extra_urls: DataFrame | None = None) -> DataFrame:
     """One row per site with what its pages say together (partial aggregation, one shuffle)."""
     d = _D
-    plain = F.expr(f"replace(replace(replace(lower({path(d, 'url')}), 'ä', 'ae'), 'ö', 'oe'), 'ü', 'ue')")
+    plain = plain_path("url")
     any_of = lambda e: F.max(F.coalesce(F.expr(e), F.lit(False)))
     facts = crawl.groupBy("host").agg(
         F.count(F.lit(1)).alias("pages"),
@@ -28,7 +41,7 @@ def page_facts(crawl: DataFrame, extra_urls: DataFrame | None = None) -> DataFra
         F.max(plain.rlike(CONTACT)).alias("contact"),
     )
     if extra_urls is not None:  # pages that are only linked
-        linked = extra_urls.groupBy("host").agg(F.max(F.expr(f"lower({path(d, 'url')})").rlike(CONTACT)).alias("linked"))
+        linked = extra_urls.groupBy("host").agg(F.max(plain_path("url").rlike(CONTACT)).alias("linked"))
         facts = facts.join(linked, "host", "left").withColumn("contact", F.col("contact") | F.coalesce("linked", F.lit(False))).drop("linked")
     return facts
 
@@ -37,14 +50,14 @@ def page_facts(crawl: DataFrame, extra_urls: DataFrame | None = None) -> DataFra
 CONDITIONS = {
     "geo:ai-bot-blocked": "exists(bots, b -> b.disallow_all AND b.use <> 'on-demand-fetcher')",
     "geo:ai-user-fetcher-blocked": "exists(bots, b -> b.use = 'on-demand-fetcher' AND (b.disallow_all OR size(b.paths) > 0))",
-    "geo:llms-txt-malformed": "coalesce(size(llms_problems) > 0, false)",
+    "geo:llms-txt-malformed": "coalesce(llms_known, false) AND (llms_problems IS NULL OR size(llms_problems) > 0)",  # looked for and not there, or not right
     "geo:no-faq-howto": "NOT faq",
     "schema:no-organization": "NOT org AND NOT markup",
     "trust:contact-pages-missing": "NOT contact",
     "tech:robots-site-blocked": "robots_exists AND NOT root_allowed",
     "tech:robots-noindex-directive": r"coalesce(robots_raw RLIKE r'(?im)^[ \t]*noindex[ \t]*:', false)",
     "tech:robots-no-sitemap": "robots_exists AND size(sitemaps) = 0",
-    "tech:sitemap-scale-limit": "largest_sitemap > 50000",
+    "tech:sitemap-scale-limit": f"coalesce(largest_sitemap, sitemap_urls, 0) > {CATALOGUE['tech:sitemap-scale-limit'].params['maxLoc']}",
     "tech:http-not-redirected": "http_reachable AND NOT http_redirects AND https",
     "perf:cwv-field-fail": "CASE WHEN cwv IS NOT NULL THEN exists(map_values(cwv), c -> c <> 'good') END",
     "tech:tls-cert-expiring": "CASE WHEN tls_issues IS NOT NULL THEN size(tls_issues) > 0 END",

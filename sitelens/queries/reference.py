@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from sitelens.functions.exprs import DuckDb, Spark, host, normalized, path, query
 from sitelens.operators import evaluation as ev
-from sitelens.operators import html_features, knowledge, linkgraph, relations, robots, rules, runtime, sites
+from sitelens.operators import html_features, knowledge, linkgraph, robots, rules, runtime, sites
 from sitelens.plans import audit
+from sitelens.queries import check_sql
 from sitelens.queries.rules import all_hits, depths, graph, site_status
 from sitelens.queries.signals import ROBOTS, patterns
 from sitelens.session import table
@@ -326,8 +327,6 @@ QUERIES = {
     "priorities": priorities, "leak_scan": leak_scan,
 }
 
-_PAGES = relations.pages(Q, "crawl")
-_HITS = "hits AS (" + " UNION ALL ".join(f"SELECT '{r}' AS rule_id, '{rules.CATALOGUE[r].severity}' AS severity, host, row_no, url FROM crawl WHERE {p(Q, rules.CATALOGUE[r].params)}" for r, p in rules.PAGE_RULES.items()) + ")"
 _FLAT = """s AS (SELECT run_key, fixture, run_no, meta, unnest(sections) AS s FROM findings), fl AS (SELECT run_key, fixture, run_no, meta, unnest(s.findings) AS f FROM s)"""
 _GIVEN = "list_sort(list_distinct(list_filter(f.rule_ids, lambda x: x IS NOT NULL AND x <> '')))"
 _SCRAPED = "list_sort(list_distinct(flatten(list_transform(regexp_extract_all(f.beleg, 'ruleId=([^;]*)', 1), lambda c: regexp_extract_all(c, '[a-z][a-z0-9]*:[a-z0-9:_-]+')))))"
@@ -342,7 +341,6 @@ _AGG = f"""WITH {_RECALL}, {_CITES}, {_FAB}, per AS (SELECT fixture, count(*) AS
  agg AS (SELECT round((SELECT avg(recall_mean) FROM per), 6) AS recall, round((SELECT avg(round(pass_k, 6)) FROM per WHERE k >= 2), 6) AS stability, round((SELECT sum(valid) / sum(total) FROM cites), 6) AS citation_validity,
  round((SELECT count(*) FILTER (verdict = 'pass') / count(*) FROM judge), 6) AS faithfulness, (SELECT count(*) FROM fab) AS fabrications)"""
 _BL = lambda c: f"coalesce(trim({c}), '') = ''"
-_DEPTH = f"WITH RECURSIVE {_PAGES}, {relations.edges(Q)}, depth AS (SELECT norm AS url, 0 AS depth FROM pages WHERE row_no = (SELECT min(row_no) FROM pages) UNION SELECT e.dst, depth.depth + 1 FROM depth JOIN edges e ON e.src = depth.url WHERE depth.depth < 40) SELECT url, CAST(min(depth) AS INT) AS depth FROM depth GROUP BY url"
 _ERR = {
     **{f"no {c}": _BL(f"f.{c}") for c in ("id", "title", "category", "befund", "beleg", "auswirkung", "empfehlung")}, "severity": "coalesce(f.severity NOT IN ('hoch', 'mittel', 'niedrig'), true)", "provenance": "coalesce(f.prov NOT IN ('gemessen', 'beobachtet', 'geschätzt'), true)",
     **{f"ice.{c}": f"coalesce(f.ice.{c} NOT BETWEEN 1 AND 3, true)" for c in "ice"}, "ice.score": "coalesce(f.ice.score <> f.ice.i * f.ice.c * f.ice.e, true)", "certainty above 1 on a small sample": "coalesce(meta.sample_size < 5 AND f.ice.c > 1, false)",
@@ -350,20 +348,12 @@ _ERR = {
 }
 _VERR = {**{f"no {c}": _BL(c) for c in ("fixture", "judge_model", "prompt_version", "finding_id", "rationale")}, **{f"no {c}": f"{c} IS NULL" for c in ("supported", "provenance_correct", "fabricated_numbers")}, "verdict": "coalesce(verdict NOT IN ('pass', 'fail', 'warn'), true)", "run": "coalesce(run_no < 1, true)"}
 _LEAK = {**{n: (p, "error") for n, p in ev.LEAKS.items()}, **{n: (p, "warn") for n, p in ev.WARNINGS.items()}}
-_SEG = f"(CASE WHEN {path(Q, 'url')} = '' THEN '(other)' WHEN {Q.grab(path(Q, 'url'), '^/+([^/]+)')} = '' THEN '/' ELSE concat('/', {Q.grab(path(Q, 'url'), '^/+([^/]+)')}, '/*') END)"
 
 SQL = {
-    "audit_hits": f"WITH {_HITS} SELECT rule_id, host, row_no FROM hits",
-    "audit_findings": f"WITH {_HITS}, n AS (SELECT host, count(*) AS pages FROM crawl GROUP BY 1) SELECT h.host, rule_id, severity, count(*) AS hits, CASE WHEN any_value(pages) >= 5 THEN round(count(*) / any_value(pages) * 100, 1) END AS pct_of_pages FROM hits h JOIN n ON n.host = h.host GROUP BY 1, 2, 3",
-    "audit_status": f"WITH {_HITS}, r AS (SELECT unnest([{', '.join(repr(r) for r in rules.PAGE_RULES)}]) AS rule_id) SELECT c.host, r.rule_id, CASE WHEN EXISTS (SELECT 1 FROM hits h WHERE h.host = c.host AND h.rule_id = r.rule_id) THEN 'finding' ELSE 'positive' END AS status FROM (SELECT DISTINCT host FROM crawl) c, r",
-    "audit_samples": f"WITH {_HITS}, k AS (SELECT host, rule_id, url, row_number() OVER w - 1 AS rank, count(*) OVER (PARTITION BY host, rule_id) AS total FROM hits WINDOW w AS (PARTITION BY host, rule_id ORDER BY row_no)), p AS (SELECT * FROM k WHERE total <= 10 OR rank IN (SELECT floor(i * (total - 1) / 9 + 0.5) FROM range(10) t(i))) SELECT host, rule_id, row_number() OVER (PARTITION BY host, rule_id ORDER BY rank) AS ord, url FROM p",
-    "audit_clusters": f"WITH {_HITS}, g AS (SELECT host, rule_id, {_SEG} AS pattern, count(*) AS n FROM hits GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY host, rule_id ORDER BY n DESC, pattern) AS ord FROM g) SELECT host, rule_id, pattern, n, ord FROM r WHERE ord <= 5",
+    **check_sql.audit({r: i.severity for r, i in rules.CATALOGUE.items()}),
+    **check_sql.GRAPH_QUERIES,
     "audit_meta": "SELECT c.host, count(*) AS pages, min_by(regexp_extract(url, '^(https?://[^/?#]+)', 1), row_no) AS origin, CASE WHEN avg(CASE WHEN error_code = 'js-guard:empty-body' THEN 1.0 ELSE 0 END) > 0.5 THEN 'client-rendered' ELSE 'server-rendered' END AS site_type, count(*) >= 5 AS min_n_met, CAST(CASE WHEN count(DISTINCT nullif(canonical, '')) BETWEEN 1 AND 49999 THEN least(100, floor(count(*) / count(DISTINCT nullif(canonical, '')) * 100 + 0.5)) END AS BIGINT) AS coverage_pct FROM crawl c GROUP BY 1",
-    "thin_ranked": f"SELECT host, row_no, {Q.int('word_count')} AS words, row_number() OVER (PARTITION BY host, {Q.int('word_count')} ORDER BY row_no) AS tie FROM crawl WHERE {rules.PAGE_RULES['onpage:thin'](Q, {'minWords': 100})}",
-    "link_edges": f"WITH {_PAGES}, {relations.edges(Q)} SELECT src, dst FROM edges",
-    "link_inlinks": f"WITH {_PAGES}, {relations.edges(Q)} SELECT dst AS url, count(DISTINCT src) AS inlinks FROM edges GROUP BY 1",
-    "link_depth": _DEPTH,
-    "link_orphans": f"WITH {_PAGES}, {relations.edges(Q)} SELECT row_no, norm AS url FROM pages WHERE norm NOT IN (SELECT dst FROM edges) AND norm <> (SELECT min_by(norm, row_no) FROM pages)",
+    "thin_ranked": f"SELECT host, row_no, {Q.int('word_count')} AS words, row_number() OVER (PARTITION BY host, {Q.int('word_count')} ORDER BY row_no) AS tie FROM crawl WHERE error_code IS DISTINCT FROM 'js-guard:empty-body' AND redirected IS DISTINCT FROM '1' AND try_cast(regexp_extract(word_count, '^[ ]*([0-9]+)', 1) AS BIGINT) < 100",
     "url_keys": f"SELECT row_no, {normalized(Q, 'url')} AS norm, {host(Q, 'final_url')} AS host_part, {path(Q, 'final_url')} AS path_part, {query(Q, 'final_url')} AS query_part FROM crawl",
     "robots_verdicts": "WITH t AS (SELECT row_no, length(host) % 4 AS k, regexp_extract(url, '^https?://[^/]+([^#]*)', 1) AS p FROM crawl) SELECT row_no, CASE k WHEN 0 THEN NOT (regexp_matches(p, '^/help/') OR regexp_matches(p, '^/.*/vendor') OR (regexp_matches(p, '^/build/') AND NOT regexp_matches(p, '^/build/app'))) WHEN 1 THEN NOT regexp_matches(p, '^/static/.*[.]mjs$') WHEN 2 THEN false ELSE true END AS allowed FROM t",
     "robots_parsed": "SELECT DISTINCT host, ['/build/ /*/vendor /help/', '/static/*.mjs$', '/', ''][length(host) % 4 + 1] AS disallow, ['/build/app', '', '', '/'][length(host) % 4 + 1] AS allow, CAST([1, 0, 0, 2][length(host) % 4 + 1] AS INT) AS sitemaps, CASE WHEN length(host) % 4 = 1 THEN CAST(2 AS DOUBLE) END AS crawl_delay FROM crawl",

@@ -5,16 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitelens.functions.exprs import DuckDb, Spark, normalized
+from sitelens.functions.exprs import Spark, normalized
 from sitelens.operators import linkgraph, relations, rules, sites
 from sitelens.plans import audit
-from sitelens.queries import signals
+from sitelens.queries import check_sql, signals
 from sitelens.session import scratch_path, stored, table
 
-SPARK, DUCK = Spark(), DuckDb()
+SPARK = Spark()
 HREFLANG = "i18n:hreflang-invalid-code"
-# The language and region codes that the check's SQL knows; the library takes the full ISO lists.
-CHECK_LANGUAGES, CHECK_REGIONS = ["de", "en", "es", "fr", "it", "pt", "zh", "ja", "ru", "el", "fa"], ["AT", "BR", "CA", "CH", "DE", "GB", "MX", "TW", "US"]
 
 
 def iso_codes(spark: SparkSession) -> tuple[list[str], list[str]]:
@@ -37,17 +35,18 @@ def hreflang_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "crawl").where(F.expr(rules.hreflang_invalid(*iso_codes(spark))(SPARK, {}))).select("host", "row_no", "url")
 
 
+def _given(text: str, makers: dict) -> dict:
+    """The tables that a SQL text names, made on demand."""
+    return {name: make() for name, make in makers.items() if "{" + name + "}" in text}
+
+
 def relation_rule(rule_id: str):
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         crawl = table(spark, sf_dir, "crawl")
-        given = {"crawl": crawl}
-        patterns = ""
-        if rule_id.startswith("tech:robots-"):
-            given["patterns"] = signals.patterns(crawl)
-            patterns = "robots_patterns AS (SELECT * FROM {patterns})"
-        if rule_id in ("links:deep", "schema:breadcrumb-missing"):
-            given["depths"] = depths(spark, sf_dir)
-        return spark.sql(escape(relations.build(rule_id, SPARK, patterns=patterns), given), **given)
+        text = relations.build(rule_id, SPARK, patterns="robots_patterns AS (SELECT * FROM {patterns})")
+        makers = {"crawl": lambda: crawl, "patterns": lambda: signals.patterns(crawl), "edges": lambda: graph(spark, sf_dir)[1], "roots": lambda: graph(spark, sf_dir)[2], "depths": lambda: depths(spark, sf_dir)}
+        given = _given(text, makers)
+        return spark.sql(escape(text, given), **given)
 
     return run
 
@@ -61,7 +60,8 @@ def relation_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     crawl = table(spark, sf_dir, "crawl")
     ready = stored(spark.sql(escape(f"WITH {relations.pages(SPARK)} SELECT * FROM pages", {"crawl": crawl}), crawl=crawl), "pages")
-    more = {"patterns": stored(signals.patterns(crawl), "patterns"), "depths": depths(spark, sf_dir)}
+    _, edges, roots = graph(spark, sf_dir)
+    more = {"patterns": stored(signals.patterns(crawl), "patterns"), "edges": stored(edges, "edges"), "roots": stored(roots, "roots"), "depths": depths(spark, sf_dir)}
     path = scratch_path(spark, "hits")
     for rule_id in relations.RELATIONAL:
         text = relations.build(rule_id, SPARK, patterns="robots_patterns AS (SELECT * FROM {patterns})", ready="{pages}")
@@ -97,12 +97,13 @@ def escape(text: str, given: dict) -> str:
 
 
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(pages with url keys, edges, roots) of the link graph over the crawl table."""
-    crawl = table(spark, sf_dir, "crawl", "row_no", "url").withColumn("url", F.expr(normalized(SPARK, "url")))
-    parent = crawl.select(F.col("row_no").alias("p"), F.col("url").alias("src"))
-    linked = crawl.where("row_no % 11 <> 0").select(F.floor(F.col("row_no") / 3).alias("p"), F.col("url").alias("dst"))
-    edges = linked.join(parent, "p").select("src", "dst").distinct()
-    return crawl, edges, crawl.agg(F.min_by("url", "row_no").alias("url"))
+    """(pages, edges, roots) of a link graph over the crawled pages: inside each site every page but each
+    eleventh is linked from the page at a third of its place in the crawl."""
+    crawl = table(spark, sf_dir, "crawl", "row_no", "host", "url").select("row_no", F.col("host").alias("site"), F.expr(normalized(SPARK, "url")).alias("url"))
+    placed = audit.ranked(crawl, ["site"]).select("site", "url", "rank")
+    linked = placed.where("rank % 11 <> 0").select("site", F.floor(F.col("rank") / 3).alias("p"), F.col("url").alias("dst"))
+    edges = linked.join(placed.select("site", F.col("rank").alias("p"), F.col("url").alias("src")), ["site", "p"]).select("src", "dst").distinct()
+    return crawl, edges, linkgraph.site_roots(crawl).select("url").distinct()
 
 
 def depths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,31 +118,13 @@ def site_rule(rule_id: str):
     return run
 
 
-_PATH = relations.path(DUCK, "url")
-_FACTS = rf"""WITH f AS (SELECT host, length(host) AS n,
-  coalesce(bool_or(regexp_matches(coalesce(ld_types, ''), '(^|,)\s*(FAQPage|HowTo)\s*(,|$)')), false) AS faq, coalesce(bool_or(has_org = '1'), false) AS org,
-  coalesce(bool_or(has_microdata = '1' OR has_rdfa = '1'), false) AS markup, coalesce(bool_or(https_ok = '1'), false) AS https,
-  bool_or(regexp_matches(lower({_PATH}), 'contact|kontakt|about|ueber-uns|impressum|imprint|legal-notice|privacy|datenschutz')) AS contact FROM crawl GROUP BY host)
-SELECT host, CASE WHEN (@) IS NULL THEN 'skipped' WHEN @ THEN 'finding' ELSE 'positive' END AS status, CASE WHEN coalesce(@, false) THEN # ELSE 0 END AS hits FROM f"""
-_SITE_SQL = {
-    "geo:ai-bot-blocked": ("n % 4 = 1", "2"), "geo:ai-user-fetcher-blocked": ("n % 4 = 3", "1"), "geo:llms-txt-malformed": ("n % 3 = 1", "1"), "geo:no-faq-howto": ("NOT faq", "1"),
-    "schema:no-organization": ("NOT org AND NOT markup", "1"), "trust:contact-pages-missing": ("NOT contact", "1"), "tech:robots-site-blocked": ("n % 4 = 2", "1"),
-    "tech:robots-noindex-directive": ("n % 4 = 2", "1"), "tech:robots-no-sitemap": ("n % 4 IN (1, 2)", "1"), "tech:sitemap-scale-limit": ("n * 3000 > 50000", "1"),
-    "tech:http-not-redirected": ("n % 2 = 0 AND n % 3 <> 0 AND https", "1"), "perf:cwv-field-fail": ("CASE WHEN n % 4 <> 0 THEN n * 200 > 2500 END", "1"),
-    "tech:tls-cert-expiring": ("CASE WHEN n % 5 <> 0 THEN n - 20 <= 14 END", "1"), "tech:safe-browsing-flagged": ("CASE WHEN n % 7 <> 0 THEN n % 7 = 1 END", "1"),
-}
-
 QUERIES, SQL = {}, {}
 for _id in rules.CATALOGUE:
     _name = rules.query_name(_id)
     if _id in rules.PAGE_RULES:
-        QUERIES[_name] = page_rule(_id)
-        SQL[_name] = f"SELECT host, row_no, url FROM crawl WHERE {rules.PAGE_RULES[_id](DUCK, rules.CATALOGUE[_id].params)}"
+        QUERIES[_name], SQL[_name] = page_rule(_id), check_sql.page_rule(_id)
     elif _id in relations.RELATIONAL:
-        QUERIES[_name] = relation_rule(_id)
-        SQL[_name] = relations.build(_id, DUCK, "crawl", signals.PATTERN_SQL)
+        QUERIES[_name], SQL[_name] = relation_rule(_id), check_sql.relation(_id)
     elif _id in sites.CONDITIONS:
-        QUERIES[_name] = site_rule(_id)
-        SQL[_name] = _FACTS.replace("@", _SITE_SQL[_id][0]).replace("#", _SITE_SQL[_id][1])
-QUERIES["rule_i18n_hreflang_invalid_code"] = hreflang_rule
-SQL["rule_i18n_hreflang_invalid_code"] = f"SELECT host, row_no, url FROM crawl WHERE {rules.hreflang_invalid(CHECK_LANGUAGES, CHECK_REGIONS)(DUCK, {})}"
+        QUERIES[_name], SQL[_name] = site_rule(_id), check_sql.site_rule(_id)
+QUERIES["rule_i18n_hreflang_invalid_code"], SQL["rule_i18n_hreflang_invalid_code"] = hreflang_rule, check_sql.HREFLANG

@@ -36,7 +36,9 @@ def signals(crawl: DataFrame) -> DataFrame:
         .join(root, "host")
         .withColumn("robots_exists", F.lit(True))
         .withColumn("llms_problems", F.when(F.col("llms").isNotNull(), robots.llms_problems("llms")))
-        .withColumn("largest_sitemap", F.col("n") * 3000)
+        .withColumn("llms_known", F.col("n") % 10 != 0)
+        .withColumn("largest_sitemap", F.when(F.col("n") % 5 != 0, F.col("n") * 3000))
+        .withColumn("sitemap_urls", F.col("n") * 2400)
         .withColumn("http_reachable", F.col("n") % 2 == 0)
         .withColumn("http_redirects", F.col("n") % 3 == 0)
         .withColumn("cwv", F.when(F.col("n") % 4 != 0, measured))
@@ -51,10 +53,3 @@ def facts(crawl: DataFrame) -> DataFrame:
 
 def patterns(crawl: DataFrame) -> DataFrame:
     return robots.patterns_of(robots.parse_files(crawl.select("host").distinct().withColumn("raw", F.element_at(F.array(*map(F.lit, ROBOTS)), (F.length("host") % 4 + 1).cast("int"))), "host", "raw"), "host")
-
-
-#: the patterns as an independent table, with the regular expressions written by hand
-PATTERN_SQL = r"""robots_patterns AS (
-  SELECT h.site, v.kind, v.pattern, v.re FROM (SELECT DISTINCT host AS site FROM crawl) h JOIN (VALUES
-    (0, 'disallow', '/build/', '^/build/'), (0, 'disallow', '/*/vendor', '^/.*/vendor'), (0, 'allow', '/build/app', '^/build/app'), (0, 'disallow', '/help/', '^/help/'),
-    (1, 'disallow', '/static/*.mjs$', '^/static/.*[.]mjs$'), (2, 'disallow', '/', '^/'), (3, 'allow', '/', '^/')) v(k, kind, pattern, re) ON length(h.site) % 4 = v.k)"""

@@ -6,6 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The columns of a crawl, in the order of its CSV file; all cells are strings and '' is absent.
+CRAWL_COLUMNS = [
+    "url", "page_type", "status", "final_url", "redirected", "redirect_chain",
+    "title", "title_len", "meta_desc", "meta_desc_len", "meta_missing", "canonical", "canon_self", "robots_meta", "html_lang", "hreflang_count", "hreflang", "h1", "h1_count", "heading_outline",
+    "ld_types", "ld_valid", "ld_context_ok", "has_product", "has_agg", "has_breadcrumb", "has_org", "has_org_same_as", "has_faq", "has_author", "date_published", "date_modified", "offer_price",
+    "availability", "img_total", "img_no_alt", "img_jpg", "img_webp", "img_avif", "outlinks_internal", "outlinks_authoritative", "word_count", "raw_word_count", "https_ok", "mixed_content",
+    "error_code", "viewport_content", "charset_ok", "og_title", "og_image", "og_url", "has_favicon", "canonical_count", "img_no_dimensions", "first_img_lazy", "dom_node_count",
+    "head_blocking_scripts", "head_blocking_styles", "generic_anchor_count", "empty_link_count", "unlabeled_control_count", "agg_rating_value", "agg_rating_count",
+    "has_shipping_details", "has_return_policy", "has_org_logo", "has_org_contact_point", "x_robots_tag", "hsts_present", "frame_protection", "content_encoding", "hreflang_links",
+    "nosniff_present", "referrer_policy_present", "permissions_policy_present", "csp_present", "cookie_insecure", "version_disclosure", "has_microdata", "has_rdfa", "resource_paths",
+    "outlinks_external",
+]
 # Limits of the crawl profiles.
 PROFILES = {
     "quick": {"max_urls": 50, "max_depth": 2, "rps": 2.0, "workers": 1},
