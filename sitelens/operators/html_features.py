@@ -18,9 +18,10 @@ from sitelens.functions import urls
 from sitelens.session import spread
 
 # Link texts that say nothing, in lower case.
-GENERIC = frozenset(
-    "hier|hier klicken|klicken sie hier|klick hier|mehr|mehr erfahren|mehr lesen|mehr dazu|weiterlesen|weiter|link|click here|click|here|read more|more|learn more|this link".split("|")
-)
+GENERIC = frozenset([
+    "hier", "hier klicken", "klicken sie hier", "klick hier", "mehr", "mehr erfahren", "mehr lesen", "mehr dazu", "weiterlesen", "weiter", "link",
+    "click here", "click", "here", "read more", "more", "learn more", "this link",
+])
 # Domains whose pages count as authoritative besides .gov, .edu and wikipedia.org.
 AUTHORITATIVE = (
     "pubmed.ncbi.nlm.nih.gov", "who.int", "statista.com", "nature.com", "sciencedirect.com", "springer.com", "nih.gov",
@@ -91,73 +92,131 @@ def _span(tags: list[Tag], name: str, size: int) -> tuple[int, int]:
     return start, next((t.start for t in reversed(tags) if t.name == name and t.closing and t.start >= start), size)
 
 
-def _inner(text: str, tags: list[Tag], i: int) -> tuple[str, list[Tag]] | None:
+def _closers(tags: list[Tag]) -> list[int]:
+    """For each tag the next closing tag of its name, by one walk from the end."""
+    nearest: dict[str, int] = {}
+    out = [0] * len(tags)
+    for i in range(len(tags) - 1, -1, -1):
+        out[i] = nearest.get(tags[i].name, 0)
+        if tags[i].closing:
+            nearest[tags[i].name] = i
+    return out
+
+
+def _inner(text: str, tags: list[Tag], closers: list[int], i: int) -> tuple[str, list[Tag]] | None:
     """Text between a tag and its closing tag, without tags, and the tags inside."""
-    for j in range(i + 1, len(tags)):
-        if tags[j].name == tags[i].name and tags[j].closing:
-            return decode(" ".join(_TAG.sub(" ", text[tags[i].end : tags[j].start]).split())).strip(), tags[i + 1 : j]
-    return None
+    if not (j := closers[i]):
+        return None
+    body = text[tags[i].end : tags[j].start]
+    return decode(" ".join((_TAG.sub(" ", body) if "<" in body else body).split())).strip(), tags[i + 1 : j]
 
 
 def _walk(node) -> Iterator[dict]:
-    """All objects of a JSON-LD value, outermost first."""
+    """All objects of a JSON-LD value, outermost first: an object's graph, then its other members."""
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, dict):
+            yield x
+            members = [v for k, v in x.items() if not k.startswith("@")]
+            todo.extend(reversed([x["@graph"], *members] if isinstance(x.get("@graph"), list) else members))
+        elif isinstance(x, list):
+            todo.extend(reversed(x))
+
+
+def _tops(node) -> Iterator[dict]:
+    """The objects that a block states: itself, the entries of arrays and graphs."""
     todo = [node]
     while todo:
         x = todo.pop()
         if isinstance(x, dict):
             yield x
-            todo.extend(reversed(list(x.values())))
+            todo.extend(reversed(x["@graph"] if isinstance(x.get("@graph"), list) else []))
         elif isinstance(x, list):
             todo.extend(reversed(x))
 
 
 def _types(node: dict) -> list[str]:
     t = node.get("@type")
-    return [x for x in (t if isinstance(t, list) else [t]) if isinstance(x, str)]
+    return [str(x) for x in (t if isinstance(t, list) else [t]) if x]
+
+
+def _offer(block) -> dict:
+    """The first offer that a block states, by itself or as the offer of what it states."""
+    for top in _tops(block):
+        own = top.get("offers")
+        for x in (top, *(own if isinstance(own, list) else [own])):
+            if isinstance(x, dict) and x.get("@type") == "Offer":
+                return x
+    return {}
+
+
+def _rating(block) -> dict:
+    """The first rating of a block, at any depth, by its type or as the rating of something."""
+    for x in _walk(block):
+        if "AggregateRating" in _types(x):
+            return x
+        own = x.get("aggregateRating")
+        own = own[0] if isinstance(own, list) and own else own
+        if isinstance(own, dict) and (own.get("@type") == "AggregateRating" or own.get("ratingValue") is not None):
+            return own
+    return {}
 
 
 def _reject(x: str):
     raise ValueError(x)
 
 
+_OPENING, _CLOSING = regex.compile(r"(?:(?://|/\*)\s*+)?<!\[CDATA\[(?:\*/)?", regex.I), regex.compile(r"(?:(?://|/\*)\s*+)?\]\]>\s*+(?:\*/|//)?\Z", regex.I)
+
+
+def _unwrapped(raw: str) -> str:
+    """A JSON-LD block without the marks of a character-data section."""
+    body = raw.strip()
+    if "<![CDATA[" in body and (m := _OPENING.match(body)):
+        body = body[m.end() :]
+    if "]]>" in body and (m := _CLOSING.search(body)):
+        body = body[: m.start()]
+    return body.strip()
+
+
+def _text(v) -> str:
+    if v is None:
+        return ""
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    return str(int(v)) if isinstance(v, float) and v == int(v) else str(v)
+
+
 def linked_data(blocks: list[str]) -> dict:
     """Features of the JSON-LD blocks of a page."""
-    out: dict = {"ld_valid": "1", "ld_context_ok": ""}
-    types: list[str] = []
-    nodes, tops = [], []
+    valid, context, types, parsed = "1", "", [], []
     for raw in blocks:
-        body = regex.sub(r"^\s*(?://)?\s*<!\[CDATA\[|(?://)?\s*\]\]>\s*$", "", raw.strip()).strip()
+        body = _unwrapped(raw)
         try:
             value = json.loads(body, parse_constant=_reject)
         except (ValueError, RecursionError):
-            out["ld_valid"] = "0"
+            valid = "0"
             types += regex.findall(r"\"@type\"\s*:\s*\"([^\"]+)\"", body)
             continue
-        found = list(_walk(value))
-        nodes.append(found)
-        types += [t for n in found for t in _types(n)]
+        parsed.append(value)
+        types += [t for n in _walk(value) for t in _types(n)]
         for top in value if isinstance(value, list) else [value]:
-            if isinstance(top, dict):
-                tops.append(top)
-                ctx = top.get("@context")
-                ok = any("schema.org" in json.dumps(c).lower() for c in (ctx if isinstance(ctx, list) else [ctx])) if ctx is not None else False
-                out["ld_context_ok"] = "0" if not ok or out["ld_context_ok"] == "0" else "1"
+            ctx = top.get("@context") if isinstance(top, dict) else None
+            context = "0" if context == "0" or ctx is None or "schema.org" not in json.dumps(ctx).lower() else "1"
     kinds = set(types)
-    every = [n for f in nodes for n in f]
-    orgs = [n for n in every if "Organization" in _types(n)]
+    orgs = [n for v in parsed for n in _walk(v) if "Organization" in _types(n)]
     flag = lambda b: "1" if b else "0"
-    text = lambda v: "" if v is None else str(v) if not isinstance(v, float) or v != int(v) else str(int(v)) if isinstance(v, int) else repr(v)
-    offer = next((n for f in nodes for n in f if "Offer" in _types(n)), {})
-    rating = next((n for f in nodes for n in f if "AggregateRating" in _types(n)), {})
-    graph = [g for t in tops for g in (t, *(t.get("@graph") if isinstance(t.get("@graph"), list) else []))]
-    first = lambda k: next((g[k] for g in graph if isinstance(g, dict) and isinstance(g.get(k), str) and g[k]), "")
+    org_has = lambda k: flag(any(o.get(k) is not None for o in orgs))
+    first = lambda k: next((str(n[k]) for v in parsed for n in _tops(v) if n.get(k)), "")
+    offer = next((o for v in parsed if (o := _offer(v))), {})
+    rating = next((r for v in parsed if (r := _rating(v))), {})
     count = rating.get("ratingCount") if rating.get("ratingCount") is not None else rating.get("reviewCount")
-    return out | {
-        "ld_types": ",".join(dict.fromkeys(types)), "has_product": flag("Product" in kinds), "has_agg": flag("AggregateRating" in kinds), "has_breadcrumb": flag("BreadcrumbList" in kinds), "has_org": flag("Organization" in kinds),
-        "has_org_same_as": flag(any(o.get("sameAs") is not None for o in orgs)), "has_faq": flag("FAQPage" in kinds), "has_author": flag(kinds & {"Author", "Person"}), "date_published": first("datePublished"), "date_modified": first("dateModified"),
-        "offer_price": text(offer.get("price")), "availability": text(offer.get("availability")), "agg_rating_value": text(rating.get("ratingValue")), "agg_rating_count": text(count),
-        "has_shipping_details": flag(offer.get("shippingDetails") is not None), "has_return_policy": flag(offer.get("hasMerchantReturnPolicy") is not None),
-        "has_org_logo": flag(any(o.get("logo") is not None for o in orgs)), "has_org_contact_point": flag(any(o.get("contactPoint") is not None for o in orgs)),
+    return {
+        "ld_valid": valid, "ld_context_ok": context, "ld_types": ",".join(dict.fromkeys(types)), "has_product": flag("Product" in kinds), "has_agg": flag("AggregateRating" in kinds), "has_breadcrumb": flag("BreadcrumbList" in kinds),
+        "has_org": flag("Organization" in kinds), "has_org_same_as": org_has("sameAs"), "has_faq": flag("FAQPage" in kinds), "has_author": flag(kinds & {"Author", "Person"}), "date_published": first("datePublished"), "date_modified": first("dateModified"),
+        "offer_price": _text(offer.get("price")), "availability": _text(offer.get("availability") or None), "agg_rating_value": _text(rating.get("ratingValue")), "agg_rating_count": _text(count),
+        "has_shipping_details": flag(offer.get("shippingDetails") is not None), "has_return_policy": flag(offer.get("hasMerchantReturnPolicy") is not None), "has_org_logo": org_has("logo"), "has_org_contact_point": org_has("contactPoint"),
     }
 
 
@@ -174,7 +233,7 @@ def extract(page: str | None, url: str) -> dict[str, object]:
     own = urls.parse(url)
     body0, body1 = _span(tags, "body", len(text))
     head0, head1 = _span(tags, "head", len(text))
-    opening = [t for t in tags if not t.closing]
+    opening, closers = [t for t in tags if not t.closing], _closers(tags)
     in_body = [t for t in opening if body0 <= t.start < body1]
     flag = lambda b: "1" if b else "0"
     n = lambda it: str(sum(1 for _ in it))
@@ -187,12 +246,12 @@ def extract(page: str | None, url: str) -> dict[str, object]:
                 meta.setdefault(name, t.get("content"))
     links = [t for t in opening if t.name == "link"]
     rel = lambda t: t.attrs.get("rel", "").lower().split()
-    title = next((x[0] for i, t in enumerate(tags) if t.name == "title" and not t.closing and (x := _inner(text, tags, i))), "")
+    title = next((x[0] for i, t in enumerate(tags) if t.name == "title" and not t.closing and (x := _inner(text, tags, closers, i))), "")
     canonicals = list(dict.fromkeys(t.get("href") for t in links if "canonical" in rel(t) and t.attrs.get("href")))
     target = urls.parse(canonicals[0], url) if canonicals else None
     bare = lambda u: (u[0], u[1], u[2][:-1] if u[2].endswith("/") else u[2])
     alternates = [(t.get("hreflang"), t.get("href")) for t in links if "alternate" in rel(t) and "hreflang" in t.attrs]
-    h1 = [x[0] for i, t in enumerate(tags) if t.name == "h1" and not t.closing and body0 <= t.start < body1 and (x := _inner(text, tags, i))]
+    h1 = [x[0] for i, t in enumerate(tags) if t.name == "h1" and not t.closing and body0 <= t.start < body1 and (x := _inner(text, tags, closers, i))]
     images = [t for t in in_body if t.name == "img"]
     sources = [t for t in in_body if t.name == "source"]
     ends = lambda ext: (lambda t: _EXT[ext].search(t.attrs.get("src", "")) is not None)
@@ -209,7 +268,7 @@ def extract(page: str | None, url: str) -> dict[str, object]:
     for i, t in enumerate(tags):
         if t.closing or not body0 <= t.start < body1:
             continue
-        if t.name == "a" and "href" in t.attrs and (x := _inner(text, tags, i)):
+        if t.name == "a" and "href" in t.attrs and (x := _inner(text, tags, closers, i)):
             label, inside = x[0].lower(), x[1]
             if not label and not named(t, "aria-label", "title") and not alt_inside(inside):
                 hollow += 1
@@ -217,7 +276,7 @@ def extract(page: str | None, url: str) -> dict[str, object]:
                 generic += 1
         elif t.name == "iframe" and not named(t, "title", "aria-label"):
             unlabeled += 1
-        elif t.name == "button" and (x := _inner(text, tags, i)) and not x[0] and not named(t, "aria-label", "aria-labelledby", "title") and not alt_inside(x[1]):
+        elif t.name == "button" and (x := _inner(text, tags, closers, i)) and not x[0] and not named(t, "aria-label", "aria-labelledby", "title") and not alt_inside(x[1]):
             unlabeled += 1
     inner_links, outward, trusted = [], 0, 0
     for t in in_body:

@@ -54,7 +54,10 @@ def thin_ranked(spark, sf_dir):
     """Thin pages per site from the shortest on."""
     thin = audit.page_hits(table(spark, sf_dir, "crawl"), ["onpage:thin"]).select("row_no")
     words = table(spark, sf_dir, "crawl", "host", "row_no", "word_count").withColumn("words", F.expr(D.int("word_count")))
-    return words.join(thin, "row_no").select("host", "row_no", "words", F.expr("row_number() over (partition by host, words order by row_no)").alias("tie"))
+    found = words.join(thin, "row_no").select("host", "row_no", "words", F.expr("row_number() over (partition by host, words order by row_no)").alias("tie"))
+    # the pages of each number of words are numbered by themselves and shifted by those with fewer words
+    before = found.groupBy("host", "words").agg(F.count(F.lit(1)).alias("n")).select("host", "words", F.expr("sum(n) over (partition by host order by words) - n").alias("before"))
+    return found.join(before, ["host", "words"]).select("host", "row_no", "words", (F.col("before") + F.col("tie")).alias("rank"))
 
 
 def link_edges(spark, sf_dir):
@@ -154,7 +157,7 @@ def html_features_q(spark, sf_dir):
 
 
 _SQ = lambda x: f"coalesce(trim(regexp_replace({x}, '[\\s\\pZ﻿]+', ' ', 'g')), '')"
-_N = lambda x: f"coalesce(least({Q.int(x)}, 40), 0)"
+_N = lambda x: f"coalesce({Q.int(x)}, 0)"
 _HTML_SQL = f"""SELECT row_no, t AS title, CAST({Q.utf16('t')} AS VARCHAR) AS title_len, m AS meta_desc, CASE WHEN m = '' THEN '1' ELSE '0' END AS meta_missing, {_SQ('robots_meta')} AS robots_meta, {_SQ('html_lang')} AS html_lang,
  {_SQ('viewport_content')} AS viewport_content, {_SQ('canonical')} AS canonical, h AS h1, CASE WHEN h = '' THEN '0' ELSE '1' END AS h1_count, CAST({_N('img_jpg')} + {_N('img_webp')} AS VARCHAR) AS img_total, CAST({_N('img_jpg')} AS VARCHAR) AS img_jpg,
  CAST({_N('img_webp')} AS VARCHAR) AS img_webp, CAST({_N('outlinks_internal')} AS VARCHAR) AS outlinks_internal, '1' AS charset_ok, CASE WHEN starts_with(url, 'https://') THEN '1' ELSE '0' END AS https_ok
@@ -170,10 +173,9 @@ def kb_sections(spark, sf_dir):
 
 
 def kb_embedding(spark, sf_dir):
-    """Embedding of each chunk's content, as its three largest slots and its sum."""
+    """Embedding of each chunk's content: its slots that are not zero."""
     v = knowledge.embed(table(spark, sf_dir, "kb_chunks", "chunk_no", "content"), "chunk_no", "content")
-    total = F.aggregate("vector", F.lit(0.0), lambda s, x: s + x)
-    return v.select("chunk_no", F.round(total, 5).alias("total"), F.round(F.array_max("vector"), 5).alias("top"), F.size(F.filter("vector", lambda x: x != 0)).alias("slots"))
+    return v.select("chunk_no", F.posexplode("vector").alias("slot", "weight")).where("weight <> 0").withColumn("weight", F.round("weight", 6))
 
 
 def kb_search(spark, sf_dir):
@@ -353,16 +355,16 @@ SQL = {
     **check_sql.audit({r: i.severity for r, i in rules.CATALOGUE.items()}),
     **check_sql.GRAPH_QUERIES,
     "audit_meta": "SELECT c.host, count(*) AS pages, min_by(regexp_extract(url, '^(https?://[^/?#]+)', 1), row_no) AS origin, CASE WHEN avg(CASE WHEN error_code = 'js-guard:empty-body' THEN 1.0 ELSE 0 END) > 0.5 THEN 'client-rendered' ELSE 'server-rendered' END AS site_type, count(*) >= 5 AS min_n_met, CAST(CASE WHEN count(DISTINCT nullif(canonical, '')) BETWEEN 1 AND 49999 THEN least(100, floor(count(*) / count(DISTINCT nullif(canonical, '')) * 100 + 0.5)) END AS BIGINT) AS coverage_pct FROM crawl c GROUP BY 1",
-    "thin_ranked": f"SELECT host, row_no, {Q.int('word_count')} AS words, row_number() OVER (PARTITION BY host, {Q.int('word_count')} ORDER BY row_no) AS tie FROM crawl WHERE error_code IS DISTINCT FROM 'js-guard:empty-body' AND redirected IS DISTINCT FROM '1' AND try_cast(regexp_extract(word_count, '^[ ]*([0-9]+)', 1) AS BIGINT) < 100",
+    "thin_ranked": f"SELECT host, row_no, {Q.int('word_count')} AS words, row_number() OVER (PARTITION BY host ORDER BY {Q.int('word_count')}, row_no) AS rank FROM crawl WHERE error_code IS DISTINCT FROM 'js-guard:empty-body' AND redirected IS DISTINCT FROM '1' AND try_cast(regexp_extract(word_count, '^[ ]*([0-9]+)', 1) AS BIGINT) < 100",
     "url_keys": f"SELECT row_no, {normalized(Q, 'url')} AS norm, {host(Q, 'final_url')} AS host_part, {path(Q, 'final_url')} AS path_part, {query(Q, 'final_url')} AS query_part FROM crawl",
     "robots_verdicts": "WITH t AS (SELECT row_no, length(host) % 4 AS k, regexp_extract(url, '^https?://[^/]+([^#]*)', 1) AS p FROM crawl) SELECT row_no, CASE k WHEN 0 THEN NOT (regexp_matches(p, '^/help/') OR regexp_matches(p, '^/.*/vendor') OR (regexp_matches(p, '^/build/') AND NOT regexp_matches(p, '^/build/app'))) WHEN 1 THEN NOT regexp_matches(p, '^/static/.*[.]mjs$') WHEN 2 THEN false ELSE true END AS allowed FROM t",
     "robots_parsed": "SELECT DISTINCT host, ['/build/ /*/vendor /help/', '/static/*.mjs$', '/', ''][length(host) % 4 + 1] AS disallow, ['/build/app', '', '', '/'][length(host) % 4 + 1] AS allow, CAST([1, 0, 0, 2][length(host) % 4 + 1] AS INT) AS sitemaps, CASE WHEN length(host) % 4 = 1 THEN CAST(2 AS DOUBLE) END AS crawl_delay FROM crawl",
     "llms_check": r"WITH l AS (SELECT chunk_no, list_filter(list_transform(regexp_split_to_array(coalesce(content, ''), '\r?\n'), lambda x: trim(x)), lambda x: x <> '') AS a FROM kb_chunks) SELECT chunk_no, CAST(CASE WHEN starts_with(coalesce(a[1], ''), '# ') THEN 0 ELSE 1 END + CASE WHEN len(list_filter(a, lambda x: starts_with(x, '> '))) > 0 THEN 0 ELSE 1 END AS INT) AS problems FROM l",
-    "sitemap_expanded": "SELECT DISTINCT host AS site, url AS loc FROM crawl WHERE row_no % 50 = 0",
-    "crawl_frontier": "WITH s AS (SELECT host, canonical AS url, min(row_no) AS ord FROM crawl WHERE canonical <> '' GROUP BY 1, 2), k AS (SELECT s.host AS site, s.url, row_number() OVER (PARTITION BY s.host ORDER BY ord, s.url) AS no FROM s WHERE EXISTS (SELECT 1 FROM crawl c WHERE c.host = s.host AND c.url = s.url)) SELECT site, no, url FROM k WHERE no <= 40",
+    "sitemap_expanded": "SELECT DISTINCT host AS site, url AS loc FROM crawl",
+    "crawl_frontier": "WITH s AS (SELECT host, canonical AS url, min(row_no) AS ord FROM crawl WHERE canonical <> '' GROUP BY 1, 2), k AS (SELECT s.host AS site, s.url, row_number() OVER (PARTITION BY s.host ORDER BY ord, s.url) AS no FROM s WHERE EXISTS (SELECT 1 FROM crawl c WHERE c.host = s.host AND c.url = s.url)) SELECT site, no, url FROM k WHERE no <= 25000",
     "url_types": "SELECT row_no, CASE WHEN regexp_matches(p, '^/(p|shop)/') THEN 'product' WHEN regexp_matches(p, '^/(blog|ratgeber)/') THEN 'article' WHEN regexp_matches(p, '^/help/') THEN 'help' ELSE 'page' END AS kind FROM (SELECT row_no, regexp_extract(url, '^https?://[^/]+([^?#]*)', 1) AS p FROM crawl)",
     "html_features": _HTML_SQL,
-    "kb_embedding": "WITH t AS (SELECT chunk_no, unnest(list_filter(regexp_split_to_array(lower(coalesce(content, '')), '[^a-z0-9]+'), lambda x: x <> '')) AS tok FROM kb_chunks), h AS (SELECT chunk_no, list_reduce(list_prepend(CAST(5381 AS BIGINT), list_transform(string_split(tok, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, c: xor((a * 33) & 4294967295, c)) AS h FROM t), b AS (SELECT chunk_no, h % 256 AS slot, 1.0 AS w FROM h UNION ALL SELECT chunk_no, (h >> 8) & 255, 0.5 FROM h), s AS (SELECT chunk_no, slot, CAST(sum(w) AS DOUBLE) AS w FROM b GROUP BY 1, 2), v AS (SELECT chunk_no, sum(w) / sqrt(sum(w * w)) AS total, max(w) / sqrt(sum(w * w)) AS top, count(*) AS slots FROM s GROUP BY 1) SELECT k.chunk_no, round(coalesce(total, 0.0), 5) AS total, round(coalesce(top, 0.0), 5) AS top, CAST(coalesce(slots, 0) AS INT) AS slots FROM kb_chunks k LEFT JOIN v ON v.chunk_no = k.chunk_no",
+    "kb_embedding": "WITH t AS (SELECT chunk_no, unnest(list_filter(regexp_split_to_array(lower(coalesce(content, '')), '[^a-z0-9]+'), lambda x: x <> '')) AS tok FROM kb_chunks), h AS (SELECT chunk_no, list_reduce(list_prepend(CAST(5381 AS BIGINT), list_transform(string_split(tok, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, c: xor((a * 33) & 4294967295, c)) AS h FROM t), b AS (SELECT chunk_no, h % 256 AS slot, 1.0 AS w FROM h UNION ALL SELECT chunk_no, (h >> 8) & 255, 0.5 FROM h), s AS (SELECT chunk_no, slot, CAST(sum(w) AS DOUBLE) AS w FROM b GROUP BY 1, 2), n AS (SELECT chunk_no, sqrt(sum(w * w)) AS n FROM s GROUP BY 1) SELECT chunk_no, CAST(slot AS INT) AS slot, round(w / n, 6) AS weight FROM s JOIN n USING (chunk_no)",
     "kb_search": "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT q.vec_id AS query, e.vec_id AS id, round(list_cosine_similarity(q.v, e.v), 6) AS score FROM e q, e WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM p) SELECT query, id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 4",
     "kb_cosine": "SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "kb_upsert": "SELECT id, max(chunk_no) AS chunk_no FROM kb_chunks GROUP BY id",
