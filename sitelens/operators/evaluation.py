@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 EPS = 1e-9
-#: A rule catalogue is small by nature; the ledger lists every rule for every run.
-MOST_RULES = 10_000
 PROVENANCE, SEVERITY, VERDICTS = ("gemessen", "beobachtet", "geschätzt"), ("hoch", "mittel", "niedrig"), ("pass", "fail", "warn")
 # Line patterns of secrets, and of what is only worth a look.
 LEAKS = {
@@ -156,22 +154,41 @@ def verdict_errors(judge: DataFrame) -> DataFrame:
 
 
 def ledger(findings: DataFrame, analysis: DataFrame) -> DataFrame:
-    """(run_key, rule_id, state): rules of the analysis that a run has interpreted, or that remain."""
+    """(run_key, rule_id, state): rules of the analysis that a run has interpreted, or that remain.
+    ``analysis`` has rule_id, and run_key where each run has an analysis of its own; else its rules, those of
+    a catalogue, hold for every run and reach it as one row."""
     cited = rule_ids(flat(findings)).select("run_key", F.explode("ids").alias("rule_id")).distinct().withColumn("done", F.lit(1))
-    known = [r.rule_id for r in analysis.select("rule_id").distinct().limit(MOST_RULES + 1).collect()]
-    if len(known) > MOST_RULES:
-        raise ValueError(f"an analysis names at most {MOST_RULES} rules")
-    every = findings.select("run_key").distinct().withColumn("rule_id", F.explode(F.array(*map(F.lit, sorted(known))) if known else F.array().cast("array<string>")))
+    runs = findings.select("run_key").distinct()
+    if "run_key" in analysis.columns:
+        every = runs.join(analysis.select("run_key", "rule_id").distinct(), "run_key")
+    else:
+        one = analysis.agg(F.array_sort(F.collect_set("rule_id")).alias("rules")).withColumn("one", F.lit(1))
+        every = runs.withColumn("one", F.lit(1)).join(one, "one").select("run_key", F.explode("rules").alias("rule_id"))
     return every.join(cited, ["run_key", "rule_id"], "left").select("run_key", "rule_id", F.when(F.col("done") == 1, "interpreted").otherwise("remaining").alias("state"))
 
 
+def handoff(findings: DataFrame, analysis: DataFrame) -> DataFrame:
+    """(run_key, sections, interpreted, remaining): where a run stands: its sections by number and id as
+    "num id title", the rules it has interpreted in all, and those of the analysis that remain."""
+    section = lambda s: F.struct(F.coalesce(s["num"], F.lit(0)).alias("num"), F.coalesce(s["id"], F.lit("(no-id)")).alias("id"), F.coalesce(s["title"], F.lit("(untitled)")).alias("title"))
+    listed = F.transform(F.array_sort(F.transform(F.coalesce("sections", F.array().cast(findings.schema["sections"].dataType)), section)), lambda s: F.concat_ws(" ", s["num"].cast("string"), s["id"], s["title"]))
+    runs = findings.groupBy("run_key").agg(F.min_by(listed, "produced_at").alias("sections"))  # a run delivered twice counts once
+    ids = lambda df, name: df.groupBy("run_key").agg(F.array_sort(F.collect_set("rule_id")).alias(name))
+    done = ids(rule_ids(flat(findings)).select("run_key", F.explode("ids").alias("rule_id")), "interpreted")
+    left = ids(ledger(findings, analysis).where("state = 'remaining'"), "remaining")
+    none = F.array().cast("array<string>")
+    return runs.join(done, "run_key", "left").join(left, "run_key", "left").select("run_key", "sections", F.coalesce("interpreted", none).alias("interpreted"), F.coalesce("remaining", none).alias("remaining"))
+
+
 def severity_histogram(findings: DataFrame) -> DataFrame:
-    """Findings of each severity per run, with the cumulative share at which each bar ends."""
+    """Findings of each severity per run, zeros where there are none, with the cumulative share in per cent
+    at which each bar ends."""
     n = {s: F.count_if(F.col("f.severity") == s) for s in SEVERITY}
-    out = flat(findings).groupBy("run_key").agg(*[c.alias(s) for s, c in n.items()])
+    counted = flat(findings).groupBy("run_key").agg(*[c.alias(s) for s, c in n.items()])
+    out = findings.select("run_key").distinct().join(counted, "run_key", "left").na.fill(0, list(SEVERITY))
     total = F.col("hoch") + F.col("mittel") + F.col("niedrig")
-    edge = lambda c: F.floor(c / total * 100 + 0.5)
-    return out.where(total > 0).withColumns({"hoch_end": edge(F.col("hoch")), "mittel_end": edge(F.col("hoch") + F.col("mittel"))})
+    edge = lambda c: F.when(total > 0, F.floor(c / total * 100 + 0.5)).otherwise(F.lit(0).cast("bigint"))
+    return out.withColumns({"hoch_end": edge(F.col("hoch")), "mittel_end": edge(F.col("hoch") + F.col("mittel"))})
 
 
 def priorities(findings: DataFrame) -> DataFrame:

@@ -10,11 +10,13 @@ import html as entities
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from sitelens.functions import urls
+from sitelens.functions.exprs import Spark, normalized
 from sitelens.session import spread
 
 # Link texts that say nothing, in lower case.
@@ -333,24 +335,50 @@ def features(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     kind = pages.select(key).schema[0].dataType.simpleString()
     schema = f"{key} {kind}, {url} string, " + ", ".join(f"{c} string" for c in COLUMNS) + ", internal_links array<string>"
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for k, u, page in zip(f[key], f[url], f[html]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cells: dict[str, list] = {c: [] for c in [*COLUMNS, "internal_links"]}
+            for u, page in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 try:
                     got = extract(page, u or "")
                 except Exception:  # noqa: BLE001 - one broken page must not fail the crawl
                     got = {}
-                rows.append([k, u, *(got.get(c, "") for c in COLUMNS), got.get("internal_links", [])])
-            yield pd.DataFrame(rows, columns=[key, url, *COLUMNS, "internal_links"])
+                for c in COLUMNS:
+                    cells[c].append(got.get(c, ""))
+                cells["internal_links"].append(got.get("internal_links", []))
+            kinds = [pa.list_(pa.string()) if c == "internal_links" else pa.string() for c in cells]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(v, t) for v, t in zip(cells.values(), kinds))], names=[key, url, *cells])
 
-    return spread(pages.select(key, url, html)).mapInPandas(run, schema)
+    return spread(pages.select(key, url, html)).mapInArrow(run, schema)
 
 
-def link_edges(extracted: DataFrame, url: str) -> DataFrame:
-    """(src, dst) of the internal links of extracted pages, as link-graph keys."""
-    from pyspark.sql import functions as F
+_HREF = regex.compile(r"<a\s[^>]*\bhref=(?:\"([^\"]+)\"|'([^']+)')", regex.I)
+
+
+def frontier_links_of(page: str | None, base: str) -> list[str]:
+    """Where a crawl may go on from a page: links of its own origin, each once, in order, as they are written
+    (a slash at the end or an index file stays) but without fragment."""
+    out: dict[str, None] = {}
+    if page and (own := urls.parse(base)):
+        for a, b in _HREF.findall(page):
+            u = urls.parse(decode(a or b), base)
+            if u and urls.origin(u) == urls.origin(own):
+                out[f"{urls.origin(u)}{u[2]}{u[3]}"] = None
+    return list(out)
+
 
-    from sitelens.functions.exprs import Spark, normalized
+def frontier_links(pages: DataFrame, url: str, html: str) -> DataFrame:
+    """(``url``, ord, link) of the links that a crawl may follow from each page."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [frontier_links_of(page, u or "") for u, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.string()))], names=["url", "links"])
+
+    got = pages.select(F.col(url).alias("url"), html).mapInArrow(run, "url string, links array<string>")
+    return got.select(F.col("url").alias(url), F.posexplode("links").alias("ord", "link"))
+
+
+def link_edges(extracted: DataFrame, url: str) -> DataFrame:
+    """(src, dst) of the internal links of extracted pages, as link-graph keys."""
     return extracted.select(F.expr(normalized(Spark(), url)).alias("src"), F.explode("internal_links").alias("dst"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,6 +101,22 @@ def embed(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, text).mapInArrow(run, f"{key} {kind}, vector array<double>")
 
 
+def ingest(files: DataFrame) -> DataFrame:
+    """(id, vector, source, heading, date, text) of markdown ``files`` (file, text): ``file#i`` for the i-th
+    section, whose body, or else its heading, is embedded; a section without either is left out. Source and
+    date come from the front matter, the source else is the file's name."""
+    about = files.select("file", front_matter("text").alias("m")).select("file", F.coalesce(F.col("m")["source"], F.col("file")).alias("source"), F.coalesce(F.col("m")["datum"], F.lit("")).alias("date"))
+    parts = sections(files, "file", "text").withColumn("text", F.when(F.trim("body") != "", F.trim("body")).otherwise(F.col("heading"))).where("text <> ''")
+    rows = parts.select(F.concat("file", F.lit("#"), F.col("ord").cast("string")).alias("id"), "file", "heading", "text")
+    return rows.join(embed(rows, "id", "text"), "id").join(about, "file").select("id", "vector", "source", "heading", "date", "text")
+
+
+def citation_allowlist(files: DataFrame) -> DataFrame:
+    """(source): what may be cited: the source that a file's front matter names, and that file's name."""
+    named = files.select("file", F.trim(front_matter("text")["source"]).alias("source")).where("source <> ''")
+    return named.select("source").unionByName(named.select(F.col("file").alias("source"))).distinct()
+
+
 def cosine(a: str | Column, b: str | Column) -> Column:
     """Cosine of two vector columns; 0 for different lengths or a zero vector."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + F.coalesce(p, F.lit(0.0)))
@@ -110,11 +127,23 @@ def cosine(a: str | Column, b: str | Column) -> Column:
 _PART = pa.schema([("query", pa.int64()), ("near", pa.list_(pa.struct([("sim", pa.float64()), ("id", pa.int64())])))])
 
 
+def _rows(vectors: list) -> np.ndarray:
+    """The vectors as one matrix. One that is null, of another length than most or holds null or NaN has the
+    cosine 0 with all others, as a zero vector has."""
+    lengths = Counter(len(v) for v in vectors if v)
+    dims = lengths.most_common(1)[0][0] if lengths else 0
+    out = np.zeros((len(vectors), dims))
+    for i, v in enumerate(vectors):
+        if v is not None and len(v) == dims and all(c is not None and c == c for c in v):
+            out[i] = v
+    return out
+
+
 def _block(k: int, decimals: int):
     def run(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         is_query = np.array(t.column("is_query").to_pylist(), bool)
         ids = np.array(t.column("id").to_pylist())
-        x = np.array(t.column("vec").to_pylist(), float)
+        x = _rows(t.column("vec").to_pylist())
         if is_query.all() or not is_query.any():
             return _PART.empty_table()
         norm = np.sqrt((x * x).sum(axis=1))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.functions.exprs import Spark, path
-from sitelens.operators.rules import CATALOGUE
+from sitelens.operators.rules import CATALOGUE, Rule
 
 _D = Spark()
 # Beginnings of path steps that tell of contact, about, imprint and privacy pages.
@@ -57,7 +57,7 @@ CONDITIONS = {
     "tech:robots-site-blocked": "robots_exists AND NOT root_allowed",
     "tech:robots-noindex-directive": r"coalesce(robots_raw RLIKE r'(?im)^[ \t]*noindex[ \t]*:', false)",
     "tech:robots-no-sitemap": "robots_exists AND size(sitemaps) = 0",
-    "tech:sitemap-scale-limit": f"coalesce(largest_sitemap, sitemap_urls, 0) > {CATALOGUE['tech:sitemap-scale-limit'].params['maxLoc']}",
+    "tech:sitemap-scale-limit": "coalesce(largest_sitemap, sitemap_urls, 0) > {maxLoc}",
     "tech:http-not-redirected": "http_reachable AND NOT http_redirects AND https",
     "perf:cwv-field-fail": "CASE WHEN cwv IS NOT NULL THEN exists(map_values(cwv), c -> c <> 'good') END",
     "tech:tls-cert-expiring": "CASE WHEN tls_issues IS NOT NULL THEN size(tls_issues) > 0 END",
@@ -70,14 +70,22 @@ COUNTS = {
 }
 
 
-def evaluate(facts: DataFrame, rule_ids: list[str] | None = None) -> DataFrame:
-    """(host, rule_id, status, hits) for each site and site-level rule; one pass, no shuffle."""
+def evaluate(facts: DataFrame, rule_ids: list[str] | None = None, catalogue: dict[str, Rule] | None = None) -> DataFrame:
+    """(host, rule_id, status, hits) for each site and site-level rule; one pass, no shuffle. ``catalogue``:
+    rules with parameters of their own."""
+
+    def condition(r: str) -> str:
+        text = CONDITIONS[r]
+        for name, value in (catalogue or CATALOGUE)[r].params.items():
+            text = text.replace("{" + name + "}", str(value))
+        return text
+
     rules = F.array(
         *[
             F.struct(
                 F.lit(r).alias("rule_id"),
-                F.expr(f"CASE WHEN ({CONDITIONS[r]}) IS NULL THEN 'skipped' WHEN {CONDITIONS[r]} THEN 'finding' ELSE 'positive' END").alias("status"),
-                F.expr(f"CASE WHEN coalesce({CONDITIONS[r]}, false) THEN {COUNTS.get(r, '1')} ELSE 0 END").alias("hits"),
+                F.expr(f"CASE WHEN ({condition(r)}) IS NULL THEN 'skipped' WHEN {condition(r)} THEN 'finding' ELSE 'positive' END").alias("status"),
+                F.expr(f"CASE WHEN coalesce({condition(r)}, false) THEN {COUNTS.get(r, '1')} ELSE 0 END").alias("hits"),
             )
             for r in rule_ids or CONDITIONS
         ]

@@ -4,22 +4,87 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.functions.exprs import Spark, path
-from sitelens.operators.rules import CATALOGUE, PAGE_RULES
+from sitelens.operators import relations
+from sitelens.operators.rules import CATALOGUE, PAGE_RULES, Rule, hreflang_invalid
+from sitelens.session import scratch_path, stored
 
 _D = Spark()
 SAMPLE, CLUSTERS, SMALL, RANK_SPAN, SITEMAP_CAP = 10, 5, 5, 100_000, 50_000
 
 
-def page_hits(crawl: DataFrame, rule_ids: list[str] | None = None) -> DataFrame:
-    """(host, row_no, url, rule_id) of every page rule that fires: one scan, no shuffle."""
-    fired = F.array(*[F.expr(f"CASE WHEN {PAGE_RULES[r](_D, CATALOGUE[r].params)} THEN '{r}' END") for r in rule_ids or PAGE_RULES])
+def page_hits(crawl: DataFrame, rule_ids: list[str] | None = None, catalogue: dict[str, Rule] | None = None) -> DataFrame:
+    """(host, row_no, url, rule_id) of every page rule that fires: one scan, no shuffle. ``catalogue``: rules
+    with parameters of their own, in place of the built-in ones."""
+    known = catalogue or CATALOGUE
+    fired = F.array(*[F.expr(f"CASE WHEN {PAGE_RULES[r](_D, known[r].params)} THEN '{r}' END") for r in rule_ids or PAGE_RULES if r in known])
     return crawl.select("host", "row_no", "url", F.explode(F.filter(fired, lambda r: r.isNotNull())).alias("rule_id"))
 
 
+HREFLANG = "i18n:hreflang-invalid-code"
+
+
+def iso_codes(spark: SparkSession) -> tuple[list[str], list[str]]:
+    """ISO 639-1 languages and ISO 3166-1 regions, as the Java runtime lists them."""
+    locale = spark._jvm.java.util.Locale
+    renamed = {"iw": "he", "ji": "yi", "in": "id"}
+    return [renamed.get(x, x) for x in locale.getISOLanguages() if len(x) == 2], list(locale.getISOCountries())
+
+
+def hreflang_hits(crawl: DataFrame) -> DataFrame:
+    """(host, row_no, url): pages with an hreflang value that is no valid code."""
+    return crawl.where(F.expr(hreflang_invalid(*iso_codes(crawl.sparkSession))(_D, {}))).select("host", "row_no", "url")
+
+
+def escape(text: str, given: dict) -> str:
+    """Doubles the braces of regular expressions, which ``spark.sql`` would take for arguments."""
+    text = text.replace("{", "{{").replace("}", "}}")
+    for name in given:
+        text = text.replace("{{" + name + "}}", "{" + name + "}")
+    return text
+
+
+def relation_hits(crawl: DataFrame, more: dict[str, DataFrame], catalogue: dict[str, Rule] | None = None) -> DataFrame:
+    """(host, row_no, url, rule_id, ord) of every cross-page rule that ``more`` has the tables for (patterns,
+    edges, roots, depths, sitemap); the pages are prepared once for all of them, and each rule is a job of its
+    own, so the driver never holds the plans of all.
+
+    ``ord`` is the place in the crawl, for sitemap addresses that in the sitemap. An address that
+    is no page has the number of the first page that declares it.
+    """
+    spark = crawl.sparkSession
+    ready = stored(spark.sql(escape(f"WITH {relations.pages(_D)} SELECT * FROM pages", {"crawl": crawl}), crawl=crawl), "pages")
+    path = scratch_path(spark, "hits")
+    spark.createDataFrame([], HITS).write.parquet(path)
+    known = catalogue or CATALOGUE
+    for rule_id in (r for r in relations.RELATIONAL if r in known):
+        text = relations.build(rule_id, _D, patterns="robots_patterns AS (SELECT * FROM {patterns})", ready="{pages}", listed="sitemap" in more, params=known[rule_id].params)
+        if any("{" + k + "}" in text for k in ("patterns", "edges", "roots", "depths") if k not in more):
+            continue
+        given = {"pages": ready} | {k: v for k, v in more.items() if "{" + k + "}" in text}
+        hits = spark.sql(escape(text, given), **given)
+        if rule_id == "hygiene:url-inconsistency":  # distinct addresses: each counts with its first live page in a site
+            live = ready.where(F.expr(f"redirected <> '1' AND {_D.int('status')} BETWEEN 200 AND 299"))
+            hits = live.join(hits, "url", "left_semi").groupBy(F.col("site").alias("host"), "url").agg(F.min("row_no").alias("row_no"))
+        at = "ord" if "ord" in hits.columns else "row_no"
+        out = hits.select("host", F.col("row_no" if "row_no" in hits.columns else at).alias("row_no"), "url", F.lit(rule_id).alias("rule_id"), F.col(at).alias("ord"))
+        out.write.mode("append").parquet(path)
+    return spark.read.schema(HITS).parquet(path)
+
+
+HITS = "host string, row_no bigint, url string, rule_id string, ord bigint"
+
+
+def all_hits(crawl: DataFrame, more: dict[str, DataFrame], catalogue: dict[str, Rule] | None = None) -> DataFrame:
+    """(host, row_no, url, rule_id, ord) of every rule that names pages: 64 in one scan, hreflang codes, 17 across pages."""
+    codes = hreflang_hits(crawl).withColumn("rule_id", F.lit(HREFLANG))
+    hits = page_hits(crawl, catalogue=catalogue).unionByName(codes).withColumn("ord", F.col("row_no")).unionByName(relation_hits(crawl, more, catalogue))
+    return hits if catalogue is None else hits.where(F.col("rule_id").isin(list(catalogue)))
+
+
 def rule_table(spark) -> DataFrame:
     """The catalogue as a table; its size is fixed by the code."""
     return spark.createDataFrame([(r.rule_id, r.category, r.severity, r.scope, {k: float(v) for k, v in r.params.items()}) for r in CATALOGUE.values()], "rule_id string, category string, severity string, scope string, params map<string,double>")
@@ -87,7 +152,8 @@ def clusters(hits: DataFrame) -> DataFrame:
 def site_meta(crawl: DataFrame, sitemap_sizes: DataFrame | None = None) -> DataFrame:
     """(host, pages, origin, site_type, coverage_pct, min_n_met): facts about each crawled site.
 
-    Coverage is pages fetched over sitemap entries, at most 100; null without a sitemap or if
+    Coverage is pages fetched over sitemap entries, at most 100, or without a sitemap over the pages that
+    links led to (``sitemap_sizes``: host, locs, and discovered if known); null without either or if
     the sitemap reached the cap (its true size is then unknown).
     """
     shell = F.avg(F.when(F.expr(_D.s("error_code")) == "js-guard:empty-body", 1).otherwise(0))
@@ -95,5 +161,7 @@ def site_meta(crawl: DataFrame, sitemap_sizes: DataFrame | None = None) -> DataF
     meta = meta.select("host", "pages", "origin", F.when(F.col("shell") > 0.5, "client-rendered").otherwise("server-rendered").alias("site_type"), (F.col("pages") >= SMALL).alias("min_n_met"))
     if sitemap_sizes is None:
         return meta.withColumn("coverage_pct", F.lit(None).cast("bigint"))
-    covered = F.least(F.lit(100), F.floor(F.col("pages") / F.col("locs") * 100 + 0.5))
-    return meta.join(sitemap_sizes, "host", "left").withColumn("coverage_pct", F.when((F.col("locs") > 0) & (F.col("locs") < SITEMAP_CAP), covered).cast("bigint")).drop("locs")
+    sizes = sitemap_sizes if "discovered" in sitemap_sizes.columns else sitemap_sizes.withColumn("discovered", F.lit(None).cast("bigint"))
+    covered = lambda n: F.least(F.lit(100), F.floor(F.col("pages") / F.col(n) * 100 + 0.5))
+    share = F.when(F.col("locs") >= SITEMAP_CAP, None).when(F.col("locs") > 0, covered("locs")).when(F.col("discovered") > 0, covered("discovered"))
+    return meta.join(sizes, "host", "left").withColumn("coverage_pct", share.cast("bigint")).drop("locs", "discovered")

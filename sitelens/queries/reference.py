@@ -305,6 +305,27 @@ def run_ledger(spark, sf_dir):
     return ev.ledger(table(spark, sf_dir, "findings"), analysis).groupBy("run_key", "state").agg(F.count(F.lit(1)).alias("rules"))
 
 
+def run_handoff(spark, sf_dir):
+    """Where each run stands; the lists as texts."""
+    h = ev.handoff(table(spark, sf_dir, "findings"), table(spark, sf_dir, "rule_registry", "rule_id"))
+    return h.select("run_key", F.array_join("sections", ";").alias("sections"), F.array_join("interpreted", " ").alias("interpreted"), F.array_join("remaining", " ").alias("remaining"))
+
+
+def kb_ingest(spark, sf_dir):
+    """Documents with a front matter of their own, ingested as files."""
+    d = table(spark, sf_dir, "documents", "doc_id", "text", "source").where("trim(text) <> ''")
+    front = F.concat(F.lit("---\nsource: "), F.concat(F.lit("https://kb.example/"), F.col("doc_id").cast("string")), F.lit("\ndatum: 2026-01\n---\n"))
+    files = d.select(F.concat(F.lit("d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file"), F.when(F.col("doc_id") % 2 == 0, F.concat(front, F.lit("# Kopf\n"), F.regexp_replace("text", r"[#`~]", ""))).otherwise(F.regexp_replace("text", r"[#`~]", "")).alias("text"))
+    got = knowledge.ingest(files)
+    return got.select("id", "source", "heading", "date", F.length("text").alias("chars"), F.size(F.filter("vector", lambda x: x != 0)).alias("slots"))
+
+
+def frontier_rewritten(spark, sf_dir):
+    """Canonical addresses as a crawl of a test host would fetch them."""
+    c = table(spark, sf_dir, "crawl", "row_no", "canonical").where("canonical <> ''").withColumn("origin", F.lit("http://127.0.0.1:8080"))
+    return c.select("row_no", artifacts.to_origin("canonical", "origin").alias("url"))
+
+
 def severity_histogram(spark, sf_dir):
     return ev.severity_histogram(table(spark, sf_dir, "findings"))
 
@@ -325,7 +346,7 @@ QUERIES = {
     "sitemap_expanded": sitemap_expanded, "crawl_frontier": crawl_frontier, "url_types": url_types, "html_features": html_features_q, "kb_sections": kb_sections, "kb_embedding": kb_embedding, "kb_search": kb_search, "kb_cosine": kb_cosine,
     "kb_upsert": kb_upsert, "kb_allowlist": kb_allowlist, "runtime_cwv": runtime_cwv, "runtime_certificates": runtime_certificates, "runtime_intervals": runtime_intervals, "eval_rule_ids": eval_rule_ids, "eval_scraped_ids": eval_scraped_ids,
     "eval_recall": eval_recall, "eval_missed": eval_missed, "eval_citations": eval_citations, "eval_fabrications": eval_fabrications, "eval_provenance": eval_provenance, "eval_faithfulness": eval_faithfulness, "eval_stability": eval_stability,
-    "eval_anchor_stability": eval_anchor_stability, "eval_aggregate": eval_aggregate, "eval_gate": eval_gate, "findings_errors": findings_errors, "verdict_errors": verdict_errors, "run_ledger": run_ledger, "severity_histogram": severity_histogram,
+    "eval_anchor_stability": eval_anchor_stability, "eval_aggregate": eval_aggregate, "eval_gate": eval_gate, "findings_errors": findings_errors, "verdict_errors": verdict_errors, "run_ledger": run_ledger, "run_handoff": run_handoff, "kb_ingest": kb_ingest, "frontier_rewritten": frontier_rewritten, "severity_histogram": severity_histogram,
     "priorities": priorities, "leak_scan": leak_scan,
 }
 
@@ -387,7 +408,16 @@ SQL = {
     "findings_errors": f"WITH {_FLAT} SELECT run_key, f.id AS finding_id, p.problem FROM fl, LATERAL (SELECT unnest(list_filter([{', '.join(f'''CASE WHEN {c} THEN '{n}' END''' for n, c in _ERR.items())}], lambda x: x IS NOT NULL)) AS problem) p",
     "verdict_errors": f"SELECT verdict_key, p.problem FROM judge, LATERAL (SELECT unnest(list_filter([{', '.join(f'''CASE WHEN {c} THEN '{n}' END''' for n, c in _VERR.items())}], lambda x: x IS NOT NULL)) AS problem) p",
     "run_ledger": f"WITH {_FLAT}, done AS (SELECT DISTINCT run_key, unnest({_IDS}) AS rule_id FROM fl), a AS (SELECT DISTINCT rule_id FROM rule_registry), e AS (SELECT r.run_key, a.rule_id FROM (SELECT DISTINCT run_key FROM findings) r, a) SELECT e.run_key, CASE WHEN d.rule_id IS NULL THEN 'remaining' ELSE 'interpreted' END AS state, count(*) AS rules FROM e LEFT JOIN done d ON d.run_key = e.run_key AND d.rule_id = e.rule_id GROUP BY 1, 2",
-    "severity_histogram": f"WITH {_FLAT}, h AS (SELECT run_key, count(*) FILTER (f.severity = 'hoch') AS hoch, count(*) FILTER (f.severity = 'mittel') AS mittel, count(*) FILTER (f.severity = 'niedrig') AS niedrig FROM fl GROUP BY 1) SELECT *, CAST(floor(hoch / (hoch + mittel + niedrig) * 100 + 0.5) AS BIGINT) AS hoch_end, CAST(floor((hoch + mittel) / (hoch + mittel + niedrig) * 100 + 0.5) AS BIGINT) AS mittel_end FROM h WHERE hoch + mittel + niedrig > 0",
+    "severity_histogram": f"WITH {_FLAT}, h AS (SELECT r.run_key, count(*) FILTER (f.severity = 'hoch') AS hoch, count(*) FILTER (f.severity = 'mittel') AS mittel, count(*) FILTER (f.severity = 'niedrig') AS niedrig FROM (SELECT DISTINCT run_key FROM findings) r LEFT JOIN fl ON fl.run_key = r.run_key GROUP BY 1), n AS (SELECT *, greatest(hoch + mittel + niedrig, 1) AS n FROM h) SELECT run_key, hoch, mittel, niedrig, CAST(floor(hoch / n * 100 + CASE WHEN hoch > 0 THEN 0.5 ELSE 0 END) AS BIGINT) AS hoch_end, CAST(floor((hoch + mittel) / n * 100 + CASE WHEN hoch + mittel > 0 THEN 0.5 ELSE 0 END) AS BIGINT) AS mittel_end FROM n",
+    "run_handoff": f"WITH {_FLAT}, done AS (SELECT DISTINCT run_key, unnest({_IDS}) AS rule_id FROM fl), i AS (SELECT run_key, string_agg(rule_id, ' ' ORDER BY rule_id) AS interpreted FROM done GROUP BY 1), a AS (SELECT DISTINCT rule_id FROM rule_registry), r AS (SELECT DISTINCT ON (run_key) run_key, sections FROM findings ORDER BY run_key, produced_at), m AS (SELECT r.run_key, string_agg(a.rule_id, ' ' ORDER BY a.rule_id) AS remaining FROM r, a WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.run_key = r.run_key AND d.rule_id = a.rule_id) GROUP BY 1), t AS (SELECT run_key, string_agg(concat(s.num, ' ', s.id, ' ', s.title), ';' ORDER BY s.num, s.id) AS sections FROM (SELECT run_key, unnest(sections) AS s FROM r) GROUP BY 1) SELECT r.run_key, coalesce(t.sections, '') AS sections, coalesce(interpreted, '') AS interpreted, coalesce(remaining, '') AS remaining FROM r LEFT JOIN t USING (run_key) LEFT JOIN i USING (run_key) LEFT JOIN m USING (run_key)",
+    "frontier_rewritten": "SELECT row_no, concat('http://127.0.0.1:8080', coalesce(nullif(regexp_replace(canonical, '^https?://[^/]+', ''), ''), '/')) AS url FROM crawl WHERE canonical <> ''",
+    "kb_ingest": """WITH d AS (SELECT doc_id, regexp_replace(text, '[#`~]', '', 'g') AS t FROM documents WHERE trim(text) <> ''),
+      c AS (SELECT *, regexp_replace(regexp_replace(t, '^\\s+', ''), '\\s+$', '') AS body FROM d),
+      tok AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(body), '[^a-z0-9]+'), lambda x: x <> '')) AS tok FROM c),
+      h AS (SELECT doc_id, list_reduce(list_prepend(CAST(5381 AS BIGINT), list_transform(string_split(tok, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, c: xor((a * 33) & 4294967295, c)) AS h FROM tok),
+      s AS (SELECT doc_id, count(DISTINCT slot) AS slots FROM (SELECT doc_id, h % 256 AS slot FROM h UNION ALL SELECT doc_id, (h >> 8) & 255 FROM h) GROUP BY 1)
+      SELECT concat('d', c.doc_id, '.md#0') AS id, CASE WHEN c.doc_id % 2 = 0 THEN concat('https://kb.example/', c.doc_id) ELSE concat('d', c.doc_id, '.md') END AS source, CASE WHEN c.doc_id % 2 = 0 THEN 'Kopf' ELSE '' END AS heading,
+        CASE WHEN c.doc_id % 2 = 0 THEN '2026-01' ELSE '' END AS date, CAST(length(body) AS INT) AS chars, CAST(coalesce(slots, 0) AS INT) AS slots FROM c LEFT JOIN s ON s.doc_id = c.doc_id WHERE body <> ''""",
     "priorities": f"WITH {_FLAT} SELECT run_key, f.id AS finding_id, CASE WHEN f.ice.score >= 18 THEN 'high' WHEN f.ice.score >= 8 THEN 'medium' ELSE 'low' END AS priority, CASE WHEN f.ice.e >= 3 THEN 'low' WHEN f.ice.e = 2 THEN 'medium' ELSE 'high' END AS effort FROM fl",
     "leak_scan": r"WITH l AS (SELECT doc_id, unnest(regexp_split_to_array(text, '\r?\n')) AS content, generate_subscripts(regexp_split_to_array(text, '\r?\n'), 1) AS line FROM documents) " + " UNION ALL ".join(f"SELECT doc_id, CAST(line AS INT) AS line, '{n}' AS label, '{s}' AS severity FROM l WHERE regexp_matches(content, '{p}')" for n, (p, s) in _LEAK.items()),
 }

@@ -9,17 +9,9 @@ from sitelens.functions.exprs import Spark, normalized
 from sitelens.operators import linkgraph, relations, rules, sites
 from sitelens.plans import audit
 from sitelens.queries import check_sql, signals
-from sitelens.session import scratch_path, stored, table
+from sitelens.session import stored, table
 
 SPARK = Spark()
-HREFLANG = "i18n:hreflang-invalid-code"
-
-
-def iso_codes(spark: SparkSession) -> tuple[list[str], list[str]]:
-    """ISO 639-1 languages and ISO 3166-1 regions, as the Java runtime lists them."""
-    locale = spark._jvm.java.util.Locale
-    renamed = {"iw": "he", "ji": "yi", "in": "id"}
-    return [renamed.get(x, x) for x in locale.getISOLanguages() if len(x) == 2], list(locale.getISOCountries())
 
 
 def page_rule(rule_id: str):
@@ -32,7 +24,7 @@ def page_rule(rule_id: str):
 
 def hreflang_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with an hreflang value that is no valid code."""
-    return table(spark, sf_dir, "crawl").where(F.expr(rules.hreflang_invalid(*iso_codes(spark))(SPARK, {}))).select("host", "row_no", "url")
+    return audit.hreflang_hits(table(spark, sf_dir, "crawl"))
 
 
 def _given(text: str, makers: dict) -> dict:
@@ -46,41 +38,17 @@ def relation_rule(rule_id: str):
         text = relations.build(rule_id, SPARK, patterns="robots_patterns AS (SELECT * FROM {patterns})")
         makers = {"crawl": lambda: crawl, "patterns": lambda: signals.patterns(crawl), "edges": lambda: graph(spark, sf_dir)[1], "roots": lambda: graph(spark, sf_dir)[2], "depths": lambda: depths(spark, sf_dir)}
         given = _given(text, makers)
-        return spark.sql(escape(text, given), **given)
+        return spark.sql(audit.escape(text, given), **given)
 
     return run
 
 
-def relation_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(host, row_no, url, rule_id, ord) of every cross-page rule; the pages are prepared once for all of
-    them, and each rule is a job of its own, so the driver never holds the plans of all.
-
-    ``ord`` is the place in the crawl, for sitemap addresses that in the sitemap. An address that
-    is no page has the number of the first page that declares it.
-    """
+def all_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(host, row_no, url, rule_id, ord) of every rule that names pages."""
     crawl = table(spark, sf_dir, "crawl")
-    ready = stored(spark.sql(escape(f"WITH {relations.pages(SPARK)} SELECT * FROM pages", {"crawl": crawl}), crawl=crawl), "pages")
     _, edges, roots = graph(spark, sf_dir)
     more = {"patterns": stored(signals.patterns(crawl), "patterns"), "edges": stored(edges, "edges"), "roots": stored(roots, "roots"), "depths": depths(spark, sf_dir)}
-    path = scratch_path(spark, "hits")
-    for rule_id in relations.RELATIONAL:
-        text = relations.build(rule_id, SPARK, patterns="robots_patterns AS (SELECT * FROM {patterns})", ready="{pages}")
-        given = {"pages": ready} | {k: v for k, v in more.items() if "{" + k + "}" in text}
-        hits = spark.sql(escape(text, given), **given)
-        if rule_id == "hygiene:url-inconsistency":  # distinct addresses: each counts with its first live page in a site
-            live = ready.where(F.expr(f"redirected <> '1' AND {SPARK.int('status')} BETWEEN 200 AND 299"))
-            hits = live.join(hits, "url", "left_semi").groupBy(F.col("site").alias("host"), "url").agg(F.min("row_no").alias("row_no"))
-        at = "ord" if "ord" in hits.columns else "row_no"
-        out = hits.select("host", F.col("row_no" if "row_no" in hits.columns else at).alias("row_no"), "url", F.lit(rule_id).alias("rule_id"), F.col(at).alias("ord"))
-        out.write.mode("append").parquet(path)
-    return spark.read.schema("host string, row_no bigint, url string, rule_id string, ord bigint").parquet(path)
-
-
-def all_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(host, row_no, url, rule_id, ord) of every rule that names pages: 64 in one scan, hreflang codes, 17 across pages."""
-    pages = audit.page_hits(table(spark, sf_dir, "crawl"))
-    codes = hreflang_rule(spark, sf_dir).withColumn("rule_id", F.lit(HREFLANG))
-    return pages.unionByName(codes).withColumn("ord", F.col("row_no")).unionByName(relation_hits(spark, sf_dir))
+    return audit.all_hits(crawl, more)
 
 
 def site_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,14 +56,6 @@ def site_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sites.evaluate(signals.facts(table(spark, sf_dir, "crawl")))
 
 
-def escape(text: str, given: dict) -> str:
-    """Doubles the braces of regular expressions, which ``spark.sql`` would take for arguments."""
-    text = text.replace("{", "{{").replace("}", "}}")
-    for name in given:
-        text = text.replace("{{" + name + "}}", "{" + name + "}")
-    return text
-
-
 def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(pages, edges, roots) of a link graph over the crawled pages: inside each site every page but each
     eleventh is linked from the page at a third of its place in the crawl."""

@@ -72,6 +72,13 @@ def read_markdown(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("file"), F.col("value").alias("text"))
 
 
+def to_origin(url: str, origin: str):
+    """A sitemap's address on the origin that is crawled: its path and query there; null if it is no address."""
+    rest = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+([^#]*)", 1)
+    path = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
+    return F.when(F.col(url).rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+"), F.concat(F.col(origin), path))
+
+
 def frontier(pages: DataFrame, seeds: DataFrame, max_urls: int, product_cap: int | None = None) -> DataFrame:
     """The URLs that a crawl of a sitemap would fetch, per site: seeds in order, each URL once, known
     pages only, within the caps. ``seeds``: site, ord, url; ``pages``: site, url, page_type."""
