@@ -69,15 +69,21 @@ def fabrications(findings: DataFrame, traps: DataFrame, analysis: DataFrame) ->
 
 
 def provenance(findings: DataFrame) -> DataFrame:
-    """Per run: are the enumerations, the scores and the cap on certainty respected?"""
+    """Per run: are the enumerations, the scores and the cap on certainty respected? Where runs tell their
+    ``confidence`` (sample_size, min_n_met): does it agree with the number of pages, and do both numbers?"""
     f = flat(findings).join(findings.select("run_key", F.col("meta.sample_size").alias("n")), "run_key")
     holds = lambda c: F.coalesce(F.bool_and(F.coalesce(c, F.lit(False))), F.lit(True))
-    return f.groupBy("run_key").agg(
+    of_finding = f.groupBy("run_key").agg(
         holds(F.col("f.prov").isin(*PROVENANCE)).alias("prov_ok"),
         holds(F.col("f.severity").isin(*SEVERITY)).alias("severity_ok"),
         holds(F.col("f.ice.score") == F.col("f.ice.i") * F.col("f.ice.c") * F.col("f.ice.e")).alias("score_ok"),
         holds((F.col("n") >= 5) | (F.col("f.ice.c") <= 1)).alias("cap_ok"),
     )
+    if "confidence" not in findings.columns:
+        return of_finding
+    size, met = F.col("confidence.sample_size"), F.col("confidence.min_n_met")
+    of_run = findings.groupBy("run_key").agg(holds(met == (size >= 5)).alias("min_n_ok"), holds(size == F.col("meta.sample_size")).alias("sample_size_ok"))
+    return of_run.join(of_finding, "run_key", "left")
 
 
 def faithfulness(judge: DataFrame, *by: str) -> DataFrame:

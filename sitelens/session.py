@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,15 +14,20 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return df.select(*cols) if cols else df
 
 
+_written: dict[str, list[str]] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, a
-    single machine) a folder below the SQL warehouse is used.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset and all runs in one process
+    (tests, a single machine) a folder below the SQL warehouse is used; on a cluster that is an error.
     """
+    sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     base = named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(base)
     return base
@@ -29,7 +35,18 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder for a table that one job writes and another reads."""
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Deletes the tables that this application has written to the shared folder. Results that still read
+    them must have been written or collected before."""
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        at = hadoop(path)
+        at.getFileSystem(conf).delete(at, True)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

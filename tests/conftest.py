@@ -25,4 +25,7 @@ def spark(tmp_path_factory):
     )
     s.sparkContext.setLogLevel("ERROR")
     yield s
+    from sitelens.session import drop_scratch
+
+    drop_scratch(s)
     s.stop()
