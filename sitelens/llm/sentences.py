@@ -17,7 +17,11 @@ Method
    one column of symbols at a time.
 
 Scale: one pass over the documents without a shuffle; chunks of one long document are
-evaluated together with those of the others, so length costs no more than volume.
+evaluated together with those of the others, so length costs no more than volume. A document
+of more than ``LONG`` characters does not stay in one task: it is cut where symbols can't change
+(``safe_cuts``), its pieces are scanned by many tasks, and what each piece tells of the ones beside
+it (which partners it holds for openers before it; its function from state to state) is composed
+in order, first from the right, then from the left. The result is the same.
 
 Defined cases: null and blank texts give no rows; a text without any terminator is one
 sentence; unmatched quotes and brackets are plain characters; an empty line ends whatever
@@ -32,10 +36,13 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from sitelens.session import spread
+from sitelens.session import spread, stored
 
 CHUNK = 512
+#: Characters beyond which a document is scanned in pieces, and characters of a piece.
+LONG, PIECE = 400_000, 100_000
 
 # Abbreviations that a name, number or phrase always follows ...
 _NEVER = (
@@ -293,8 +300,8 @@ def prefix_compose(functions: np.ndarray) -> np.ndarray:
     return out
 
 
-def starts_of(streams: list[np.ndarray], chunk: int = CHUNK) -> list[np.ndarray]:
-    """For each symbol stream the symbols at which a sentence starts."""
+def starts_of(streams: list[np.ndarray], chunk: int = CHUNK, entry: list[int] | None = None) -> list[np.ndarray]:
+    """For each symbol stream the symbols at which a sentence starts; ``entry``: the states that they begin in."""
     spans = [(d, a) for d, s in enumerate(streams) for a in range(0, len(s), chunk)]
     if not spans:
         return [np.zeros(0, np.int64) for _ in streams]
@@ -302,13 +309,14 @@ def starts_of(streams: list[np.ndarray], chunk: int = CHUNK) -> list[np.ndarray]
     for r, (d, a) in enumerate(spans):
         part = streams[d][a : a + chunk]
         grid[r, : len(part)] = part
-    entry = np.zeros(len(spans), np.int16)
+    first = np.zeros(len(streams), np.int64) if entry is None else np.asarray(entry)
+    entry = first[[d for d, _ in spans]].astype(np.int16)
     rows: dict[int, list[int]] = {}
     for r, (d, _) in enumerate(spans):
         rows.setdefault(d, []).append(r)
-    for rs in rows.values():
+    for d, rs in rows.items():
         if len(rs) > 1:  # a long document: its chunks as functions, composed by prefix scan
-            entry[rs[1:]] = prefix_compose(chunk_functions(grid[rs[:-1]]))[:, 0]
+            entry[rs[1:]] = prefix_compose(chunk_functions(grid[rs[:-1]]))[:, first[d]]
     order = np.argsort(-(grid >= 0).sum(axis=1), kind="stable")  # rows still alive stay in front
     grid, state = grid[order], entry[order]
     lengths = (grid >= 0).sum(axis=1)
@@ -323,37 +331,166 @@ def starts_of(streams: list[np.ndarray], chunk: int = CHUNK) -> list[np.ndarray]
     return [np.concatenate([np.flatnonzero(flags[back[r]]) + spans[r][1] for r in rows[d]]) if d in rows else np.zeros(0, np.int64) for d in range(len(streams))]
 
 
+def _trimmed(text: str, starts: list[int]) -> list[int]:
+    """The ends of the sentences that lie before ``starts`` and the text's end, without blanks."""
+    ends: list[int] = []
+    for p in [*starts, len(text)]:
+        while p and text[p - 1].isspace():
+            p -= 1
+        if p and (not ends or p > ends[-1]):
+            ends.append(p)
+    return ends
+
+
 def ends_of(texts: list[str | None]) -> list[list[int]]:
     """For each text the offsets behind the last character of its sentences."""
     scanned = [scan(t or "") for t in texts]
-    out = []
-    for text, (_, at), begins in zip(texts, scanned, starts_of(pair([s for s, _ in scanned]))):
-        ends = []
-        for p in [*at[begins[1:]].tolist(), len(text or "")] if text else []:
-            while p and text[p - 1].isspace():
-                p -= 1
-            if p and (not ends or p > ends[-1]):
-                ends.append(p)
-        out.append(ends)
-    return out
+    return [_trimmed(text, at[begins[1:]].tolist()) if text else [] for text, (_, at), begins in zip(texts, scanned, starts_of(pair([s for s, _ in scanned])))]
+
+
+#: A cut between these changes no symbol: after a paragraph's end, or between plain words, or inside a run of
+#: letters of scripts without blanks.
+_SAFE = regex.compile(r"(?<=\n[ \t]*\n)(?=\S)|(?<=[a-zа-я]{4}[ \n])(?=[a-zа-я]{4})|(?<=\p{Han}{2})(?=\p{Han}{2})|(?<=\p{Thai}{2})(?=\p{Thai}{2})")
+_LOOKS_AHEAD = regex.compile(r"['‘’“”]")
+
+
+def safe_cuts(text: str, size: int = PIECE) -> list[int]:
+    """Where a long text is cut: at the first safe place after each ``size`` characters. Before a cut inside a
+    line the line holds no mark whose meaning lies further on in it."""
+    cuts, at = [0], size
+    while at < len(text):
+        for m in _SAFE.finditer(text, at):
+            p = m.start()
+            line = max(text.rfind("\n", cuts[-1], p) + 1, cuts[-1])
+            if text[p - 1] == "\n" or not _LOOKS_AHEAD.search(text, line, p):
+                break
+        else:
+            break
+        cuts.append(p)
+        at = p + size
+    return cuts
+
+
+def _edges(symbols: np.ndarray) -> tuple[int, bool]:
+    """(bits of the kinds of partners that the piece holds before its first paragraph end, has it one)"""
+    ends = np.flatnonzero(symbols == SYMBOL["para"])
+    head = symbols[: ends[0]] if len(ends) else symbols
+    return sum(1 << n for n, (_, closes, _) in enumerate(_PAIRS) if np.isin(head, [SYMBOL[c] for c in closes]).any()), bool(len(ends))
+
+
+def _open_to(symbols: np.ndarray, bits: int) -> np.ndarray:
+    """The piece's symbols after the reading from the right, where ``bits`` tells which partners follow in the
+    paragraph that the piece's end lies in."""
+    follow = [SYMBOL[closes[0]] for n, (_, closes, _) in enumerate(_PAIRS) if bits >> n & 1]
+    return pair([np.concatenate((symbols, np.array(follow, np.int16)))])[0][: len(symbols)]
+
+
+def _compose(pieces: pa.Table) -> pa.Table:
+    """For each piece of one document: the partners that follow it, by composing from the right."""
+    order = np.argsort(pieces.column("n").to_numpy())
+    bits, ends = pieces.column("bits").to_numpy()[order], np.array(pieces.column("ends").to_pylist(), bool)[order]
+    out, after = np.zeros(len(order), np.int64), 0
+    for k in range(len(order) - 1, -1, -1):
+        out[k], after = after, int(bits[k]) if ends[k] else int(bits[k]) | after
+    return pa.table({"uid": pieces.column("uid").take(pa.array(order)), "n": pieces.column("n").take(pa.array(order)), "follow": pa.array(out)})
+
+
+def _enter(pieces: pa.Table) -> pa.Table:
+    """For each piece of one document the state in which it begins, by a prefix scan of the functions."""
+    order = np.argsort(pieces.column("n").to_numpy())
+    functions = np.stack([np.frombuffer(f, np.int16) for f in pieces.column("function").to_pylist()])[order]
+    entry = np.concatenate(([0], prefix_compose(functions)[:-1, 0])).astype(np.int64)
+    return pa.table({"uid": pieces.column("uid").take(pa.array(order)), "n": pieces.column("n").take(pa.array(order)), "entry": pa.array(entry)})
+
+
+def starts_in_pieces(docs: DataFrame, key: str, text: str, size: int = PIECE) -> DataFrame:
+    """(own, at): the offsets at which sentences start in the long documents (uid, ``key``, ``text``), scanned in pieces."""
+    kind = docs.select(key).schema[0].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for uid, k, t in zip(*(c.to_pylist() for c in b.columns)):
+                cuts = [*safe_cuts(t, size), len(t)]
+                n = len(cuts) - 1
+                yield pa.RecordBatch.from_arrays([pa.array([uid] * n), pa.array([k] * n, b.schema.field(1).type), pa.array(range(n), pa.int32()), pa.array(cuts[:-1], pa.int64()), pa.array([t[a:z] for a, z in zip(cuts, cuts[1:])])], names=["uid", key, "n", "base", "piece"])
+
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [scan(t) for t in b.column(4).to_pylist()]
+            bits = [_edges(s) for s, _ in got]
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:4], pa.array([s.tobytes() for s, _ in got], pa.binary()), pa.array([at.tobytes() for _, at in got], pa.binary()), pa.array([x for x, _ in bits], pa.int64()), pa.array([x for _, x in bits])],
+                names=["uid", key, "n", "base", "symbols", "at", "bits", "ends"],
+            )
+
+    def functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for symbols, follow in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                s = _open_to(np.frombuffer(symbols, np.int16), follow)
+                grid = np.full((-(-max(1, len(s)) // CHUNK), CHUNK), -1, np.int16)
+                grid.ravel()[: len(s)] = s
+                out.append(prefix_compose(chunk_functions(grid))[-1].astype(np.int16).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["uid", "n", "function"])
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for uid, base, symbols, at, follow, state in zip(*(c.to_pylist() for c in b.columns)):
+                s = _open_to(np.frombuffer(symbols, np.int16), follow)
+                (found,) = starts_of([s], entry=[state])
+                places = np.frombuffer(at, np.int64)[found] + base
+                yield pa.RecordBatch.from_arrays([pa.array([uid] * len(places), pa.int64()), pa.array(places)], names=["own", "at"])
+
+    pieces = docs.select("uid", key, text).mapInArrow(cut, f"uid bigint, {key} {kind}, n int, base bigint, piece string")
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    read = stored(pieces.repartition(4 * cores).mapInArrow(scanned, f"uid bigint, {key} {kind}, n int, base bigint, symbols binary, at binary, bits bigint, ends boolean"), "scanned")
+    follow = read.select("uid", "n", "bits", "ends").groupBy("uid").applyInArrow(_compose, "uid bigint, n int, follow bigint")
+    known = stored(read.join(follow, ["uid", "n"]), "followed")
+    entry = known.select("uid", "n", "symbols", "follow").mapInArrow(functions, "uid bigint, n int, function binary").groupBy("uid").applyInArrow(_enter, "uid bigint, n int, entry bigint")
+    return known.join(entry, ["uid", "n"]).select("uid", "base", "symbols", "at", "follow", "entry").mapInArrow(starts, "own bigint, at bigint")
+
+
+def _rows_of(key: str):
+    """Sentences of whole texts whose starts are given."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k, t, at in zip(*(c.to_pylist() for c in b.columns)):
+                ends = _trimmed(t, at[1:])
+                yield _sentences([k], [t], [ends], key, b.schema.field(0).type)
+
+    return run
+
+
+def _sentences(keys: list, texts: list[str], ends: list[list[int]], key: str, kind: pa.DataType) -> pa.RecordBatch:
+    out_keys, orders, starts, stops = [], [], [], []
+    for k, t, own in zip(keys, texts, ends):
+        p = 0
+        for n, e in enumerate(own, 1):
+            while t[p].isspace():
+                p += 1
+            out_keys.append(k), orders.append(n), starts.append(p), stops.append(e)
+            p = e
+    return pa.RecordBatch.from_arrays([pa.array(out_keys, kind), *(pa.array(x, pa.int32()) for x in (orders, starts, stops))], names=[key, "ord", "start_off", "end_off"])
 
 
-def split_sentences(df: DataFrame, key: str, text: str) -> DataFrame:
+def split_sentences(df: DataFrame, key: str, text: str, long: int = LONG, size: int = PIECE) -> DataFrame:
     """(``key``, ord from 1, start_off, end_off) for each sentence, in code points of the text."""
     kind = df.select(key).schema[0].dataType.simpleString()
+    schema = f"{key} {kind}, ord int, start_off int, end_off int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for s in range(0, big.num_rows, 1000):
                 b = big.slice(s, 1000)
-                keys, orders, starts, stops = [], [], [], []
-                for k, t, ends in zip(b.column(0).to_pylist(), texts := b.column(1).to_pylist(), ends_of(texts)):
-                    p = 0
-                    for n, e in enumerate(ends, 1):
-                        while t[p].isspace():
-                            p += 1
-                        keys.append(k), orders.append(n), starts.append(p), stops.append(e)
-                        p = e
-                yield pa.RecordBatch.from_arrays([pa.array(keys, b.schema.field(0).type), *(pa.array(x, pa.int32()) for x in (orders, starts, stops))], names=[key, "ord", "start_off", "end_off"])
-
-    return spread(df.select(key, text)).mapInArrow(run, f"{key} {kind}, ord int, start_off int, end_off int")
+                texts = b.column(1).to_pylist()
+                yield _sentences(b.column(0).to_pylist(), texts, ends_of(texts), key, b.schema.field(0).type)
+
+    rows = df.select(key, text).where(F.col(text).isNotNull())
+    short = spread(rows.where(F.length(text) <= long)).mapInArrow(run, schema)
+    large = stored(rows.where(F.length(text) > long), "long")
+    if large.isEmpty():
+        return short
+    numbered = stored(large.select(F.monotonically_increasing_id().alias("uid"), key, text), "numbered")
+    begins = starts_in_pieces(numbered, key, text, size).groupBy("own").agg(F.array_sort(F.collect_list("at")).alias("at"))
+    return short.unionByName(numbered.join(begins, F.col("uid") == F.col("own")).select(key, text, "at").mapInArrow(_rows_of(key), schema))

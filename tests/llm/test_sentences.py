@@ -103,3 +103,23 @@ def test_table(spark):
     got = S.split_sentences(df, "doc_id", "text").collect()
     assert [(r.start_off, r.end_off) for r in got if r.doc_id == 1] == [(0, 4), (5, 9)] and sum(r.doc_id == 4 for r in got) == 4 and sum(r.doc_id == 5 for r in got) == 20_000
     assert S.split_sentences(df.where("false"), "doc_id", "text").count() == 0
+
+
+def test_long_documents_in_pieces(spark):
+    """Scanned in small pieces by many tasks, texts come out as they do whole."""
+    rnd = random.Random(11)
+    parts = [
+        "Der Abruf ist fehlgeschlagen und wird wiederholt. ", "Im Protokoll steht „Abruf fehlgeschlagen. Bitte später“ und danach nichts. ", "She asked \"Who changed the table?\" and left. ", "(Ask the web team. It knows.) ", "\n\n", "\n\n# Kopf. Zwei\n",
+        "\n- first item here. second part\n2. other item follows\n", "the plain words go on without any end ", "On „opened and never closed. ", "这一条镜像路径没有返回预期的页面模板。审核员说：“缺失了。”", "กฎนี้ทำงานเก้าครั้ง ทีมงานตรวจสอบ", "it's the client's 'alt text' here. ", "Отчёт лежит внизу слева. ", "Tel. 8552, vgl. Kap. 3.4 (siehe Abs. 2). ",
+    ]
+    texts = ["".join(rnd.choice(parts) for _ in range(n)) for n in (400, 5, 900)] + ["„" + "lange rede ohne ende hier. " * 300 + "“ und Schluss. Ja.", "x" * 9000, "   "]
+    cuts = [S.safe_cuts(t, 200) for t in texts]
+    assert len(cuts[0]) > 20 and len(cuts[3]) > 20 and cuts[4] == [0]
+    for t, own in zip(texts, cuts):
+        # words without case marks may come in one symbol or several, with the blank behind them or without: no state tells them apart
+        plain = lambda symbols: [n for n, before in zip(symbols, [None, *symbols]) if n != before or n not in ("lower", "other_script")]
+        names = lambda scanned: [n for n in (S._NAMES[s] for s in scanned[0]) if n != "blank"]
+        assert plain(names(S.scan(t))) == plain([n for a, z in zip(own, [*own[1:], len(t)]) for n in names(S.scan(t[a:z]))])
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, texts[0]])], "doc_id bigint, text string")
+    rows = lambda d: sorted(tuple(r) for r in d.collect())
+    assert rows(S.split_sentences(df, "doc_id", "text", long=300, size=200)) == rows(S.split_sentences(df, "doc_id", "text"))
