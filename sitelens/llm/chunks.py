@@ -4,10 +4,11 @@ Method
 ------
 A rolling hash over 32 code points marks *landmarks* in the text. From the last cut the
 first landmark between the minimum and the maximum size is taken and snapped to the nearest
-natural boundary in that window: the end of a paragraph, else of a line, list item or table
-row, else of a sentence; before these the window's lower part, then blanks, then the edge of
-a written character are tried. Cuts depend on nearby content only, so an edit alters its
-own piece and its neighbours; later pieces stay.
+natural boundary in that window: the end of a paragraph, of a list item, table row, code line
+or line that ends with its sentence, or of a sentence; of two equally near ones the stronger.
+Without any in the window the last one before it is taken, else the blank or wrapped line
+nearest to the landmark, else the edge of a written character. Cuts depend on nearby content
+only, so an edit alters its own piece and its neighbours; later pieces stay.
 
 Each piece is the heading, a line break, the last ``overlap`` characters of the text before
 the cut, and its own part; together at most ``limit`` code points.
@@ -32,7 +33,8 @@ from pyspark.sql import functions as F
 LIMIT, OVERLAP, ROOM = 1200, 120, 100
 _WINDOW, _MASK = 32, 127
 _PARA = regex.compile(r"\n[ \t\r]*\n\s*|\n(?=#{1,6} )|(?<=\n```[^\n]*)\n(?!.*\n```)")
-_LINE = regex.compile(r"\n")
+#: a line end that is no mere wrapping: the line ends a sentence, row or item, or the next one begins one
+_LINE = regex.compile(r"(?:(?<=[.!?:;。！？।؟|][ \t]*)\n|\n(?=[ \t]*(?:[-*+•>|]|#{1,6} |\d{1,3}[.)][ \t]|$))|(?<=(?:\A|\n)[ \t]*(?:[-*+•][ \t]|\d{1,3}[.)][ \t])[^\n]*)\n)(?![ \t\r]*\n)")
 _SENTENCE = regex.compile(r"(?<=\p{L}\p{M}?\p{L}[)\]]?|[\p{Nd}%)\]\"'”’»“])[.!?…]+[\"'”’»“)\]]*\s+(?=[\p{Lu}\p{Lt}\p{Nd}\p{Pi}\p{Ps}\p{So}\"'¿¡])|[。！？｡]+[」』”’）】]*(?![と、。！？」』”’）】])|[।؟۔][\"”»]*\s*")
 _BLANK = regex.compile(r"\s+|[、，；：]")
 _GLUE = regex.compile(r"[\p{M}‍︀-️\U0001f3fb-\U0001f3ff]|(?<=‍).|(?<=\r)\n", regex.S)
@@ -49,7 +51,7 @@ def rolling_hash(codes: np.ndarray) -> np.ndarray:
 
 
 def boundaries(text: str) -> list[np.ndarray]:
-    """Cut positions by level, the strongest first."""
+    """Cut positions by level, the strongest first: paragraphs, lines, sentences, blanks."""
     fences, inside = [], False
     for m in regex.finditer(r"(?m)^```[^\n]*\n?", text):
         fences.append(m.end() if inside else m.start())
@@ -59,8 +61,11 @@ def boundaries(text: str) -> list[np.ndarray]:
         edges = np.array(fences)
         para = {p for p in para if np.searchsorted(edges, p, "left") % 2 == 0 or p in fences}
         para.update(f for f in fences if 0 < f < len(text))
-    ends = lambda p: np.array(sorted({m.end() for m in p.finditer(text)}), dtype=int)
-    return [np.array(sorted(para), dtype=int), ends(_LINE), ends(_SENTENCE), ends(_BLANK)]
+    line = {m.end() for m in _LINE.finditer(text)}
+    for a, z in zip(fences[::2], fences[1::2]):  # lines of code
+        line.update(m.end() for m in regex.finditer(r"\n", text, pos=a, endpos=z))
+    ends = lambda p: {m.end() for m in p.finditer(text)}
+    return [np.array(sorted(x), dtype=int) for x in (para, line, ends(_SENTENCE), ends(_BLANK))]
 
 
 def cuts(text: str, most: int) -> list[int]:
@@ -70,18 +75,22 @@ def cuts(text: str, most: int) -> list[int]:
         return [n]
     marks = np.flatnonzero((rolling_hash(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")) & np.uint64(_MASK)) == 0)
     levels, glue, out, start = boundaries(text), None, [], 0
+    natural = np.concatenate(levels[:3])
+    rank = np.repeat(np.arange(3), [len(x) for x in levels[:3]])
+    order = np.lexsort((rank, natural))
+    natural, rank = natural[order], rank[order]
     while n - start > most:
         low, high = start + least, start + most
         i = np.searchsorted(marks, low)
         mark = int(marks[i]) + 1 if i < len(marks) and marks[i] < high else (low + high) // 2
         cut = 0
-        for a, b, kinds in ((low, high, levels[:3]), (start + 1, low - 1, levels[:3]), (low, high, levels[3:]), (start + 1, low - 1, levels[3:])):
-            for level in kinds:
-                x, y = np.searchsorted(level, a), np.searchsorted(level, b, "right")
-                if x < y:
-                    near = level[x:y]
-                    cut = int(near[np.abs(near - mark).argmin()] if a == low else near[-1])
-                    break
+        for at, strength in ((natural, rank), (levels[3], None)):
+            x, y = np.searchsorted(at, low), np.searchsorted(at, high, "right")
+            if x < y:
+                away = np.abs(at[x:y] - mark)
+                cut = int(at[x + (np.lexsort((strength[x:y], away))[0] if strength is not None else away.argmin())])
+            elif x and at[x - 1] > start:
+                cut = int(at[x - 1])
             if cut:
                 break
         if not cut:

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from sitelens.llm import chunks as C
 
 WORDS = "Lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor".split()
@@ -43,6 +45,23 @@ def test_ends_at_natural_boundaries():
     assert all(words[z - 1] == " " for _, z, _ in check("", words)[:-1])
 
 
+def test_the_nearest_boundary_is_taken():
+    text = prose(20_000, 5)
+    marks = np.flatnonzero((C.rolling_hash(np.frombuffer(text.encode("utf-32-le"), "<u4")) & np.uint64(C._MASK)) == 0) + 1
+    ends = np.unique(np.concatenate(C.boundaries(text)[:3]))
+    most, start = 1000, 0
+    for cut in C.cuts(text, most)[:-1]:
+        low, high = start + most // 3, start + most
+        inside = marks[(marks > low) & (marks <= high)]
+        mark = inside[0] if len(inside) else (low + high) // 2
+        near = ends[(ends >= low) & (ends <= high)]
+        assert abs(cut - mark) == np.abs(near - mark).min()
+        start = cut
+    line = "these words go on and on in wrapped lines of prose\n"
+    head = line * 10 + "and this sentence ends. "
+    assert C.cuts(head + "But the next one " + line * 60, 1000)[0] == len(head)  # a wrapped line is no end, a sentence is
+
+
 def test_written_characters_stay_whole():
     text = "é" * 3000
     assert all(text[z] != "́" for _, z, _ in check("H", text)[:-1])
