@@ -6,17 +6,18 @@ Method
    accents), plain blanks, and deletion of ignorable characters. Joiners that Persian or
    Indic words and emoji need stay; the ideographic space and full-width punctuation stay
    in Japanese and Chinese text.
-2. A word that mixes Latin, Greek and Cyrillic letters is a lattice: each letter may stand
-   for any of its look-alikes. Viterbi finds the reading with the best score under
+2. A word that mixes letters of Latin, Greek, Cyrillic, Armenian, Cherokee or Coptic, or holds
+   one of the unusual Latin letters that look like a usual one, is a lattice: each letter may
+   stand for any of its look-alikes. Viterbi finds the reading with the best score under
    character bigrams of each script, learned from the words of the whole column; changing
    the script inside a word costs most, replacing a letter costs a little.
 
 Scale: one JVM pattern decides which cells can need a change; only those reach Python.
 Words are counted with map-side aggregation; the bigram table is bounded by the letters of
-three alphabets. No shuffle carries a text.
+six alphabets. No shuffle carries a text.
 
 Defined cases: null stays null and is no case; empty stays empty; words wholly in one
-script stay; a word all of whose letters have twins goes to its best-scoring script; very
+script stay, also with an unusual letter where the column uses it as usual (dotless i); a word all of whose letters have twins goes to its best-scoring script; very
 long texts are handled in linear time; repeated rows are handled one by one.
 """
 
@@ -32,31 +33,53 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Look-alike letters, as Latin, Greek and Cyrillic (a dot where a script has none).
+# Look-alike letters, as Latin, Greek and Cyrillic (a dot where a script has none) ...
 LOOKALIKES = """
 A Α А|B Β В|C . С|E Ε Е|H Η Н|I Ι І|J . Ј|K Κ К|M Μ М|N Ν .|O Ο О|P Ρ Р|S . Ѕ|T Τ Т|X Χ Х|Y Υ У|Z Ζ .
 a α а|c ϲ с|e . е|i ι і|j ϳ ј|k κ к|n η .|o ο о|p ρ р|s . ѕ|u υ .|v ν .|w ω ѡ|x χ х|y γ у|h . һ|d . ԁ|q . ԛ|l . ӏ|m . м|t τ т|b . Ь|r . г
 """
-_SCRIPTS = ("L", "G", "C")
-_TWINS: dict[str, dict[str, str]] = {}
-for _row in LOOKALIKES.strip().replace("\n", "|").split("|"):
-    _own = dict(zip(_SCRIPTS, _row.split(" ")))
-    for _s, _c in _own.items():
-        if _c != ".":
-            _TWINS[_c] = {s: c for s, c in _own.items() if c != "." and s != _s}
+# ... as Latin and the same in Armenian, Cherokee and Coptic ...
+ARMENIAN = "O Օ|o օ|S Տ|U Ս|u ս|h հ|n ո|g ց|q զ|j յ|L Լ|f ք"
+CHEROKEE = "A Ꭺ|B Ᏼ|C Ꮯ|D Ꭰ|E Ꭼ|G Ꮐ|H Ꮋ|J Ꭻ|K Ꮶ|L Ꮮ|M Ꮇ|P Ꮲ|R Ꮢ|S Ꮪ|T Ꭲ|V Ꮩ|W Ꮃ|Y Ꮍ|Z Ꮓ|i Ꭵ"
+COPTIC = "C Ⲥ|c ⲥ|H Ⲏ|I Ⲓ|K Ⲕ|M Ⲙ|N Ⲛ|O Ⲟ|o ⲟ|P Ⲣ|p ⲣ|T Ⲧ|X Ⲭ|x ⲭ|Y Ⲩ"
+# ... and letters of the Latin script itself, written as another one.
+WITHIN_LATIN = "a ɑ|g ɡ|i ı|i ɩ|c ᴄ|o ᴏ|v ᴠ|w ᴡ|z ᴢ|s ꜱ|y ʏ"
+_NAMES = {"L": "Latin", "G": "Greek", "C": "Cyrillic", "A": "Armenian", "K": "Cherokee", "P": "Coptic"}
+
+
+def _twins() -> dict[str, list[tuple[str, str]]]:
+    """Letter -> (script, letter) of all that it may stand for."""
+    groups: dict[str, dict[str, str]] = {}
+    single = []
+    for row in LOOKALIKES.strip().replace("\n", "|").split("|"):
+        own = {s: c for s, c in zip("LGC", row.split(" ")) if c != "."}
+        groups[own["L"]] = own
+    for script, text in (("A", ARMENIAN), ("K", CHEROKEE), ("P", COPTIC)):
+        for latin, c in (row.split(" ") for row in text.split("|")):
+            groups.setdefault(latin, {"L": latin})[script] = c
+    single = [row.split(" ") for row in WITHIN_LATIN.split("|")]
+    out = {c: [(s, t) for s, t in own.items() if s != script] for own in groups.values() for script, c in own.items()}
+    for latin, c in single:
+        out.setdefault(c, []).append(("L", latin))
+    return out
+
+
+_TWINS = _twins()
+_INNER = "".join(dict.fromkeys(row.split(" ")[1] for row in WITHIN_LATIN.split("|")))
 
 #: Cells that match none of these need no change: marks, invisible characters, odd blanks, compatibility letters, words of mixed scripts.
 SUSPECT = (
     r"[\p{M}\p{Cf}\p{Zl}\p{Zp}\p{Co}]|[\x00-\x08\x0E-\x1F\x7F-\x9F]|[\p{Zs}&&[^ ]]"
     r"|[ª²³µ¹ºĲĳĿŀŉſǄ-ǌǱ-ǳʰ-ʸˠ-ˤևᴬ-ᵪᵸᶛ-ᶿẚ"
     r"⁰-ₜ℀-↋①-⓪ㄱ-ㆎ㈀-㏿ꚜꚝꝰꭜ-ꭟ豈-﫿ﬀ-﷿ﹰ-ﻼ０-９Ａ-Ｚａ-ｚｦ-ￜﾠᅟᅠㅤ]"
-    r"|[\x{1D400}-\x{1D7FF}\x{1F100}-\x{1F190}\x{2F800}-\x{2FA1F}]"
-    r"|\p{IsLatin}[\p{IsGreek}\p{IsCyrillic}]|\p{IsGreek}[\p{IsLatin}\p{IsCyrillic}]|\p{IsCyrillic}[\p{IsLatin}\p{IsGreek}]"
+    r"|[\x{1D400}-\x{1D7FF}\x{1F100}-\x{1F190}\x{2F800}-\x{2FA1F}]|[" + _INNER + "]|"
+    + "|".join(rf"\p{{Is{n}}}[" + "".join(rf"\p{{Is{m}}}" for m in _NAMES.values() if m != n) + "]" for n in _NAMES.values())
 )
 
 _EAST = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Bopomofo}]")
-_RUN = regex.compile(r"[\p{Latin}\p{Greek}\p{Cyrillic}\p{Mn}]+")
-_OF = {"L": regex.compile(r"\p{Latin}"), "G": regex.compile(r"\p{Greek}"), "C": regex.compile(r"\p{Cyrillic}")}
+_RUN = regex.compile("[" + "".join(rf"\p{{{n}}}" for n in _NAMES.values()) + r"\p{Mn}]+")
+_OF = {s: regex.compile(rf"\p{{{n}}}") for s, n in _NAMES.items()}
+_WITHIN = regex.compile(f"[{_INNER}]")
 _ODD = regex.compile(r"[\p{Cf}\p{Zs}\p{Zl}\p{Zp}\x00-\x08\x0e-\x1f\x7f-\x9f︀-️ᅟᅠㅤﾠ͏᠋-᠏]")
 _ARABIC = regex.compile(r"[\p{Arabic}&&\p{L}]", regex.V1)
 _VIRAMA = regex.compile(r"[्্੍્୍்్್്්]")
@@ -132,7 +155,7 @@ def read_word(word: str, model: Bigrams, switch: float = 40.0, replace: float =
     steps = []
     for c in word:
         own = script_of(c)
-        options = [(c, own, 0.0), *((t, s, replace) for s, t in _TWINS.get(c, {}).items())]
+        options = [(c, own, 0.0), *((t, s, replace) for s, t in _TWINS.get(c, ()))]
         new: dict = {}
         for t, s, cost in options:
             best = None
@@ -162,7 +185,7 @@ def canonical(text: str, model: Bigrams) -> str:
 
     def fix(m: regex.Match) -> str:
         word = m.group()
-        if sum(bool(p.search(word)) for p in _OF.values()) < 2:
+        if sum(bool(p.search(word)) for p in _OF.values()) < 2 and not _WITHIN.search(word):
             return word
         return unicodedata.normalize("NFC", read_word(unicodedata.normalize("NFD", word), model))
 

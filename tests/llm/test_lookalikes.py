@@ -22,6 +22,18 @@ def test_ordinary_writing_stays(text):
     assert L.canonical(text, BIGRAMS) == text
 
 
+def test_more_scripts():
+    texts = {"offiсe": "office", "օffice": "office", "wօօl": "wool", "Ꮶorb": "Korb", "ⲟffice": "office", "Gɑrtenbänke": "Gartenbänke", "Ɡartenbänke": "Ɡartenbänke", "ɡartenbänke": "gartenbänke", "Gartenbänkе": "Gartenbänke"}
+    model = L.Bigrams({**BIGRAMS.pairs, **{a + b: 10 for w in ("^korb$", "^gartenbänke$") for a, b in zip(w, w[1:])}})
+    assert {t: L.canonical(t, model) for t in texts} == texts
+
+
+def test_words_of_other_alphabets_stay():
+    turkish = L.Bigrams({a + b: 500 for w in ("^kapı$", "^ışık$", "^altın$") for a, b in zip(w, w[1:])})
+    assert [L.canonical(t, turkish) for t in ("kapı", "ışık altın")] == ["kapı", "ışık altın"]
+    assert [L.canonical(t, BIGRAMS) for t in ("հայերեն", "ᏣᎳᎩ ᎦᏬᏂᎯᏍᏗ", "ⲙⲉⲧⲣⲉⲙⲛⲭⲏⲙⲓ", "ελληνικά", "русский")] == ["հայերեն", "ᏣᎳᎩ ᎦᏬᏂᎯᏍᏗ", "ⲙⲉⲧⲣⲉⲙⲛⲭⲏⲙⲓ", "ελληνικά", "русский"]
+
+
 def test_table(spark):
     rows = [(1, "wоol", None, "x"), (1, "wоol", None, "x"), (2, "", "Ａ", "x"), (3, "plain wool", "z​" * 30_000, None)]
     df = spark.createDataFrame(rows, "row_no bigint, title string, h1 string, text string")
@@ -33,7 +45,7 @@ def test_table(spark):
 
 
 def test_jvm_pattern_finds_all_disguises(spark):
-    texts = ["Ｏ", "ﬀ", "ä", "a​b", "a b", "wоol", "K", "ｶ", "plain", "Fahrräder – x", "книжная", "陶器の急須（限定）！", "１"]
+    texts = ["Ｏ", "ﬀ", "ä", "a​b", "a b", "wоol", "K", "ｶ", "plain", "Fahrräder – x", "книжная", "陶器の急須（限定）！", "１", "wօol", "Ꮶorb", "ɡut", "հայերեն"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     hit = [r.x for r in df.selectExpr("t").select(__import__("pyspark").sql.functions.col("t").rlike(L.SUSPECT).alias("x")).collect()]
-    assert hit == [True] * 8 + [False] * 4 + [True]
+    assert hit == [True] * 8 + [False] * 4 + [True] * 4 + [False]
