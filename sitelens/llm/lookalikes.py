@@ -218,7 +218,7 @@ def canonicalize(df: DataFrame, key: str, fields: list[str], only_changed: bool
     """
     cells = df.select(F.col(key), F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in fields])).alias("c")).select(key, "c.*")
     model = model or learn(cells.where("text <> ''"))
-    suspect = F.coalesce(F.col("text").rlike(SUSPECT), F.lit(False))
+    suspect = F.coalesce(F.col("text").rlike(r"[^\x20-\x7E\t\r\n]") & F.col("text").rlike(SUSPECT), F.lit(False))  # plain ASCII needs no closer look
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
