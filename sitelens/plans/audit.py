@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitelens.functions.exprs import Spark, path
+from sitelens.functions.ranks import ranked
 from sitelens.operators import relations
 from sitelens.operators.rules import CATALOGUE, PAGE_RULES, Rule, hreflang_invalid
 from sitelens.session import scratch_path, stored
 
 _D = Spark()
-SAMPLE, CLUSTERS, SMALL, RANK_SPAN, SITEMAP_CAP = 10, 5, 5, 100_000, 50_000
+SAMPLE, CLUSTERS, SMALL, SITEMAP_CAP = 10, 5, 5, 50_000
 
 
 def page_hits(crawl: DataFrame, rule_ids: list[str] | None = None, catalogue: dict[str, Rule] | None = None) -> DataFrame:
@@ -117,20 +118,6 @@ def statuses(hits: DataFrame, crawl: DataFrame, rule_ids: list[str], site_status
     return out if site_status is None else out.unionByName(site_status.select("host", "rule_id", "status"))
 
 
-def ranked(hits: DataFrame, keys: list[str], order: str = "row_no") -> DataFrame:
-    """Adds ``rank`` (from 0) and ``total`` within ``keys``, by ``order``.
-
-    Rows are numbered inside spans of ``order`` and shifted by the counts of the spans before,
-    so a group of any size is spread over many tasks.
-    """
-    spanned = hits.withColumn("span", F.floor(F.col(order) / RANK_SPAN))
-    k = ", ".join(keys)
-    counts = spanned.groupBy(*keys, "span").agg(F.count(F.lit(1)).alias("n"))
-    offsets = counts.select(*keys, "span", F.expr(f"sum(n) over (partition by {k} order by span) - n").alias("before"), F.expr(f"sum(n) over (partition by {k})").alias("total"))
-    local = spanned.withColumn("local", F.expr(f"row_number() over (partition by {k}, span order by {order}) - 1"))
-    return local.join(offsets, [*keys, "span"]).withColumn("rank", F.col("before") + F.col("local")).drop("span", "local", "before")
-
-
 def samples(hits: DataFrame) -> DataFrame:
     """At most ten evenly spaced hits per site and rule, in crawl order or that of ``ord``: (host, rule_id, ord, url)."""
     r = ranked(hits, ["host", "rule_id"], "ord" if "ord" in hits.columns else "row_no")

@@ -385,6 +385,15 @@ SQL = {
     "crawl_frontier": "WITH s AS (SELECT host, canonical AS url, min(row_no) AS ord FROM crawl WHERE canonical <> '' GROUP BY 1, 2), k AS (SELECT s.host AS site, s.url, row_number() OVER (PARTITION BY s.host ORDER BY ord, s.url) AS no FROM s WHERE EXISTS (SELECT 1 FROM crawl c WHERE c.host = s.host AND c.url = s.url)) SELECT site, no, url FROM k WHERE no <= 25000",
     "url_types": "SELECT row_no, CASE WHEN regexp_matches(p, '^/(p|shop)/') THEN 'product' WHEN regexp_matches(p, '^/(blog|ratgeber)/') THEN 'article' WHEN regexp_matches(p, '^/help/') THEN 'help' ELSE 'page' END AS kind FROM (SELECT row_no, regexp_extract(url, '^https?://[^/]+([^?#]*)', 1) AS p FROM crawl)",
     "html_features": _HTML_SQL,
+    # a line is inside code if the fences before it, of the kind that opened, are odd in number
+    "kb_sections": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents WHERE text IS NOT NULL),
+      f AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^\s*```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS fences FROM l),
+      h AS (SELECT *, fences % 2 = 0 AND regexp_matches(line, '^#{1,6} ') AS head FROM f), s AS (SELECT *, sum(CASE WHEN head THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS sec FROM h),
+      g AS (SELECT doc_id, sec, regexp_replace(regexp_replace(string_agg(line, chr(10) ORDER BY n), '^[\s\p{Z}]+', ''), '[\s\p{Z}]+$', '') AS part FROM s GROUP BY 1, 2),
+      k AS (SELECT doc_id, part, row_number() OVER (PARTITION BY doc_id ORDER BY sec) - 1 AS ord FROM g WHERE part <> '')
+      SELECT doc_id, CAST(ord AS INT) AS ord, CASE WHEN regexp_matches(part, '^#{1,6}\s+.') THEN trim(regexp_extract(part, '^#{1,6}\s+([^\n]+)', 1)) ELSE '' END AS heading,
+        CASE WHEN regexp_matches(part, '^#{1,6}\s+.') THEN regexp_replace(regexp_replace(part, '^#{1,6}\s+[^\n]+', ''), '^[\s\p{Z}]+', '') ELSE part END AS body FROM k
+      UNION ALL SELECT doc_id, 0, '', '' FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\s\p{Z}]')""",
     "kb_embedding": "WITH t AS (SELECT chunk_no, unnest(list_filter(regexp_split_to_array(lower(coalesce(content, '')), '[^a-z0-9]+'), lambda x: x <> '')) AS tok FROM kb_chunks), h AS (SELECT chunk_no, list_reduce(list_prepend(CAST(5381 AS BIGINT), list_transform(string_split(tok, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, c: xor((a * 33) & 4294967295, c)) AS h FROM t), b AS (SELECT chunk_no, h % 256 AS slot, 1.0 AS w FROM h UNION ALL SELECT chunk_no, (h >> 8) & 255, 0.5 FROM h), s AS (SELECT chunk_no, slot, CAST(sum(w) AS DOUBLE) AS w FROM b GROUP BY 1, 2), n AS (SELECT chunk_no, sqrt(sum(w * w)) AS n FROM s GROUP BY 1) SELECT chunk_no, CAST(slot AS INT) AS slot, round(w / n, 6) AS weight FROM s JOIN n USING (chunk_no)",
     "kb_search": "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT q.vec_id AS query, e.vec_id AS id, round(list_cosine_similarity(q.v, e.v), 6) AS score FROM e q, e WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM p) SELECT query, id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 4",
     "kb_cosine": "SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sitelens.functions.ranks import ranked
+
 # The columns of a crawl, in the order of its CSV file; all cells are strings and '' is absent.
 CRAWL_COLUMNS = [
     "url", "page_type", "status", "final_url", "redirected", "redirect_chain",
@@ -85,9 +87,9 @@ def frontier(pages: DataFrame, seeds: DataFrame, max_urls: int, product_cap: int
     first = seeds.groupBy("site", "url").agg(F.min("ord").alias("ord"))
     known = first.join(pages.select("site", "url", "page_type").dropDuplicates(["site", "url"]), ["site", "url"])
     if product_cap is not None:
-        numbered = known.withColumn("p", F.expr("row_number() over (partition by site, page_type order by ord, url)"))
-        known = numbered.where((F.col("page_type") != "product") | (F.col("p") <= product_cap)).drop("p")
-    return known.withColumn("no", F.expr("row_number() over (partition by site order by ord, url)")).where(F.col("no") <= max_urls)
+        products = ranked(known.where("page_type = 'product'"), ["site"], "ord", "url").where(F.col("rank") < product_cap).drop("rank", "total")
+        known = known.where("page_type IS DISTINCT FROM 'product'").unionByName(products)
+    return ranked(known, ["site"], "ord", "url").withColumn("no", F.col("rank") + 1).where(F.col("no") <= max_urls).drop("rank", "total")
 
 
 def classify(url: str, patterns: list[tuple[str, str]], default: str = "page"):
