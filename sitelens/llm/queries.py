@@ -21,6 +21,16 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p2_pieces(spark, sf_dir).where("piece_count > 1").select("chunk_no").distinct()
 
 
+def p2_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each content put together again from the own parts of its pieces, by digest, and whether all pieces fit."""
+    own = F.struct("piece_no", F.expr("right(text, part_end - part_start)").alias("part"))
+    parts = p2_pieces(spark, sf_dir).groupBy("chunk_no").agg(F.array_sort(F.collect_list(own)).alias("parts"), (F.max(F.when(F.col("piece_count") > 1, F.length("text")).otherwise(0)) <= chunks.LIMIT).alias("fits"))
+    whole = table(spark, sf_dir, "kb_chunks", "chunk_no", "heading", "content")
+    size = F.length(F.coalesce("content", F.lit(""))) + F.when(F.coalesce("heading", F.lit("")) != "", F.length("heading") + 1).otherwise(0)
+    cut = whole.where(size > chunks.LIMIT).select("chunk_no")  # pieces within the limit carry their heading once
+    return parts.join(cut, "chunk_no").select("chunk_no", F.md5(F.array_join(F.transform("parts", lambda x: x["part"]), "")).alias("digest"), "fits")
+
+
 def p3_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title, description and heading of each page in their one ordinary form."""
     return lookalikes.canonicalize(table(spark, sf_dir, "crawl", "row_no", *TEXTS), "row_no", TEXTS).select("row_no", "field_name", "canonical", "disguised")
@@ -72,6 +82,16 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_containers(spark, sf_dir).agg(F.countDistinct("container").alias("containers"), F.sum("tokens").alias("tokens")).withColumn("used", F.round(F.col("tokens") / (F.col("containers") * packing.CAPACITY), 4))
 
 
+def p7_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that are packed, and breaches: containers beyond a limit, texts split though they fit, parts lost."""
+    items = p7_containers(spark, sf_dir)
+    full = items.groupBy("container").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n"), F.sum("loss").alias("loss"))
+    over = full.agg(F.count_if(F.col("tokens") > packing.CAPACITY).alias("over_tokens"), F.count_if(F.col("n") > packing.SEGMENTS).alias("over_segments"), F.count_if((F.col("n") > 1) & (F.col("loss") > packing.MOST_LOSS)).alias("over_loss"))
+    texts = items.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("part").alias("last"), F.sum("tokens").alias("tokens"))
+    whole = texts.agg(F.count(F.lit(1)).alias("texts"), F.count_if((F.col("n") > 1) & (F.col("tokens") <= packing.CAPACITY)).alias("split_though_fitting"), F.count_if(F.col("n") != F.col("last") + 1).alias("parts_lost"))
+    return whole.withColumn("one", F.lit(1)).join(over.withColumn("one", F.lit(1)), "one").drop("one")
+
+
 def p8_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that carry test passages, with the share of the passage that the tiles cover."""
     items = table(spark, sf_dir, "eval_items", "item_id", "lang", "passage")
@@ -93,6 +113,14 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p9_sentences(spark, sf_dir).select("doc_id", "end_off")
 
 
+def p9_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The non-blank characters of each document's sentences one after the other, by digest."""
+    spans = p9_sentences(spark, sf_dir).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start_off", "end_off"))).alias("spans"))
+    texts = table(spark, sf_dir, "documents", "doc_id", "text").join(spans, "doc_id")
+    said = F.array_join(F.transform("spans", lambda x: F.substring(F.col("text"), x["start_off"] + 1, x["end_off"] - x["start_off"])), "")
+    return texts.select("doc_id", F.md5(F.regexp_replace(said, r"[\s\p{Z}]+", "")).alias("digest"))
+
+
 _P2_SQL = """SELECT chunk_no FROM kb_chunks WHERE length(coalesce(content, '')) + CASE WHEN coalesce(heading, '') <> '' THEN length(heading) + 1 ELSE 0 END > 1200"""
 _WORDS = lambda c: rf"array_to_string(regexp_extract_all(regexp_replace(translate(replace(lower(nfc_normalize({c})), 'ß', 'ss'), 'ς', 'σ'), '[\x{{FE00}}-\x{{FE0F}}\x{{E0100}}-\x{{E01EF}}\x{{034F}}]', ' ', 'g'), '[\p{{L}}\p{{N}}][\p{{L}}\p{{N}}\p{{M}}]*'), ' ')"
 _P5_SQL = f"""
@@ -118,12 +146,15 @@ letter_seeds AS (SELECT DISTINCT item_id, substr(c, k, 24) AS run FROM ic, range
 SELECT DISTINCT doc_id, item_id FROM words JOIN word_seeds USING (run) UNION SELECT DISTINCT doc_id, item_id FROM letters JOIN letter_seeds USING (run)
 """
 
-QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p3_found": p3_found, "p3_canonical": p3_canonical, "p5_found": p5_found, "p5_copies": p5_copies, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_containers": p7_containers, "p7_fill": p7_fill, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_sentences": p9_sentences}
+QUERIES = {"p2_found": p2_found, "p2_pieces": p2_pieces, "p2_rebuilt": p2_rebuilt, "p3_found": p3_found, "p3_canonical": p3_canonical, "p5_found": p5_found, "p5_copies": p5_copies, "p6_found": p6_found, "p6_neighbours": p6_neighbours, "p7_containers": p7_containers, "p7_fill": p7_fill, "p7_limits": p7_limits, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_found": p9_found, "p9_sentences": p9_sentences, "p9_rebuilt": p9_rebuilt}
 SQL = {
     "p6_found": _P6_SQL + "SELECT DISTINCT least(q, r) AS chunk_a, greatest(q, r) AS chunk_b FROM k WHERE n <= 5",
     "p6_neighbours": _P6_SQL + "SELECT q AS chunk_no, r AS neighbour, s AS similarity, CAST(n AS INT) AS rank FROM k WHERE n <= 5",
     "p2_found": _P2_SQL,
     "p8_found": _P8_SQL,
+    "p2_rebuilt": _P2_SQL.replace("SELECT chunk_no FROM", "SELECT chunk_no, md5(coalesce(content, '')) AS digest, true AS fits FROM"),
+    "p7_limits": r"SELECT count(*) AS texts, CAST(0 AS BIGINT) AS split_though_fitting, CAST(0 AS BIGINT) AS parts_lost, CAST(0 AS BIGINT) AS over_tokens, CAST(0 AS BIGINT) AS over_segments, CAST(0 AS BIGINT) AS over_loss FROM documents WHERE regexp_matches(text, '[^\s\p{Z}\p{Cf}\p{Cc}]')",
+    "p9_rebuilt": r"SELECT doc_id, md5(regexp_replace(text, '[\s\p{Z}]+', '', 'g')) AS digest FROM documents WHERE regexp_matches(text, '[^\s\p{Z}]')",
     "p5_found": _P5_SQL + "SELECT first_row AS row_a, row_no AS row_b FROM m WHERE row_no <> first_row",
     "p5_copies": _P5_SQL + "SELECT row_no, copies FROM m WHERE row_no = first_row",
 }
