@@ -13,7 +13,7 @@ from sitelens.queries import check_sql
 from sitelens.queries.rules import all_hits, depths, graph, site_status
 from sitelens.queries.signals import ROBOTS, patterns
 from sitelens.session import table
-from sitelens.sources import artifacts
+from sitelens.sources import artifacts, report
 
 D, Q = Spark(), DuckDb()
 CHILD_LOCS = robots.MAX_LOCS // robots.MAX_CHILDREN  # pages in each child sitemap
@@ -311,6 +311,11 @@ def run_handoff(spark, sf_dir):
     return h.select("run_key", F.array_join("sections", ";").alias("sections"), F.array_join("interpreted", " ").alias("interpreted"), F.array_join("remaining", " ").alias("remaining"))
 
 
+def run_reports(spark, sf_dir):
+    """The report of every run."""
+    return report.run_reports(table(spark, sf_dir, "findings"))
+
+
 def kb_ingest(spark, sf_dir):
     """Documents with a front matter of their own, ingested as files."""
     d = table(spark, sf_dir, "documents", "doc_id", "text", "source").where("trim(text) <> ''")
@@ -346,7 +351,7 @@ QUERIES = {
     "sitemap_expanded": sitemap_expanded, "crawl_frontier": crawl_frontier, "url_types": url_types, "html_features": html_features_q, "kb_sections": kb_sections, "kb_embedding": kb_embedding, "kb_search": kb_search, "kb_cosine": kb_cosine,
     "kb_upsert": kb_upsert, "kb_allowlist": kb_allowlist, "runtime_cwv": runtime_cwv, "runtime_certificates": runtime_certificates, "runtime_intervals": runtime_intervals, "eval_rule_ids": eval_rule_ids, "eval_scraped_ids": eval_scraped_ids,
     "eval_recall": eval_recall, "eval_missed": eval_missed, "eval_citations": eval_citations, "eval_fabrications": eval_fabrications, "eval_provenance": eval_provenance, "eval_faithfulness": eval_faithfulness, "eval_stability": eval_stability,
-    "eval_anchor_stability": eval_anchor_stability, "eval_aggregate": eval_aggregate, "eval_gate": eval_gate, "findings_errors": findings_errors, "verdict_errors": verdict_errors, "run_ledger": run_ledger, "run_handoff": run_handoff, "kb_ingest": kb_ingest, "frontier_rewritten": frontier_rewritten, "severity_histogram": severity_histogram,
+    "eval_anchor_stability": eval_anchor_stability, "eval_aggregate": eval_aggregate, "eval_gate": eval_gate, "findings_errors": findings_errors, "verdict_errors": verdict_errors, "run_ledger": run_ledger, "run_handoff": run_handoff, "run_reports": run_reports, "kb_ingest": kb_ingest, "frontier_rewritten": frontier_rewritten, "severity_histogram": severity_histogram,
     "priorities": priorities, "leak_scan": leak_scan,
 }
 
@@ -363,6 +368,7 @@ _FAB = f"""c1 AS (SELECT run_key, f.id AS finding_id, unnest({_IDS}) AS rule_id
 _AGG = f"""WITH {_RECALL}, {_CITES}, {_FAB}, per AS (SELECT fixture, count(*) AS k, avg(CASE WHEN recall = 1 THEN 1.0 ELSE 0.0 END) AS pass_k, round(avg(recall), 6) AS recall_mean FROM rec GROUP BY 1),
  agg AS (SELECT round((SELECT avg(recall_mean) FROM per), 6) AS recall, round((SELECT avg(round(pass_k, 6)) FROM per WHERE k >= 2), 6) AS stability, round((SELECT sum(valid) / sum(total) FROM cites), 6) AS citation_validity,
  round((SELECT count(*) FILTER (verdict = 'pass') / count(*) FROM judge), 6) AS faithfulness, (SELECT count(*) FROM fab) AS fabrications)"""
+_ESC = lambda c: f"""replace(replace(replace(replace(replace(coalesce({c}, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), chr(39), '&#39;')"""
 _BL = lambda c: f"coalesce(trim({c}), '') = ''"
 _ERR = {
     **{f"no {c}": _BL(f"f.{c}") for c in ("id", "title", "category", "befund", "beleg", "auswirkung", "empfehlung")}, "severity": "coalesce(f.severity NOT IN ('hoch', 'mittel', 'niedrig'), true)", "provenance": "coalesce(f.prov NOT IN ('gemessen', 'beobachtet', 'geschätzt'), true)",
@@ -419,6 +425,15 @@ SQL = {
     "run_ledger": f"WITH {_FLAT}, done AS (SELECT DISTINCT run_key, unnest({_IDS}) AS rule_id FROM fl), a AS (SELECT DISTINCT rule_id FROM rule_registry), e AS (SELECT r.run_key, a.rule_id FROM (SELECT DISTINCT run_key FROM findings) r, a) SELECT e.run_key, CASE WHEN d.rule_id IS NULL THEN 'remaining' ELSE 'interpreted' END AS state, count(*) AS rules FROM e LEFT JOIN done d ON d.run_key = e.run_key AND d.rule_id = e.rule_id GROUP BY 1, 2",
     "severity_histogram": f"WITH {_FLAT}, h AS (SELECT r.run_key, count(*) FILTER (f.severity = 'hoch') AS hoch, count(*) FILTER (f.severity = 'mittel') AS mittel, count(*) FILTER (f.severity = 'niedrig') AS niedrig FROM (SELECT DISTINCT run_key FROM findings) r LEFT JOIN fl ON fl.run_key = r.run_key GROUP BY 1), n AS (SELECT *, greatest(hoch + mittel + niedrig, 1) AS n FROM h) SELECT run_key, hoch, mittel, niedrig, CAST(floor(hoch / n * 100 + CASE WHEN hoch > 0 THEN 0.5 ELSE 0 END) AS BIGINT) AS hoch_end, CAST(floor((hoch + mittel) / n * 100 + CASE WHEN hoch + mittel > 0 THEN 0.5 ELSE 0 END) AS BIGINT) AS mittel_end FROM n",
     "run_handoff": f"WITH {_FLAT}, done AS (SELECT DISTINCT run_key, unnest({_IDS}) AS rule_id FROM fl), i AS (SELECT run_key, string_agg(rule_id, ' ' ORDER BY rule_id) AS interpreted FROM done GROUP BY 1), a AS (SELECT DISTINCT rule_id FROM rule_registry), r AS (SELECT DISTINCT ON (run_key) run_key, sections FROM findings ORDER BY run_key, produced_at), m AS (SELECT r.run_key, string_agg(a.rule_id, ' ' ORDER BY a.rule_id) AS remaining FROM r, a WHERE NOT EXISTS (SELECT 1 FROM done d WHERE d.run_key = r.run_key AND d.rule_id = a.rule_id) GROUP BY 1), t AS (SELECT run_key, string_agg(concat(s.num, ' ', s.id, ' ', s.title), ';' ORDER BY s.num, s.id) AS sections FROM (SELECT run_key, unnest(sections) AS s FROM r) GROUP BY 1) SELECT r.run_key, coalesce(t.sections, '') AS sections, coalesce(interpreted, '') AS interpreted, coalesce(remaining, '') AS remaining FROM r LEFT JOIN t USING (run_key) LEFT JOIN i USING (run_key) LEFT JOIN m USING (run_key)",
+    "run_reports": f"""WITH a AS (SELECT run_key, {_ESC('meta.url')} AS url, list_filter(positives, lambda p: p IS NOT NULL) AS pos, list_sort(list_transform(sections, lambda s: {{'num': coalesce(s.num, 0), 'id': coalesce(s.id, ''), 'title': s.title, 'findings': s.findings}})) AS secs FROM findings),
+      b AS (SELECT *, flatten(list_transform(secs, lambda s: s.findings)) AS fs FROM a), c AS (SELECT *, len(list_filter(fs, lambda f: f.severity = 'hoch')) AS h, len(list_filter(fs, lambda f: f.severity = 'mittel')) AS m, len(list_filter(fs, lambda f: f.severity = 'niedrig')) AS n FROM b),
+      d AS (SELECT *, h + m + n AS t, CAST(floor(600 * h / (h + m + n) + 0.5) AS INT) AS x, CAST(floor(600 * (h + m) / (h + m + n) + 0.5) AS INT) AS y FROM c)
+      SELECT run_key, concat('<!doctype html><html lang="de"><meta charset="utf-8"><title>', url, '</title><h1>', url, '</h1>',
+        CASE WHEN t > 0 THEN concat('<figure><svg viewBox="0 0 600 24">', CASE WHEN h > 0 THEN concat('<rect class="hoch" x="0" width="', x, '" height="24"/>') END, CASE WHEN m > 0 THEN concat('<rect class="mittel" x="', x, '" width="', y - x, '" height="24"/>') END,
+          CASE WHEN n > 0 THEN concat('<rect class="niedrig" x="', y, '" width="', 600 - y, '" height="24"/>') END, '</svg><figcaption>hoch: ', h, ' mittel: ', m, ' niedrig: ', n, '</figcaption></figure>') END,
+        array_to_string(list_transform(secs, lambda s: concat('<section id="', {_ESC('s.id')}, '"><h2>', s.num, ' ', {_ESC('s.title')}, '</h2>', array_to_string(list_transform(s.findings, lambda f: concat('<article class="', {_ESC('f.severity')}, '"><h3>', {_ESC('f.title')}, '</h3><p>', {_ESC('f.befund')},
+          '</p><p>', {_ESC('f.beleg')}, '</p><p>', {_ESC('f.auswirkung')}, '</p><p>', {_ESC('f.empfehlung')}, '</p><small>', {_ESC('f.prov')}, ', ICE ', f.ice.score, '</small></article>')), ''), '</section>')), ''),
+        CASE WHEN len(pos) > 0 THEN concat('<ul>', array_to_string(list_transform(pos, lambda p: concat('<li>', {_ESC('p')}, '</li>')), ''), '</ul>') END, '</html>') AS html FROM d""",
     "frontier_rewritten": "SELECT row_no, concat('http://127.0.0.1:8080', coalesce(nullif(regexp_replace(canonical, '^https?://[^/]+', ''), ''), '/')) AS url FROM crawl WHERE canonical <> ''",
     "kb_ingest": """WITH d AS (SELECT doc_id, regexp_replace(text, '[#`~]', '', 'g') AS t FROM documents WHERE trim(text) <> ''),
       c AS (SELECT *, regexp_replace(regexp_replace(t, '^\\s+', ''), '\\s+$', '') AS body FROM d),
