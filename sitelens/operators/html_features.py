@@ -352,6 +352,24 @@ def features(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
     return spread(pages.select(key, url, html)).mapInArrow(run, schema)
 
 
+def crawl_rows(fetched: DataFrame, key: str = "row_no") -> DataFrame:
+    """The rows of a crawl from what was fetched: (``key``, url, page_type, status int, final_url, hops array<string>,
+    headers map<string,string> with lower-case names, set_cookies array<string>, error, html). Only pages with
+    markup have page features; a page that is refused or empty keeps its address, status and headers."""
+    from sitelens.operators.runtime import header_features
+    from sitelens.sources.artifacts import CRAWL_COLUMNS
+
+    about = fetched.select(
+        key, "url", F.coalesce("page_type", F.lit("page")).alias("page_type"), F.coalesce(F.col("status").cast("string"), F.lit("")).alias("status"), F.coalesce("final_url", "url").alias("final_url"),
+        F.when(F.size("hops") > 0, "1").otherwise("0").alias("redirected"), F.coalesce(F.array_join("hops", "|"), F.lit("")).alias("redirect_chain"), F.when(F.coalesce("final_url", "url").startswith("https://"), "1").otherwise("0").alias("secure"),
+        F.coalesce("error", F.lit("")).alias("error"), *[c.alias(n) for n, c in header_features(F.col("headers"), F.col("set_cookies")).items()],
+    )
+    parsed = features(fetched.where("html IS NOT NULL").select(key, F.coalesce("final_url", "url").alias("at"), "html"), key, "at", "html").drop("at", "https_ok", "internal_links")
+    own = {"https_ok": F.col("secure"), "error_code": F.when(F.col("error") != "", F.col("error")).otherwise(F.coalesce("error_code", F.lit("")))}
+    out = about.join(parsed, key, "left")
+    return out.select(key, *[own[c].alias(c) if c in own else F.coalesce(c, F.lit("")).alias(c) for c in CRAWL_COLUMNS])
+
+
 _HREF = regex.compile(r"<a\s[^>]*\bhref=(?:\"([^\"]+)\"|'([^']+)')", regex.I)
 
 

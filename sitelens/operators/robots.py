@@ -4,18 +4,31 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Crawlers of AI services, with the use that they announce.
-AI_BOTS = {
-    "training": ["GPTBot", "ClaudeBot", "Google-Extended", "CCBot", "Applebot-Extended", "Meta-ExternalAgent", "Amazonbot", "Bytespider"],
-    "ai-search": ["OAI-SearchBot", "Claude-SearchBot", "PerplexityBot"],
-    "on-demand-fetcher": ["Claude-User", "ChatGPT-User", "Perplexity-User", "meta-externalfetcher"],
-    "indexing": ["Googlebot", "Bingbot"],
-}
+# Crawlers of AI services: agent, operator, the use that they announce.
+AI_BOTS = [
+    ("GPTBot", "OpenAI", "training"),
+    ("ClaudeBot", "Anthropic", "training"),
+    ("Google-Extended", "Google", "training"),
+    ("CCBot", "Common Crawl", "training"),
+    ("Applebot-Extended", "Apple", "training"),
+    ("Meta-ExternalAgent", "Meta", "training"),
+    ("Amazonbot", "Amazon", "training"),
+    ("Bytespider", "ByteDance", "training"),
+    ("OAI-SearchBot", "OpenAI", "ai-search"),
+    ("Claude-SearchBot", "Anthropic", "ai-search"),
+    ("PerplexityBot", "Perplexity", "ai-search"),
+    ("Claude-User", "Anthropic", "on-demand-fetcher"),
+    ("ChatGPT-User", "OpenAI", "on-demand-fetcher"),
+    ("Perplexity-User", "Perplexity", "on-demand-fetcher"),
+    ("meta-externalfetcher", "Meta", "on-demand-fetcher"),
+    ("Googlebot", "Google", "indexing"),
+    ("Bingbot", "Microsoft", "indexing"),
+]
 MAX_LOCS, MAX_CHILDREN = 50_000, 50
 
 
@@ -32,10 +45,9 @@ def groups(text: str) -> tuple[list[tuple[list[str], list[tuple[str, str]]]], li
     sitemaps, delay, open_agents = [], None, False
     for raw in text.splitlines():
         line = raw.split("#", 1)[0].strip()
-        if not line:
-            if not raw.strip():
-                out.append(([], []))
-                open_agents = False
+        if not line:  # a blank line, or one with a comment only, ends the group
+            out.append(([], []))
+            open_agents = False
             continue
         field, _, value = (x.strip() for x in line.partition(":"))
         field = field.lower()
@@ -45,13 +57,14 @@ def groups(text: str) -> tuple[list[tuple[list[str], list[tuple[str, str]]]], li
             out[-1][0].append(value.lower())
             open_agents = True
         elif field == "sitemap":
-            sitemaps.append(value)
+            if value:
+                sitemaps.append(value)
         else:
             open_agents = False
             if field in ("allow", "disallow") and out and out[-1][0]:
                 out[-1][1].append((field, value))
-            elif field == "crawl-delay" and delay is None and out and "*" in out[-1][0] and regex.fullmatch(r"\d+(\.\d+)?", value):
-                delay = float(value)
+            elif field == "crawl-delay" and delay is None and out and "*" in out[-1][0] and (m := regex.match(r"\d*\.?\d+", value)) and float(m.group()) > 0:
+                delay = float(m.group())
     return [g for g in out if g[0]], sitemaps, delay
 
 
@@ -69,26 +82,30 @@ def parse(text: str | None, agent: str = "*") -> dict:
     parsed, sitemaps, delay = groups(text or "")
     mine = rules_for(parsed, agent) or []
     bots = []
-    for use, names in AI_BOTS.items():
-        for name in names:
-            closed = [v for agents, rules in parsed if name.lower() in agents for f, v in rules if f == "disallow" and v]
-            if any(name.lower() in agents for agents, _ in parsed):
-                bots.append({"agent": name, "use": use, "disallow_all": "/" in closed, "paths": closed})
+    for name, operator, use in AI_BOTS:
+        closed = [v for agents, rules in parsed if name.lower() in agents for f, v in rules if f == "disallow" and v]
+        if any(name.lower() in agents for agents, _ in parsed):
+            bots.append({"agent": name, "operator": operator, "use": use, "disallow_all": "/" in closed, "paths": closed})
     return {"disallow": [v for f, v in mine if f == "disallow" and v], "allow": [v for f, v in mine if f == "allow" and v], "sitemaps": sitemaps, "crawl_delay": delay, "bots": bots}
 
 
-PARSED = "disallow array<string>, allow array<string>, sitemaps array<string>, crawl_delay double, bots array<struct<agent string, use string, disallow_all boolean, paths array<string>>>"
+PARSED = "disallow array<string>, allow array<string>, sitemaps array<string>, crawl_delay double, bots array<struct<agent string, operator string, use string, disallow_all boolean, paths array<string>>>"
 
 
 def parse_files(df: DataFrame, site: str, text: str) -> DataFrame:
     """(``site``, parsed robots fields) for each site's robots.txt."""
     kind = df.select(site).schema[0].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            yield pd.DataFrame([{site: s, **parse(t)} for s, t in zip(f[site], f[text])], columns=[site, "disallow", "allow", "sitemaps", "crawl_delay", "bots"])
+    texts = pa.list_(pa.string())
+    bot = pa.struct([("agent", pa.string()), ("operator", pa.string()), ("use", pa.string()), ("disallow_all", pa.bool_()), ("paths", texts)])
+    kinds = {"disallow": texts, "allow": texts, "sitemaps": texts, "crawl_delay": pa.float64(), "bots": pa.list_(bot)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            parsed = [parse(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[c] for x in parsed], t) for c, t in kinds.items())], names=[site, *kinds])
 
-    return df.select(site, text).mapInPandas(run, f"{site} {kind}, {PARSED}")
+    return df.select(site, text).mapInArrow(run, f"{site} {kind}, {PARSED}")
 
 
 def patterns_of(parsed: DataFrame, site: str) -> DataFrame:

@@ -74,18 +74,32 @@ def retry_after_seconds(value: Column, now: Column) -> Column:
 
 
 def cookie_insecure(set_cookies: Column) -> Column:
-    """Any cookie without Secure, HttpOnly and SameSite; null if none is set."""
-    flag = lambda c, f: F.exists(F.split(F.lower(c), ";"), lambda p: F.trim(F.split(p, "=")[0]) == f)
-    return F.when(F.size(set_cookies) > 0, F.exists(set_cookies, lambda c: ~(flag(c, "secure") & flag(c, "httponly") & flag(c, "samesite"))))
+    """Any cookie without Secure, HttpOnly and SameSite among its attributes; null if none is set."""
+    attributes = lambda c: F.transform(F.slice(F.split(F.lower(c), ";"), F.lit(2), F.length(c) + 1), lambda p: F.trim(F.split(p, "=")[0]))
+    lacks = lambda c: F.size(F.array_except(F.array(F.lit("secure"), F.lit("httponly"), F.lit("samesite")), attributes(c))) > 0
+    return F.when(F.size(set_cookies) > 0, F.exists(set_cookies, lacks))
 
 
 def discloses_version(server: Column, powered_by: Column) -> Column:
-    """A version number in the Server header, or any X-Powered-By."""
-    return F.coalesce(server, F.lit("")).rlike(r"\d+\.\d+") | (F.coalesce(powered_by, F.lit("")) != "")
+    """A version number behind a slash in the Server header, or any X-Powered-By."""
+    return F.coalesce(server, F.lit("")).rlike(r"/\d+\.\d") | (F.trim(F.coalesce(powered_by, F.lit(""))) != "")
 
 
 def nosniff(value: Column) -> Column:
-    return F.lower(F.trim(F.coalesce(value, F.lit("")))) == "nosniff"
+    """One of the tokens of X-Content-Type-Options says nosniff."""
+    return F.exists(F.split(F.lower(F.coalesce(value, F.lit(""))), ","), lambda t: F.trim(t) == "nosniff")
+
+
+def header_features(headers: Column, set_cookies: Column) -> dict[str, Column]:
+    """The header columns of a crawl row from a map of headers (lower-case names) and its cookies."""
+    get = lambda n: F.coalesce(headers[n], F.lit(""))
+    flag = lambda c: F.when(F.coalesce(c, F.lit(False)), "1").otherwise("0")
+    csp = get("content-security-policy")
+    return {
+        "x_robots_tag": get("x-robots-tag"), "hsts_present": flag(get("strict-transport-security") != ""), "frame_protection": flag((get("x-frame-options") != "") | csp.rlike("(?i)frame-ancestors")), "content_encoding": get("content-encoding"),
+        "nosniff_present": flag(nosniff(headers["x-content-type-options"])), "referrer_policy_present": flag(get("referrer-policy") != ""), "permissions_policy_present": flag(get("permissions-policy") != ""), "csp_present": flag(csp != ""),
+        "cookie_insecure": flag(cookie_insecure(set_cookies)), "version_disclosure": flag(discloses_version(headers["server"], headers["x-powered-by"])),
+    }
 
 
 def fetch_interval_ms(rps: Column, crawl_delay: Column) -> Column:

@@ -51,6 +51,32 @@ def html_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_features.features(pages, "row_no", "url", "html").select("row_no", *OUT)
 
 
+def crawl_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole crawl rows from fetched pages whose status, hops, headers and markup follow from their number."""
+    n = F.col("row_no")
+    empty = F.array().cast("array<string>")
+    headers = F.map_filter(
+        F.create_map(
+            F.lit("x-robots-tag"), F.when(n % 5 == 0, "noindex"), F.lit("strict-transport-security"), F.when(n % 2 == 0, "max-age=1"), F.lit("content-security-policy"), F.when(n % 3 == 0, "Frame-Ancestors 'none'").when(n % 3 == 1, "default-src 'self'"),
+            F.lit("x-frame-options"), F.when(n % 7 == 0, "DENY"), F.lit("content-encoding"), F.when(n % 4 > 0, "br"), F.lit("x-content-type-options"), F.when(n % 3 == 0, "NoSniff, nosniff").when(n % 3 == 1, "none"),
+            F.lit("referrer-policy"), F.when(n % 2 == 1, "origin"), F.lit("permissions-policy"), F.when(n % 5 == 1, "x=()"), F.lit("server"), F.when(n % 4 == 0, "nginx/1.18.0").when(n % 4 == 1, "ECS (dcb/7F83) 2.1"), F.lit("x-powered-by"), F.when(n % 11 == 0, "X"),
+        ),
+        lambda _, v: v.isNotNull(),
+    )
+    cookies = F.when(n % 3 == 0, F.array(F.lit("secure=1; HttpOnly; SameSite=Lax"))).when(n % 3 == 1, F.array(F.lit("a=b; Secure; HttpOnly; SameSite"), F.lit("c=d;secure;httponly;samesite=none"))).otherwise(empty)
+    fetched = table(spark, sf_dir, "crawl", "row_no").select(
+        "row_no", F.lit("http://h.example/x").alias("url"), F.when(n % 2 == 0, "product").alias("page_type"), F.when(n % 6 == 5, 0).otherwise(200).alias("status"), F.when(n % 4 > 0, "https://h.example/x").alias("final_url"),
+        F.when(n % 4 > 1, F.array_repeat(F.lit("http://h.example/y"), (n % 4 - 1).cast("int"))).otherwise(empty).alias("hops"), headers.alias("headers"), cookies.alias("set_cookies"), F.when(n % 6 == 5, "timeout").alias("error"), F.when(n % 6 < 4, page(n)).alias("html"),
+    )
+    return html_features.crawl_rows(fetched).select("row_no", *ROW_OUT)
+
+
+ROW_OUT = [
+    "page_type", "status", "final_url", "redirected", "redirect_chain", "https_ok", "error_code", "x_robots_tag", "hsts_present", "frame_protection", "content_encoding", "nosniff_present", "referrer_policy_present", "permissions_policy_present",
+    "csp_present", "cookie_insecure", "version_disclosure", "title", "h1_count", "word_count", "img_total", "mixed_content",
+]
+
+
 def _by_five(*values: str) -> str:
     return f"[{', '.join(repr(v) for v in values)}][m % 5 + 1]"
 
@@ -72,5 +98,18 @@ _EXPECTED = {
     "agg_rating_value": _by_five("", "4.1", "", "", ""), "agg_rating_count": _by_five("", "7", "", "", ""), "has_shipping_details": _by_five(*"01000"), "has_return_policy": _by_five(*"00001"), "has_org_logo": _by_five(*"00100"), "has_org_contact_point": _by_five(*"00000"),
 }
 
-QUERIES = {"html_structure": html_structure}
-SQL = {"html_structure": "SELECT m AS row_no, " + ", ".join(f"CAST({_EXPECTED[c]} AS VARCHAR) AS {c}" for c in OUT) + " FROM (SELECT row_no AS m FROM crawl)"}
+_PAGED = "CASE WHEN m % 6 < 4 THEN CAST({} AS VARCHAR) ELSE '' END"
+_ROW_EXPECTED = {
+    "page_type": "CASE WHEN m % 2 = 0 THEN 'product' ELSE 'page' END", "status": "CASE WHEN m % 6 = 5 THEN '0' ELSE '200' END", "final_url": "CASE WHEN m % 4 > 0 THEN 'https://h.example/x' ELSE 'http://h.example/x' END", "redirected": _FLAG.format("m % 4 > 1"),
+    "redirect_chain": "CASE m % 4 WHEN 2 THEN 'http://h.example/y' WHEN 3 THEN 'http://h.example/y|http://h.example/y' ELSE '' END", "https_ok": _FLAG.format("m % 4 > 0"),
+    "error_code": f"CASE WHEN m % 6 = 5 THEN 'timeout' WHEN m % 6 < 4 THEN {_EXPECTED['error_code']} ELSE '' END", "x_robots_tag": "CASE WHEN m % 5 = 0 THEN 'noindex' ELSE '' END", "hsts_present": _FLAG.format("m % 2 = 0"), "frame_protection": _FLAG.format("m % 3 = 0 OR m % 7 = 0"),
+    "content_encoding": "CASE WHEN m % 4 > 0 THEN 'br' ELSE '' END", "nosniff_present": _FLAG.format("m % 3 = 0"), "referrer_policy_present": _FLAG.format("m % 2 = 1"), "permissions_policy_present": _FLAG.format("m % 5 = 1"), "csp_present": _FLAG.format("m % 3 < 2"),
+    "cookie_insecure": _FLAG.format("m % 3 = 0"), "version_disclosure": _FLAG.format("m % 4 = 0 OR m % 11 = 0"), "title": _PAGED.format("'T'"), "h1_count": _PAGED.format("1"), "word_count": _PAGED.format(_WORDS), "img_total": _PAGED.format(_EXPECTED["img_total"]),
+    "mixed_content": _PAGED.format(_FLAG.format("m % 6 = 0 AND m % 4 > 0")),
+}
+
+QUERIES = {"html_structure": html_structure, "crawl_rows": crawl_rows}
+SQL = {
+    "html_structure": "SELECT m AS row_no, " + ", ".join(f"CAST({_EXPECTED[c]} AS VARCHAR) AS {c}" for c in OUT) + " FROM (SELECT row_no AS m FROM crawl)",
+    "crawl_rows": "SELECT m AS row_no, " + ", ".join(f"CAST({_ROW_EXPECTED[c]} AS VARCHAR) AS {c}" for c in ROW_OUT) + " FROM (SELECT row_no AS m FROM crawl)",
+}

@@ -94,6 +94,13 @@ def robots_parsed(spark, sf_dir):
     return robots.parse_files(hosts, "host", "raw").select("host", F.array_join("disallow", " ").alias("disallow"), F.array_join("allow", " ").alias("allow"), F.size("sitemaps").alias("sitemaps"), "crawl_delay")
 
 
+def robots_bots(spark, sf_dir):
+    """The crawlers of AI services that each site's robots.txt names, and what it closes to them."""
+    hosts = table(spark, sf_dir, "crawl", "host").distinct().withColumn("raw", F.element_at(F.array(*map(F.lit, ROBOTS)), (F.length("host") % 4 + 1).cast("int")))
+    b = robots.parse_files(hosts, "host", "raw").select("host", F.explode("bots").alias("b"))
+    return b.select("host", "b.agent", "b.operator", "b.use", "b.disallow_all", F.array_join("b.paths", " ").alias("paths"))
+
+
 def llms_check(spark, sf_dir):
     """Texts of the knowledge base checked as if they were llms.txt files."""
     return table(spark, sf_dir, "kb_chunks", "chunk_no", "content").select("chunk_no", F.size(robots.llms_problems(F.coalesce("content", F.lit("")))).alias("problems"))
@@ -184,6 +191,12 @@ def kb_search(spark, sf_dir):
     return knowledge.top_k(e, e.where("id % 20 = 0"), k=4)
 
 
+def kb_retrieve(spark, sf_dir):
+    """Of the ten most similar embeddings of every twentieth one those with a score of 0.3 or more."""
+    e = table(spark, sf_dir, "embeddings", "vec_id", "embedding").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    return knowledge.top_k(e, e.where("id % 20 = 0"), k=10, min_score=0.3)
+
+
 def kb_cosine(spark, sf_dir):
     """Cosine of each embedding with the next one."""
     e = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
@@ -347,8 +360,8 @@ def leak_scan(spark, sf_dir):
 
 QUERIES = {
     "audit_hits": audit_hits, "audit_findings": audit_findings, "audit_status": audit_status, "audit_samples": audit_samples, "audit_clusters": audit_clusters, "audit_meta": audit_meta, "thin_ranked": thin_ranked,
-    "link_edges": link_edges, "link_inlinks": link_inlinks, "link_depth": link_depth, "link_orphans": link_orphans, "url_keys": url_keys, "robots_verdicts": robots_verdicts, "robots_parsed": robots_parsed, "llms_check": llms_check,
-    "sitemap_expanded": sitemap_expanded, "crawl_frontier": crawl_frontier, "url_types": url_types, "html_features": html_features_q, "kb_sections": kb_sections, "kb_embedding": kb_embedding, "kb_search": kb_search, "kb_cosine": kb_cosine,
+    "link_edges": link_edges, "link_inlinks": link_inlinks, "link_depth": link_depth, "link_orphans": link_orphans, "url_keys": url_keys, "robots_verdicts": robots_verdicts, "robots_parsed": robots_parsed, "robots_bots": robots_bots, "llms_check": llms_check,
+    "sitemap_expanded": sitemap_expanded, "crawl_frontier": crawl_frontier, "url_types": url_types, "html_features": html_features_q, "kb_sections": kb_sections, "kb_embedding": kb_embedding, "kb_search": kb_search, "kb_retrieve": kb_retrieve, "kb_cosine": kb_cosine,
     "kb_upsert": kb_upsert, "kb_allowlist": kb_allowlist, "runtime_cwv": runtime_cwv, "runtime_certificates": runtime_certificates, "runtime_intervals": runtime_intervals, "eval_rule_ids": eval_rule_ids, "eval_scraped_ids": eval_scraped_ids,
     "eval_recall": eval_recall, "eval_missed": eval_missed, "eval_citations": eval_citations, "eval_fabrications": eval_fabrications, "eval_provenance": eval_provenance, "eval_faithfulness": eval_faithfulness, "eval_stability": eval_stability,
     "eval_anchor_stability": eval_anchor_stability, "eval_aggregate": eval_aggregate, "eval_gate": eval_gate, "findings_errors": findings_errors, "verdict_errors": verdict_errors, "run_ledger": run_ledger, "run_handoff": run_handoff, "run_reports": run_reports, "kb_ingest": kb_ingest, "frontier_rewritten": frontier_rewritten, "severity_histogram": severity_histogram,
@@ -386,6 +399,7 @@ SQL = {
     "url_keys": f"SELECT row_no, {normalized(Q, 'url')} AS norm, {host(Q, 'final_url')} AS host_part, {path(Q, 'final_url')} AS path_part, {query(Q, 'final_url')} AS query_part FROM crawl",
     "robots_verdicts": "WITH t AS (SELECT row_no, length(host) % 4 AS k, regexp_extract(url, '^https?://[^/]+([^#]*)', 1) AS p FROM crawl) SELECT row_no, CASE k WHEN 0 THEN NOT (regexp_matches(p, '^/help/') OR regexp_matches(p, '^/.*/vendor') OR (regexp_matches(p, '^/build/') AND NOT regexp_matches(p, '^/build/app'))) WHEN 1 THEN NOT regexp_matches(p, '^/static/.*[.]mjs$') WHEN 2 THEN false ELSE true END AS allowed FROM t",
     "robots_parsed": "SELECT DISTINCT host, ['/build/ /*/vendor /help/', '/static/*.mjs$', '/', ''][length(host) % 4 + 1] AS disallow, ['/build/app', '', '', '/'][length(host) % 4 + 1] AS allow, CAST([1, 0, 0, 2][length(host) % 4 + 1] AS INT) AS sitemaps, CASE WHEN length(host) % 4 = 1 THEN CAST(2 AS DOUBLE) END AS crawl_delay FROM crawl",
+    "robots_bots": "SELECT h.host, v.agent, v.operator, v.use, v.disallow_all, v.paths FROM (SELECT DISTINCT host FROM crawl) h JOIN (VALUES (1, 'GPTBot', 'OpenAI', 'training', true, '/'), (1, 'CCBot', 'Common Crawl', 'training', true, '/'), (3, 'ChatGPT-User', 'OpenAI', 'on-demand-fetcher', false, '/p/')) v(k, agent, operator, use, disallow_all, paths) ON length(h.host) % 4 = v.k",
     "llms_check": r"WITH l AS (SELECT chunk_no, list_filter(list_transform(regexp_split_to_array(coalesce(content, ''), '\r?\n'), lambda x: trim(x)), lambda x: x <> '') AS a FROM kb_chunks) SELECT chunk_no, CAST(CASE WHEN starts_with(coalesce(a[1], ''), '# ') THEN 0 ELSE 1 END + CASE WHEN len(list_filter(a, lambda x: starts_with(x, '> '))) > 0 THEN 0 ELSE 1 END AS INT) AS problems FROM l",
     "sitemap_expanded": "SELECT DISTINCT host AS site, url AS loc FROM crawl",
     "crawl_frontier": "WITH s AS (SELECT host, canonical AS url, min(row_no) AS ord FROM crawl WHERE canonical <> '' GROUP BY 1, 2), k AS (SELECT s.host AS site, s.url, row_number() OVER (PARTITION BY s.host ORDER BY ord, s.url) AS no FROM s WHERE EXISTS (SELECT 1 FROM crawl c WHERE c.host = s.host AND c.url = s.url)) SELECT site, no, url FROM k WHERE no <= 25000",
@@ -402,6 +416,7 @@ SQL = {
       UNION ALL SELECT doc_id, 0, '', '' FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '[^\s\p{Z}]')""",
     "kb_embedding": "WITH t AS (SELECT chunk_no, unnest(list_filter(regexp_split_to_array(lower(coalesce(content, '')), '[^a-z0-9]+'), lambda x: x <> '')) AS tok FROM kb_chunks), h AS (SELECT chunk_no, list_reduce(list_prepend(CAST(5381 AS BIGINT), list_transform(string_split(tok, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, c: xor((a * 33) & 4294967295, c)) AS h FROM t), b AS (SELECT chunk_no, h % 256 AS slot, 1.0 AS w FROM h UNION ALL SELECT chunk_no, (h >> 8) & 255, 0.5 FROM h), s AS (SELECT chunk_no, slot, CAST(sum(w) AS DOUBLE) AS w FROM b GROUP BY 1, 2), n AS (SELECT chunk_no, sqrt(sum(w * w)) AS n FROM s GROUP BY 1) SELECT chunk_no, CAST(slot AS INT) AS slot, round(w / n, 6) AS weight FROM s JOIN n USING (chunk_no)",
     "kb_search": "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT q.vec_id AS query, e.vec_id AS id, round(list_cosine_similarity(q.v, e.v), 6) AS score FROM e q, e WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM p) SELECT query, id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 4",
+    "kb_retrieve": "WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT q.vec_id AS query, e.vec_id AS id, round(list_cosine_similarity(q.v, e.v), 6) AS score FROM e q, e WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, id) AS rank FROM p) SELECT query, id, score, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10 AND score >= 0.3",
     "kb_cosine": "SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS score FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "kb_upsert": "SELECT id, max(chunk_no) AS chunk_no FROM kb_chunks GROUP BY id",
     "kb_allowlist": "SELECT DISTINCT source, regexp_extract(id, '^([^#]*)#', 1) AS file FROM kb_chunks",
