@@ -4,7 +4,7 @@ Method
 ------
 1. Every run of ``SEED[0]`` words of a passage (``SEED[1]`` letters and digits in Chinese and
    Japanese, which have no blanks) is a *seed*, known by its Karp-Rabin hash.
-2. The rolling hashes of a document's runs are tested against a bit table of the seeds; runs
+2. The rolling hashes of a document's runs are tested against a Bloom filter of the seeds; runs
    that pass are joined with the seeds by hash. A pair of document and item is compared if it
    shares as many different seeds as one run of ``FULL`` units or the least coverage must hold.
 3. Each pair is tiled greedily by running Karp-Rabin: the search length starts at the longest
@@ -14,9 +14,9 @@ Method
 4. A pair is a leak if one tile has ``FULL`` units (a passage in a piece), or if the tiles
    cover ``COVERAGE`` of the passage (a passage in reordered pieces, each below that length).
 
-Scale: a document is read once and only its passing hashes are shuffled. The bit table grows
+Scale: a document is read once and only its passing hashes are shuffled. The filter grows
 with the number of seeds up to ``MOST_BITS`` (16 MB); beyond that it only thins out, the join
-decides. Nothing is broadcast but that table. Documents are salted against the seeds and the items, so that a seed or an item that
+decides. Nothing is broadcast but that filter. Documents are salted against the seeds and the items, so that a seed or an item that
 a third of all documents hold is spread over tasks. Repeated texts are each reported.
 
 Defined cases: null and empty texts and passages give nothing; passages shorter than a seed
@@ -42,7 +42,7 @@ from sitelens.session import spread, stored
 SEED, FULL = (6, 12), (12, 24)
 #: Share of a passage that its tiles must cover where no tile is as long as that.
 COVERAGE = 0.5
-LEAST_BITS, MOST_BITS, BITS_PER_SEED = 1 << 18, 1 << 27, 32
+LEAST_BITS, MOST_BITS, BITS_PER_SEED, PROBES = 1 << 18, 1 << 27, 64, 4
 SALTS = 16
 _UNSPACED = ("ja", "zh")
 _CF = regex.compile(r"\p{Cf}+")
@@ -175,13 +175,20 @@ def _seeds(seed: tuple[int, int], full: tuple[int, int], coverage: float):
 def _probe(key: str, seed: tuple[int, int], bits: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, mask = np.frombuffer(bits, np.uint8), np.uint64(8 * len(bits) - 1)
+
+        def holds(h: np.ndarray) -> np.ndarray:
+            hit = np.ones(len(h), bool)
+            for i in range(PROBES):
+                slot = ((h & mask) + np.uint64(i) * (h >> np.uint64(32) | np.uint64(1))) & mask
+                hit[hit] = (table[(slot[hit] >> np.uint64(3)).astype(np.int64)] >> (slot[hit] & np.uint64(7)).astype(np.uint8)) & 1 == 1
+            return hit
+
         for b in batches:
             for s in range(0, b.num_rows, 2000):
                 part = b.slice(s, 2000)
                 texts = part.column(1).to_pylist()
                 h, owner = runs_of([plain(t or "") for t in texts], *seed)
-                slot = h & mask
-                hit = (table[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8)) & 1 == 1
+                hit = holds(h)
                 h, owner = h[hit].astype(np.int64), owner[hit]
                 if len(h):
                     order = np.argsort(owner, kind="stable")  # word runs and letter runs come one after the other
@@ -289,11 +296,13 @@ def _verify(key: str, item: str, seed: tuple[int, int], full: tuple[int, int], c
 
 
 def _bit_table(seeds: DataFrame) -> bytes:
-    """Bits of the seeds' hashes: a power of two, at least ``BITS_PER_SEED`` for each, ``MOST_BITS`` at most."""
+    """A Bloom filter of the seeds' hashes: a power of two of bits, at least ``BITS_PER_SEED`` for each,
+    ``MOST_BITS`` at most, ``PROBES`` of them set by each seed."""
     size = LEAST_BITS
     while size < MOST_BITS and size < BITS_PER_SEED * seeds.count():
         size *= 2
-    slots = seeds.select((F.col("hash").bitwiseAND(F.lit(size - 1))).alias("s")).select(F.floor(F.col("s") / 32768).alias("part"), (F.col("s") % 32768).alias("bit"))
+    low, step = F.col("hash").bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned("hash", 32).bitwiseOR(F.lit(1))
+    slots = seeds.select(F.explode(F.array(*[(low + i * step).bitwiseAND(F.lit(size - 1)) for i in range(PROBES)])).alias("s")).select(F.floor(F.col("s") / 32768).alias("part"), (F.col("s") % 32768).alias("bit"))
     table = bytearray(size // 8)
     for part, bits in slots.groupBy("part").agg(F.bitmap_construct_agg("bit")).collect():  # at most MOST_BITS / 32,768 rows
         table[part * 4096 : (part + 1) * 4096] = bits
