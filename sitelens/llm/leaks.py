@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -270,11 +271,15 @@ def tiles(a: list, b: list, least: int) -> list[tuple[int, int, int]]:
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 
 
+@lru_cache(maxsize=256)
+def _units(text: str, unspaced: bool) -> list[str]:
+    words = _WORD.findall(plain(text))
+    return list("".join(words)) if unspaced else words
+
+
 def compare(text: str, passage: str, unspaced: bool, seed: tuple[int, int] = SEED) -> tuple[float, int, int]:
     """(share of the passage covered, longest tile, tiles)"""
-    a, b = (_WORD.findall(plain(x)) for x in (text, passage))
-    if unspaced:
-        a, b = list("".join(a)), list("".join(b))
+    a, b = _units(text, unspaced), _units(passage, unspaced)
     found = tiles(a, b, seed[unspaced])
     return sum(n for _, _, n in found) / max(1, len(b)), max((n for _, _, n in found), default=0), len(found)
 
@@ -319,6 +324,8 @@ def find_leaks(docs: DataFrame, key: str, text: str, items: DataFrame, item: str
     salted = F.pmod(F.hash(key), F.lit(SALTS)).alias("salt")
     shared = near.select(key, salted, F.explode("hashes").alias("hash")).distinct().join(seeds.select("hash", "item", "least", salts).hint("merge"), ["hash", "salt"])
     pairs = shared.groupBy(key, "item", "salt").agg(F.count(F.lit(1)).alias("n"), F.first("least").alias("least")).where("n >= least").select(key, "salt", F.col("item").alias(item))
-    full_texts = pairs.join(items.select(item, F.col(lang).alias("lang"), F.col(passage).alias("passage"), salts).hint("merge"), [item, "salt"]).join(near.select(key, "text"), key)
+    full_texts = pairs.join(items.select(item, F.col(lang).alias("lang"), F.col(passage).alias("passage"), salts).hint("merge"), [item, "salt"])
+    spots = max(2 * docs.sparkSession.sparkContext.defaultParallelism, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # tiling costs far more than its rows weigh
+    full_texts = full_texts.repartition(spots, key).join(near.select(key, "text").hint("merge"), key)
     verify = _verify(key, item, seed, full, coverage)
     return full_texts.select(key, "text", item, "lang", "passage").mapInArrow(verify, f"{key} {k_type}, {item} {i_type}, coverage double, longest int, tiles int, in_one_piece boolean").distinct()
