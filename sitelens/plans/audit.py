@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -14,7 +16,7 @@ from sitelens.operators.rules import CATALOGUE, PAGE_RULES, Rule, hreflang_inval
 from sitelens.session import scratch_path, stored
 
 _D = Spark()
-SAMPLE, CLUSTERS, SMALL, SITEMAP_CAP = 10, 5, 5, 50_000
+SAMPLE, CLUSTERS, SMALL, SITEMAP_CAP, JOBS = 10, 5, 5, 50_000, 4
 
 
 def page_hits(crawl: DataFrame, rule_ids: list[str] | None = None, catalogue: dict[str, Rule] | None = None) -> DataFrame:
@@ -48,10 +50,10 @@ def escape(text: str, given: dict) -> str:
     return text
 
 
-def relation_hits(crawl: DataFrame, more: dict[str, DataFrame], catalogue: dict[str, Rule] | None = None) -> DataFrame:
+def relation_hits(crawl: DataFrame, more: dict[str, DataFrame | Callable[[], DataFrame]], catalogue: dict[str, Rule] | None = None) -> DataFrame:
     """(host, row_no, url, rule_id, ord) of every cross-page rule that ``more`` has the tables for (patterns,
-    edges, roots, depths, sitemap); the pages are prepared once for all of them, and each rule is a job of its
-    own, so the driver never holds the plans of all.
+    edges, roots, depths, sitemap; a table may also be a function that makes it meanwhile); the pages are prepared once for all of them, and each rule is a job of its
+    own, ``JOBS`` at a time, so the driver never holds the plans of all and small jobs share the cores.
 
     ``ord`` is the place in the crawl, for sitemap addresses that in the sitemap. An address that
     is no page has the number of the first page that declares it.
@@ -59,27 +61,35 @@ def relation_hits(crawl: DataFrame, more: dict[str, DataFrame], catalogue: dict[
     spark = crawl.sparkSession
     ready = stored(spark.sql(escape(f"WITH {relations.pages(_D)} SELECT * FROM pages", {"crawl": crawl}), crawl=crawl), "pages")
     path = scratch_path(spark, "hits")
-    spark.createDataFrame([], HITS).write.parquet(path)
     known = catalogue or CATALOGUE
-    for rule_id in (r for r in relations.RELATIONAL if r in known):
-        text = relations.build(rule_id, _D, patterns="robots_patterns AS (SELECT * FROM {patterns})", ready="{pages}", listed="sitemap" in more, params=known[rule_id].params)
-        if any("{" + k + "}" in text for k in ("patterns", "edges", "roots", "depths") if k not in more):
-            continue
-        given = {"pages": ready} | {k: v for k, v in more.items() if "{" + k + "}" in text}
+    texts = {r: relations.build(r, _D, patterns="robots_patterns AS (SELECT * FROM {patterns})", ready="{pages}", listed="sitemap" in more, params=known[r].params) for r in relations.RELATIONAL if r in known}
+    texts = {r: t for r, t in texts.items() if not any("{" + k + "}" in t for k in ("patterns", "edges", "roots", "depths") if k not in more)}
+    if not texts:
+        return spark.createDataFrame([], HITS)
+
+    def run(rule_id: str) -> str:
+        text = texts[rule_id]
+        given = {"pages": ready} | {k: late[k].result() if k in late else v for k, v in more.items() if "{" + k + "}" in text}
         hits = spark.sql(escape(text, given), **given)
         if rule_id == "hygiene:url-inconsistency":  # distinct addresses: each counts with its first live page in a site
             live = ready.where(F.expr(f"redirected <> '1' AND {_D.int('status')} BETWEEN 200 AND 299"))
             hits = live.join(hits, "url", "left_semi").groupBy(F.col("site").alias("host"), "url").agg(F.min("row_no").alias("row_no"))
         at = "ord" if "ord" in hits.columns else "row_no"
         out = hits.select("host", F.col("row_no" if "row_no" in hits.columns else at).alias("row_no"), "url", F.lit(rule_id).alias("rule_id"), F.col(at).alias("ord"))
-        out.write.mode("append").parquet(path)
-    return spark.read.schema(HITS).parquet(path)
+        own = f"{path}/{rule_id.replace(':', '-')}"
+        out.write.parquet(own)
+        return own
+
+    with ThreadPoolExecutor(JOBS + 1) as pool:
+        late = {k: pool.submit(v) for k, v in more.items() if callable(v)}
+        ordered = sorted(texts, key=lambda r: any("{" + k + "}" in texts[r] for k in late))  # what waits comes last
+        return spark.read.schema(HITS).parquet(*pool.map(run, ordered))
 
 
 HITS = "host string, row_no bigint, url string, rule_id string, ord bigint"
 
 
-def all_hits(crawl: DataFrame, more: dict[str, DataFrame], catalogue: dict[str, Rule] | None = None) -> DataFrame:
+def all_hits(crawl: DataFrame, more: dict[str, DataFrame | Callable[[], DataFrame]], catalogue: dict[str, Rule] | None = None) -> DataFrame:
     """(host, row_no, url, rule_id, ord) of every rule that names pages: 64 in one scan, hreflang codes, 17 across pages."""
     codes = hreflang_hits(crawl).withColumn("rule_id", F.lit(HREFLANG))
     hits = page_hits(crawl, catalogue=catalogue).unionByName(codes).withColumn("ord", F.col("row_no")).unionByName(relation_hits(crawl, more, catalogue))

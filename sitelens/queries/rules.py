@@ -47,7 +47,7 @@ def all_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(host, row_no, url, rule_id, ord) of every rule that names pages."""
     crawl = table(spark, sf_dir, "crawl")
     _, edges, roots = graph(spark, sf_dir)
-    more = {"patterns": stored(signals.patterns(crawl), "patterns"), "edges": stored(edges, "edges"), "roots": stored(roots, "roots"), "depths": depths(spark, sf_dir)}
+    more = {"patterns": stored(signals.patterns(crawl), "patterns"), "edges": stored(edges, "edges"), "roots": stored(roots, "roots"), "depths": lambda: depths(spark, sf_dir)}
     return audit.all_hits(crawl, more)
 
 
