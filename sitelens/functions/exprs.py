@@ -112,17 +112,17 @@ def query(d: Spark, u: str) -> str:
     return d.grab(u, r"^[^?#]*(\?[^#]*)")
 
 
-def resolve(d: Spark, ref: str, base: str) -> str:
+def resolve(d: Spark, ref: str, base: str, parts: tuple[str, str, str, str] | None = None) -> str:
     """An href seen from a page, as an absolute address: with a scheme of its own, from the protocol, the
-    root, the folder, the query or the fragment on; ``.`` and ``..`` are followed. Spark only."""
-    ref = f"trim({ref})"
-    origin = f"concat({scheme(d, base)}, '://', {host(d, base)})"
+    root, the folder, the query or the fragment on; ``.`` and ``..`` are followed. ``parts``: columns that hold
+    scheme, host, path and query of ``base`` already. Spark only."""
+    of, at, way, asked = parts or (scheme(d, base), host(d, base), path(d, base), query(d, base))
     joined = (
-        f"(CASE WHEN {d.re(ref, '^[A-Za-z][A-Za-z0-9+.-]*:')} THEN {ref} WHEN {path(d, base)} = '' THEN NULL WHEN {d.re(ref, '^//')} THEN concat({scheme(d, base)}, ':', {ref}) "
-        f"WHEN {d.re(ref, '^/')} THEN concat({origin}, {ref}) WHEN {d.re(ref, '^([?]|$)')} THEN concat({origin}, {path(d, base)}, CASE WHEN {ref} = '' THEN {query(d, base)} ELSE {ref} END) "
-        f"WHEN {d.re(ref, '^#')} THEN concat({origin}, {path(d, base)}, {query(d, base)}, {ref}) ELSE concat({origin}, {d.sub(path(d, base), '[^/]*$')}, {ref}) END)"
+        f"(CASE WHEN {d.re('r', '^[A-Za-z][A-Za-z0-9+.-]*:')} THEN r WHEN {way} = '' THEN NULL WHEN {d.re('r', '^//')} THEN concat({of}, ':', r) WHEN {d.re('r', '^/')} THEN concat({of}, '://', {at}, r) "
+        f"WHEN {d.re('r', '^([?]|$)')} THEN concat({of}, '://', {at}, {way}, CASE WHEN r = '' THEN {asked} ELSE r END) WHEN {d.re('r', '^#')} THEN concat({of}, '://', {at}, {way}, {asked}, r) "
+        f"ELSE concat({of}, '://', {at}, {d.sub(way, '[^/]*$')}, r) END)"
     )
-    return f"transform(array({joined}), u -> CASE WHEN contains(u, '/.') THEN {_dotless(d, 'u')} ELSE u END)[0]"
+    return f"transform(transform(array(trim({ref})), r -> {joined}), u -> CASE WHEN contains(u, '/.') THEN {_dotless(d, 'u')} ELSE u END)[0]"
 
 
 def _dotless(d: Spark, u: str) -> str:
