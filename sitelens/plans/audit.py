@@ -16,7 +16,7 @@ from sitelens.operators.rules import CATALOGUE, PAGE_RULES, Rule, hreflang_inval
 from sitelens.session import scratch_path, stored
 
 _D = Spark()
-SAMPLE, CLUSTERS, SMALL, SITEMAP_CAP, JOBS = 10, 5, 5, 50_000, 4
+SAMPLE, CLUSTERS, SMALL, SITEMAP_CAP, JOBS = 10, 5, 5, 50_000, 2
 
 
 def page_hits(crawl: DataFrame, rule_ids: list[str] | None = None, catalogue: dict[str, Rule] | None = None) -> DataFrame:
