@@ -20,12 +20,12 @@ _written: dict[str, list[str]] = {}
 def shared_dir(spark: SparkSession) -> str:
     """Folder that every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset and all runs in one process
-    (tests, a single machine) a folder below the SQL warehouse is used; on a cluster that is an error.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset and all runs on one machine
+    (tests, for one) a folder below the SQL warehouse is used; on a real cluster that is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", "") or ""
-    if not named and not re.fullmatch(r"local(\[.*\])?", sc.master):
+    if not named and not re.fullmatch(r"local(-cluster)?(\[.*\])?", sc.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     base = named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
     if sc._jsc.sc().getCheckpointDir().isEmpty():
