@@ -130,8 +130,20 @@ _TOKENS = [
 #: double_end: no other straight quote follows in the paragraph, so that it can only close
 _NAMES = sorted({n for n, _ in _TOKENS} | {"double_end"})
 SYMBOL = {n: i for i, n in enumerate(_NAMES)}
-_SCANNER = regex.compile("|".join(f"({p})" for _, p in _TOKENS), regex.V0, never=_NEVER.split(), numbered=_NUMBERED.split(), maybe=_MAYBE.split())
-_OF_GROUP = np.array([-1, *(SYMBOL[n] for n, _ in _TOKENS)], np.int16)
+_FIRST = {"letter": r"\p{L}", "number": r"\p{N}", "blank": r"\s", "other": r"[^\p{L}\p{N}\s]"}
+#: What a form can begin with, where that is not any character: forms are only tried at such characters.
+_BEGINS_WITH = {
+    "blank": "blank", "para": "blank", "thai_gap": "blank", "line": "blank", "lower": "letter", "upper": "letter", "camel": "letter", "abbr": "letter", "Abbr": "letter", "maybe": "letter", "Maybe": "letter", "ordinal_line": "number", "number": "number",
+    "item_n": "number", "item_bracket": "number", "item_n_bracket": "number",
+    **dict.fromkeys(["period", "punct", "heading", "margin", "dots", "strong", "exclaim", "colon", "open_german", "open_angle", "close_angle", "left_curly", "go_on_zh", "right_curly", "open_corner", "go_on", "close_corner", "double", "open_single", "close_single", "open_bracket", "close_bracket", "starter", "emphasis", "dash", "invisible"], "other"),
+}
+#: After these a blank tells nothing, so that they take it along; not one that a gap between Thai letters may be.
+_WITH_BLANK = {**dict.fromkeys(["lower", "upper", "number", "punct", "camel", "file"], r"(?:[ ](?![\s\p{Thai}]))?+"), "other_script": r"(?:(?<!\p{Thai})[ ](?![\s\p{Thai}]))?+"}
+_FORMS = [(first, n, f"(?:{p}){_WITH_BLANK.get(n, '')}") for first in _FIRST for n, p in _TOKENS if _BEGINS_WITH.get(n, first) == first]
+_SCANNER = regex.compile(
+    "|".join(f"(?={pattern})(?:{'|'.join(f'({p})' for f, _, p in _FORMS if f == first)})" for first, pattern in _FIRST.items()), regex.V0, never=_NEVER.split(), numbered=_NUMBERED.split(), maybe=_MAYBE.split()
+)
+_OF_GROUP = np.array([-1, *(SYMBOL[n] for _, n, _ in _FORMS)], np.int16)
 _KINDS = {"open_german": "g", "open_angle": "a", "open_corner": "c", "open_single": "s", "open_bracket": "b", "left_curly": "l", "double": "d"}
 _CLOSES = {"close_angle": "a", "right_curly": "lg", "go_on_zh": "lg", "left_curly": "g", "close_corner": "c", "go_on": "c", "double": "dg", "double_end": "dg", "close_single": "s", "close_bracket": "b"}
 _BLANKS = ("blank", "line", "thai_gap", "margin")
