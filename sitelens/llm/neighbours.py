@@ -7,23 +7,23 @@ Method
   costs one row.
 * Rows are normalised, turned by a fixed orthogonal matrix (signs and Hadamard, which spreads
   single large values and leaves all products as they are) and quantised once to int8 with
-  one scale each; what that leaves over is quantised to int8 again. Only these codes travel.
-* The matrix is cut into blocks; a task multiplies one pair of blocks (each unordered pair
-  once). Products of the first codes are sums of integers below 2^24, so single precision
-  holds them exactly. Scaled, they are the cosine up to the error bound
-  ``|e_a| |q_b| + |e_b|`` made of the rows' own quantisation residuals. Pairs whose upper
-  bound lies below the (k+1)-th best lower bound of their row so far are dropped; for the
-  others both codes together give bounds some two hundred times as narrow, which drop nearly
-  all that is left.
-* Per row the (k+1)-th best lower bound over all tiles drops what remains of the tiles' lists.
-  The surviving pairs, little more than ``k`` for each row, are recomputed in double precision
-  from the stored values, rounded to 6 decimals and ranked. The result is exact (recall 1.0);
-  ties go to the smaller id.
-
-Scale: a row travels to the tiles of its stripe as 2 bytes a dimension; the stored vectors are
-read again only for surviving pairs. The work grows with the square of the different vectors,
-in tiles of bounded size; lists are bounded sums of tiles and merged by sorting, not in memory.
-The joins that give copies back their answers and pairs their vectors are salted.
+  one scale each. Codes and stored values are one table in the shared folder, which
+  ``pyarrow.fs`` must be able to open.
+* A task owns one block of rows and reads the table's other rows block by block from the
+  folder. The product of the codes is the cosine up to the error bound
+  ``|e_a| |q_b| + |e_b|`` made of the rows' own quantisation residuals; both terms are two more
+  columns of the product. Pairs whose upper bound lies below the (k+1)-th best of their row so
+  far are dropped; the others are computed at once in double precision from the stored
+  values and rounded to 6 decimals.
+* A row keeps the ``k + 1`` best answers, itself and copies among them, so a task ends with the
+  final lists of its rows. The result is exact (recall 1.0); ties go to the smaller id.
+
+Scale: nothing is copied for each block. Stored values are shuffled once (to find equal ones)
+and written once, with one byte a dimension beside them, and a row has one list of ``k + 1``
+answers, so disk and shuffle grow with the rows, whatever the number of blocks. The work grows
+with the square of the different vectors, in tiles of bounded size; each pair is multiplied
+once for either row, as lists that one task makes for another's rows would grow with
+the square as well. Only groups of more than ``k + 1`` copies get their answers by a (salted) join.
 
 Defined cases: a vector that is null, has another length, holds a null or NaN or infinite
 value or is all zero is not used and appears in no pair; fewer than k + 1 usable rows give
@@ -39,15 +39,16 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sitelens.session import spread, stored
 
-#: Rows of a block at most; fewer where that leaves too few tiles for the cores.
+#: Rows of a block at most; fewer where that leaves too few tasks for the cores.
 BLOCK_ROWS, LEAST_ROWS = 16_384, 1024
 _TILE = 1024
-MOST_TASKS = 20_000
 SALTS = 16
 _DECIMALS = 6
 
@@ -77,191 +78,189 @@ def turning(dims: int) -> np.ndarray:
     return signs[:, None] * h[:dims] / math.sqrt(len(h))
 
 
-def quantise(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(codes, codes of the rest, scale, error of the first codes, error of both) of each row."""
+def quantise(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes, scale, error of the codes) of each row."""
     unit = unit_rows(raw) @ turning(raw.shape[1])
     scale = np.abs(unit).max(axis=1) / 127
-    first = np.rint(unit / scale[:, None])
-    rest = unit - first * scale[:, None]
-    second = np.clip(np.rint(rest / scale[:, None] * 254), -127, 127)
-    left = rest - second * scale[:, None] / 254
-    return first.astype(np.int8), second.astype(np.int8), scale, np.sqrt((rest**2).sum(axis=1)), np.sqrt((left**2).sum(axis=1))
+    codes = np.rint(unit / scale[:, None])
+    return codes.astype(np.int8), scale, np.sqrt(((unit - codes * scale[:, None]) ** 2).sum(axis=1))
+
+
+#: In place of an id where there is none: behind all others.
+_NONE = np.iinfo(np.int64).max
 
 
 class Block:
-    """Rows of one block as they came: codes, scale, errors."""
+    """Rows of the table of vectors, in the forms in which they are multiplied."""
+
+    def __init__(self, rows: pa.RecordBatch | pa.Table, keep: int):
+        vec, codes, members = (_column(rows, c) for c in ("vec", "codes", "members"))
+        scale, error = (_column(rows, c).to_numpy().astype(np.float32)[:, None] for c in ("scale", "error"))
+        self.unit = unit_rows(_matrix(vec))
+        coded = np.frombuffer(b"".join(codes.to_pylist()), np.int8).reshape(len(codes), -1) * scale
+        norm = np.sqrt((coded**2).sum(axis=1, keepdims=True))
+        self.gap, self.norm, one = error * _WIDER, norm * _WIDER, np.ones_like(norm)
+        self.left = np.hstack((coded, self.gap, one))  # left @ right.T: upper bounds of the cosines
+        self.right = np.hstack((coded, self.norm, self.gap))
+        count = members.value_lengths().to_numpy()
+        own = np.repeat(np.arange(len(count)), count)
+        self.members = np.full((len(count), keep), _NONE)
+        self.members[own, np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)] = members.flatten().to_numpy()
 
-    def __init__(self, ids: np.ndarray, first: np.ndarray, second: np.ndarray, scale: np.ndarray, error: np.ndarray, fine_error: np.ndarray):
-        self.ids = ids
-        self.codes = first.astype(np.float32)  # integers; the form in which they are multiplied
-        self.scale = scale.astype(np.float32)
-        self.error = error.astype(np.float32) * np.float32(1 + 1e-6)
-        self.norm = np.sqrt((self.codes**2).sum(axis=1)) * self.scale * np.float32(1 + 1e-6)
-        self.fine = (self.codes + second.astype(np.float32) / 254) * self.scale[:, None]
-        self.fine_error = fine_error.astype(np.float32)
+
+def _column(rows: pa.RecordBatch | pa.Table, name: str) -> pa.Array:
+    x = rows.column(name)
+    return x.combine_chunks() if isinstance(x, pa.ChunkedArray) else x
 
 
 class Best:
-    """Candidates of each row of a block, and its ``keep``-th best lower bound so far."""
+    """The ``keep`` best answers of each row of a block: larger similarity, then smaller id. What lies below a row's floor isn't among them."""
 
     def __init__(self, n: int, keep: int):
-        self.keep, self.top, self.floor = keep, np.full((n, keep), -2.0, np.float32), np.full(n, -2.0, np.float32)
-        self.found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.keep, self.floor = keep, np.full(n, -2.0, np.float32)
+        self.sims, self.ids = np.full((n, keep), -2.0), np.full((n, keep), _NONE)
 
-    def add(self, rows: np.ndarray, ids: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+    def add(self, rows: np.ndarray, sims: np.ndarray, members: np.ndarray) -> None:
         if not len(rows):
             return
-        self.found.append((rows, ids, low, high))
-        order = np.lexsort((-low, rows))
-        own, first, count = np.unique(rows[order], return_index=True, return_counts=True)
-        place = np.arange(len(rows)) - np.repeat(first, count)
-        kept = place < self.keep
-        new = np.full((len(own), self.keep), -2.0, np.float32)
-        new[np.repeat(np.arange(len(own)), count)[kept], place[kept]] = low[order][kept]
-        merged = np.sort(np.concatenate((self.top[own], new), axis=1), axis=1)[:, -self.keep :]
-        self.top[own] = merged
-        self.floor[own] = np.maximum(self.floor[own], merged[:, 0])
-
-    def candidates(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        if not self.found:
-            return np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.float32)
-        rows, ids, low, high = (np.concatenate(x) for x in zip(*self.found))
-        kept = high >= self.floor[rows] - _EQUAL
-        return rows[kept], ids[kept], low[kept], high[kept]
-
-
-#: Cosines that may be equal after rounding, with what single precision may add; what it may add to a product of codes.
-_EQUAL, _SINGLE = np.float32(1.5 * 10.0**-_DECIMALS), np.float32(4e-6)
-
-
-def _tile(a: Block, b: Block, best_a: Best, best_b: Best | None, i0: int, i1: int, j0: int, j1: int) -> None:
-    """One product of int8 rows: drops what the error bounds exclude, lists the rest."""
-    upper = a.codes[i0:i1] @ b.codes[j0:j1].T  # exact integers
-    upper *= a.scale[i0:i1, None]
-    upper *= b.scale[None, j0:j1]
-    slack = np.multiply.outer(a.error[i0:i1], b.norm[j0:j1])
-    slack += b.error[None, j0:j1] + _SINGLE
-    upper += slack
-    for best, own, other, rows, cols, flip in ((best_a, a, b, i0, j0, False), (best_b, b, a, j0, i0, True)):
-        if best is None:
-            continue
-        grid, gap = (upper.T, slack.T) if flip else (upper, slack)
-        floor = best.floor[rows : rows + grid.shape[0]]
-        fresh = np.flatnonzero(floor < -1.5)  # later the narrower bounds are better
-        if len(fresh) and grid.shape[1] >= best.keep:
-            lower = grid[fresh] - 2 * gap[fresh]
-            floor[fresh] = np.partition(lower, -best.keep, axis=1)[:, -best.keep]
-        r, c = np.nonzero(grid >= (floor - _EQUAL)[:, None])
-        r, c = r + rows, c + cols
-        near = np.concatenate([np.einsum("ij,ij->i", own.fine[r[s : s + 8192]], other.fine[c[s : s + 8192]]) for s in range(0, max(1, len(r)), 8192)])
-        width = own.fine_error[r] + other.fine_error[c] * np.float32(1.01) + _SINGLE
-        kept = near + width >= best.floor[r] - _EQUAL
-        r, c, near, width = r[kept], c[kept], near[kept], width[kept]
-        best.add(r, other.ids[c], near - width, near + width)
-
-
-_LISTED = pa.schema([("vec_id", pa.int64()), ("other", pa.int64()), ("low", pa.float32()), ("high", pa.float32())])
-_CODED = "vec_id bigint, first binary, second binary, scale double, error double, fine_error double"
+        used = members != _NONE
+        count, own = used.sum(axis=1), np.unique(rows)
+        r = np.concatenate((np.repeat(rows, count), np.repeat(own, self.keep)))
+        s = np.concatenate((np.repeat(sims, count), self.sims[own].ravel()))
+        ids = np.concatenate((members[used], self.ids[own].ravel()))
+        order = np.lexsort((ids, -s, r))
+        first = np.searchsorted(r[order], own)
+        kept = order[(first[:, None] + np.arange(self.keep)).ravel()]  # there are that many at least
+        self.sims[own], self.ids[own] = s[kept].reshape(-1, self.keep), ids[kept].reshape(-1, self.keep)
+        self.floor[own] = np.maximum(self.floor[own], self.sims[own, -1])
+
+
+#: Cosines that may be equal after rounding, with what single precision may add; what it may add to a product, for each of its terms; and to an error or norm.
+_EQUAL, _SINGLE, _WIDER = np.float32(1.5 * 10.0**-_DECIMALS), 2.0**-23, np.float32(1 + 1e-4)
+
+
+def _tile(a: Block, b: Block, best: Best, i0: int, i1: int, j0: int, j1: int) -> None:
+    """One product of int8 rows: drops what the error bounds exclude, computes the rest."""
+    upper = a.left[i0:i1] @ b.right[j0:j1].T
+    single = np.float32(_SINGLE * a.left.shape[1])
+    floor = best.floor[i0:i1]
+    fresh = np.flatnonzero(floor < -1.5)  # later the computed ones are better
+    if len(fresh) and upper.shape[1] >= best.keep:
+        lower = upper[fresh] - 2 * (a.gap[i0:i1][fresh] * b.norm[j0:j1].T + b.gap[j0:j1].T)
+        floor[fresh] = np.partition(lower, -best.keep, axis=1)[:, -best.keep] - single
+    r, c = np.nonzero(upper >= (floor - _EQUAL - single)[:, None])
+    r, c = r + i0, c + j0
+    sims = np.round(np.concatenate([np.einsum("ij,ij->i", a.unit[r[s : s + 4096]], b.unit[c[s : s + 4096]]) for s in range(0, max(1, len(r)), 4096)]), _DECIMALS)
+    kept = sims >= best.floor[r] - _EQUAL
+    best.add(r[kept], sims[kept], b.members[c[kept]])
 
 
 def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
-            first, second, *numbers = quantise(_matrix(b.column(1)))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), *(pa.array([r.tobytes() for r in m], pa.binary()) for m in (first, second)), *(pa.array(x) for x in numbers)], names=["vec_id", "first", "second", "scale", "error", "fine_error"]
-            )
-
-
-def _pairs(k: int):
-    def run(key: tuple[pa.Scalar, ...], frame: pa.Table) -> pa.Table:
-        i, j = key[0].as_py(), key[1].as_py()
-        which, ids = frame.column("block").to_numpy(), frame.column("vec_id").to_numpy()
-        codes = [np.frombuffer(b"".join(frame.column(c).to_pylist()), np.int8).reshape(len(which), -1) for c in ("first", "second")]
-        numbers = [frame.column(c).to_numpy() for c in ("scale", "error", "fine_error")]
-        blocks = {}
-        for n in {i, j}:
-            at = np.flatnonzero(which == n)
-            if len(at):
-                at = at[np.argsort(ids[at])]
-                blocks[n] = Block(ids[at], *(c[at] for c in codes), *(x[at] for x in numbers))
-        if i not in blocks or j not in blocks:
-            return _LISTED.empty_table()
-        a, b = blocks[i], blocks[j]
-        best_a, best_b = Best(len(a.ids), k + 1), None if i == j else Best(len(b.ids), k + 1)
-        for i0 in range(0, len(a.ids), _TILE):
-            for j0 in range(0, len(b.ids), _TILE):
-                _tile(a, b, best_a, best_b, i0, min(i0 + _TILE, len(a.ids)), j0, min(j0 + _TILE, len(b.ids)))
-        out = [(block.ids[rows], *rest) for block, best in ((a, best_a), (b, best_b)) if best for rows, *rest in [best.candidates()]]
-        return pa.Table.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(zip(*out), _LISTED.types)], schema=_LISTED)
+            codes, scale, error = quantise(_matrix(b.column("vec")))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([r.tobytes() for r in codes], pa.binary()), pa.array(scale), pa.array(error)], names=[*b.schema.names, "codes", "scale", "error"])
 
-    return run
 
+def _read(file: str, rows: int) -> Iterator[pa.RecordBatch]:
+    """A file of the table of vectors, ``rows`` rows at a time."""
+    system, path = fs.FileSystem.from_uri(file)
+    with system.open_input_file(path) as f:
+        yield from pq.ParquetFile(f, buffer_size=1 << 20).iter_batches(rows, use_threads=False)
+
+
+def _own(file: str, start: int, stop: int, rows: int) -> pa.Table:
+    at, parts = 0, []
+    for b in _read(file, rows):
+        if at < stop and start < at + b.num_rows:
+            parts.append(b.slice(max(0, start - at), stop - max(start, at)))
+        at += b.num_rows
+        if at >= stop:
+            break
+    return pa.Table.from_batches(parts)
+
+
+_ANSWERS = "digest binary, members array<bigint>, whole boolean, near array<struct<n: bigint, sim: double>>"
+
+
+def _nearest(files: list[str], parts: list[tuple[int, int, int]], keep: int, block_rows: int):
+    """Task n: the answers of the rows of ``parts[n]`` (file, first row, row behind the last)."""
+
+    def answers(f: int, start: int, stop: int) -> pa.RecordBatch:
+        own = _own(files[f], start, stop, block_rows)
+        a, best = Block(own, keep), Best(stop - start, keep)
+        for file in files[f:] + files[:f]:  # tasks don't all read the same one at once
+            for rows in _read(file, block_rows):
+                b = Block(rows, keep)
+                for i0 in range(0, stop - start, _TILE):
+                    for j0 in range(0, rows.num_rows, _TILE):
+                        _tile(a, b, best, i0, min(i0 + _TILE, stop - start), j0, min(j0 + _TILE, rows.num_rows))
+        used = best.ids != _NONE
+        near = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(used.sum(axis=1)))).astype(np.int32), pa.StructArray.from_arrays([pa.array(best.ids[used]), pa.array(best.sims[used])], ["n", "sim"]))
+        members = _column(own, "members")
+        whole = pa.array(members.value_lengths().to_numpy() == _column(own, "copies").to_numpy())
+        return pa.RecordBatch.from_arrays([_column(own, "digest"), members, whole, near], names=["digest", "members", "whole", "near"])
 
-def _digest(key_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                rows = np.ascontiguousarray(_matrix(b.column(1)))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in rows], pa.binary()), b.column(1)], names=["id", "digest", "vec"])
+            for n in b.column(0).to_pylist():
+                yield answers(*parts[n])
 
     return run
 
 
-def _smallest(coded: DataFrame, keep: int) -> DataFrame:
-    """One row for each different vector, with its ``keep`` smallest ids: ranks inside salts first, so
-    that a group of copies never meets in one task."""
-    lists = coded.groupBy("digest", F.pmod(F.xxhash64("id"), F.lit(256)).alias("salt")).agg(F.slice(F.array_sort(F.collect_set("id")), 1, keep).alias("ids"), F.first("vec").alias("vec"))
-    out = lists.groupBy("digest").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, keep).alias("members"), F.first("vec").alias("vec"))
-    return out.withColumn("vec_id", F.col("members")[0])
+def _digest(values: bool):
+    """Digests with the rows' ids or with their values."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                rows = np.ascontiguousarray(_matrix(b.column(1)))
+                digests = pa.array([hashlib.blake2b(r.tobytes(), digest_size=16).digest() for r in rows], pa.binary())
+                yield pa.RecordBatch.from_arrays([digests, b.column(int(values))], names=["digest", "vec" if values else "id"])
 
-_EXACT = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float64())])
+    return run
 
 
-def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The cosine of the stored values in double precision."""
-    for b in batches:
-        if b.num_rows:
-            x, y = unit_rows(_matrix(b.column(2))), unit_rows(_matrix(b.column(3)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.round(np.einsum("ij,ij->i", x, y), _DECIMALS))], schema=_EXACT)
+def _smallest(digests: DataFrame, keep: int) -> DataFrame:
+    """For each different vector its ``keep`` smallest ids and its number of copies: ranks inside salts
+    first, so that a group of copies never meets in one task."""
+    lists = digests.groupBy("digest", F.pmod(F.xxhash64("id"), F.lit(256)).alias("salt")).agg(F.slice(F.array_sort(F.collect_set("id")), 1, keep).alias("ids"), F.count(F.lit(1)).alias("copies"))
+    return lists.groupBy("digest").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, keep).alias("members"), F.sum("copies").alias("copies"))
 
 
-def blocks_for(n: int, cores: int, block_rows: int, least_rows: int) -> int:
-    """How many blocks: small enough for a task, and as many as give each core a few tiles."""
-    return max(1, -(-n // block_rows), min(math.isqrt(4 * cores) + 1, -(-n // least_rows)))
+def parts_of(counts: list[int], cores: int, block_rows: int, least_rows: int) -> list[tuple[int, int, int]]:
+    """(file, first row, row behind the last) of each task: small enough for a task, and two for each core."""
+    rows = min(block_rows, max(least_rows, -(-sum(counts) // (2 * cores))))
+    out = []
+    for f, n in enumerate(counts):
+        m = max(1, -(-n // block_rows), round(n / rows))
+        out += [(f, n * i // m, n * (i + 1) // m) for i in range(m) if n * i // m < n * (i + 1) // m]
+    return out
 
 
 def nearest(df: DataFrame, key: str, vector: str, k: int = 5, dims: int = 256, block_rows: int = BLOCK_ROWS, least_rows: int = LEAST_ROWS) -> DataFrame:
     """(``key``, neighbour, similarity, rank): the k most similar rows of every usable row."""
     spark = df.sparkSession
     rows = spread(df.where(usable(vector, dims)).select(F.col(key).cast("bigint").alias("id"), F.col(vector).alias("vec")))
-    coded = rows.mapInArrow(_digest(pa.int64()), f"id bigint, digest binary, vec {rows.schema['vec'].dataType.simpleString()}")
-    vectors = stored(_smallest(coded, k + 1), "vectors")
-    blocks = blocks_for(vectors.count(), spark.sparkContext.defaultParallelism, block_rows, least_rows)
-
-    codes = vectors.select("vec_id", "vec").mapInArrow(_codes, _CODED).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
-    tiles = codes.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("o")).withColumns({"i": F.least("block", "o"), "j": F.greatest("block", "o")}).drop("o")
-    spots = min(MOST_TASKS, blocks * (blocks + 1))  # twice the tiles: few of them share a task
-    listed = tiles.repartition(spots, "i", "j").groupBy("i", "j").applyInArrow(_pairs(k), "vec_id bigint, other bigint, low float, high float")
-    floor = F.expr(f"nth_value(low, {k + 1}) over (partition by vec_id order by low desc rows between unbounded preceding and unbounded following)")
-    left = listed.withColumn("floor", F.coalesce(floor, F.lit(-2.0))).where(F.col("high") >= F.col("floor") - float(_EQUAL))
-    pairs = stored(left.where("vec_id <> other").select(F.least("vec_id", "other").alias("a"), F.greatest("vec_id", "other").alias("b")).distinct(), "pairs")
+    vec = f"vec {rows.schema['vec'].dataType.simpleString()}"
+    digests = stored(rows.mapInArrow(_digest(values=False), "digest binary, id bigint"), "digests")
+    different = rows.mapInArrow(_digest(values=True), f"digest binary, {vec}").groupBy("digest").agg(F.first("vec").alias("vec"))  # the one shuffle of values
+    known = different.join(_smallest(digests, k + 1), "digest").select("digest", "vec", "members", "copies")
+    vectors = stored(known.mapInArrow(_codes, f"digest binary, {vec}, members array<bigint>, copies bigint, codes binary, scale double, error double"), "vectors")
 
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-    one = pairs.join(vectors.select(F.col("vec_id").alias("a"), F.col("vec").alias("vec_a")), "a")
-    both = one.join(vectors.select(F.col("vec_id").alias("b"), F.col("vec").alias("vec_b")), "b").select("a", "b", "vec_a", "vec_b")
-    exact = both.mapInArrow(_exact, "a bigint, b bigint, sim double")
-    turned = exact.unionByName(exact.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim"))
-    own = vectors.select(F.col("vec_id").alias("a"), F.col("vec_id").alias("b"), F.lit(1.0).alias("sim"))  # copies of each other
-    near = turned.unionByName(own).join(vectors.select(F.col("vec_id").alias("b"), "members"), "b").select("a", "sim", F.explode("members").alias("n"))
-    ranked = near.withColumn("no", F.expr("row_number() over (partition by a order by sim desc, n)")).where(F.col("no") <= k + 1)
-    best = ranked.groupBy("a").agg(F.array_sort(F.collect_list(F.struct("no", "n", "sim"))).alias("near"))  # k + 1 entries
+    files = sorted(vectors.groupBy(F.input_file_name()).count().collect())
+    parts = parts_of([n for _, n in files], spark.sparkContext.defaultParallelism, block_rows, least_rows)
+    tasks = spark.range(0, len(parts), 1, max(1, len(parts)))
+    answers = stored(tasks.mapInArrow(_nearest([f for f, _ in files], parts, k + 1, block_rows), _ANSWERS), "nearest")
 
     # every copy gets the answer of its vector
-    answers = vectors.select("digest", F.col("vec_id").alias("a")).join(best, "a").select("digest", "near", salts)
-    members = coded.select("id", "digest", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
-    out = members.join(answers.hint("merge"), ["digest", "salt"]).select("id", F.posexplode(F.slice(F.filter("near", lambda x: x["n"] != F.col("id")), 1, k)).alias("rank", "x"))
+    few = answers.where("whole").select(F.explode("members").alias("id"), "near")
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    many = answers.where("not whole").select("digest", "near", salts)  # k + 2 copies each at least
+    members = digests.select("id", "digest", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("salt"))
+    out = few.unionByName(members.join(many.hint("merge"), ["digest", "salt"]).select("id", "near"))
+    out = out.select("id", F.posexplode(F.slice(F.filter("near", lambda x: x["n"] != F.col("id")), 1, k)).alias("rank", "x"))
     kind = df.select(key).schema[0].dataType
     return out.select(F.col("id").cast(kind).alias(key), F.col("x.n").cast(kind).alias("neighbour"), F.col("x.sim").alias("similarity"), (F.col("rank") + 1).alias("rank"))
 
